@@ -86,3 +86,15 @@ class Context:
     @cached_property
     def queue(self) -> DataFrame:
         return evidence.investigation_queue(self.hybrid, self.plan.features)
+
+
+_SHARED: dict[tuple[str, str], Context] = {}
+
+
+def shared_context(spark: SparkSession, sf_dir: str) -> Context:
+    """One context per application and folder, so stored layers are reused."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _SHARED:
+        _SHARED.clear()
+        _SHARED[key] = Context(spark, sf_dir)
+    return _SHARED[key]

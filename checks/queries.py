@@ -19,7 +19,7 @@ from civitally.sources import landed
 from civitally.sources.schemas import COMPLETED
 
 from . import sql as S
-from .context import Context
+from .context import Context, shared_context
 from .spec import spark_select
 
 
@@ -29,7 +29,7 @@ class Query:
     sql: str | None
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        return self.build(Context(spark, sf_dir))
+        return self.build(shared_context(spark, sf_dir))
 
 
 REGISTRY: dict[str, Query] = {}
@@ -351,9 +351,9 @@ SELECT CAST(DTL_ID AS BIGINT) AS WORK_ID, arg_min(WORK_NO, ORD) AS PORTAL_WORK_I
   arg_min(ACTIVITY_NAME, ORD) FILTER (WHERE ACTIVITY_NAME IS NOT NULL) AS ACTIVITY_NAME,
   arg_min(WORK_STAGE, ORD) FILTER (WHERE WORK_STAGE IS NOT NULL) AS WORK_STAGE,
   arg_min(VENDOR_NAME, ORD) FILTER (WHERE VENDOR_NAME IS NOT NULL) AS VENDOR_NAME,
-  arg_min(TRY_CAST(RECOMMENDED_AMOUNT AS DOUBLE), ORD) FILTER (WHERE RECOMMENDED_AMOUNT IS NOT NULL) AS RECOMMENDED_AMOUNT,
-  arg_min(TRY_CAST(SANCTION_AMOUNT AS DOUBLE), ORD) FILTER (WHERE SANCTION_AMOUNT IS NOT NULL) AS SANCTION_AMOUNT,
-  arg_min(TRY_CAST(ACTUAL_AMOUNT AS DOUBLE), ORD) FILTER (WHERE ACTUAL_AMOUNT IS NOT NULL) AS ACTUAL_AMOUNT,
+  arg_min(TRY_CAST(RECOMMENDED_AMOUNT AS DECIMAL(18,2)), ORD) FILTER (WHERE RECOMMENDED_AMOUNT IS NOT NULL) AS RECOMMENDED_AMOUNT,
+  arg_min(TRY_CAST(SANCTION_AMOUNT AS DECIMAL(18,2)), ORD) FILTER (WHERE SANCTION_AMOUNT IS NOT NULL) AS SANCTION_AMOUNT,
+  arg_min(TRY_CAST(ACTUAL_AMOUNT AS DECIMAL(18,2)), ORD) FILTER (WHERE ACTUAL_AMOUNT IS NOT NULL) AS ACTUAL_AMOUNT,
   CAST(strptime(arg_min(RECOMMENDATION_DATE, ORD) FILTER (WHERE RECOMMENDATION_DATE IS NOT NULL), '%d-%m-%Y') AS DATE) AS RECOMMENDATION_DATE,
   CAST(strptime(arg_min(SANCTION_DATE, ORD) FILTER (WHERE SANCTION_DATE IS NOT NULL), '%d-%m-%Y') AS DATE) AS SANCTION_DATE,
   CAST(strptime(arg_min(ACTUAL_END_DATE, ORD) FILTER (WHERE ACTUAL_END_DATE IS NOT NULL), '%d-%m-%Y') AS DATE) AS ACTUAL_END_DATE,
@@ -405,7 +405,7 @@ SELECT STATE_NAME, count(*) AS TOTAL_WORKS, sum(ML_ANOMALY) AS ML_ANOMALIES,
 FROM analysis GROUP BY 1
 """)
 STATE_DIAG_SPEC = (
-    "STATE_NAME:s TOTAL_WORKS:i ML_ANOMALIES:i MEDIAN_SANCTION:f MEAN_SANCTION:f "
+    "STATE_NAME:s TOTAL_WORKS:i ML_ANOMALIES:i MEDIAN_SANCTION:d MEAN_SANCTION:d "
     "MEDIAN_PAYMENT_COUNT:d MEAN_PAYMENT_COUNT:d MEDIAN_VENDOR_COUNT:d MEAN_VENDOR_COUNT:d "
     "MEDIAN_COMPLETENESS:d MEDIAN_PEER_COUNT:d ML_ANOMALY_RATE_PERCENT:d INDIA_RATE_RATIO:d"
 )
@@ -1007,7 +1007,7 @@ def _(c):
 SELECT WORK_ID, {S.ratio('SANCTION_AMOUNT', 'RECOMMENDED_AMOUNT')} AS RATIO,
   {S.dd('RECOMMENDATION_DATE', 'SANCTION_DATE')} AS DAYS,
   round_even(CAST(SANCTION_AMOUNT AS DOUBLE) / 3e0 * 100e0, 0) / 100e0 AS ROUNDED,
-  ln(1 + greatest(CAST(SANCTION_AMOUNT AS DOUBLE), 0)) AS LOGGED,
+  CASE WHEN SANCTION_AMOUNT IS NOT NULL THEN ln(1 + greatest(CAST(SANCTION_AMOUNT AS DOUBLE), 0)) END AS LOGGED,
   (SANCTION_AMOUNT IS NULL)::INT + (ACTIVITY_NAME IS NULL)::INT AS MISSING,
   regexp_replace(replace(lower(WORK_DESCRIPTION), '&', 'and'), '[^a-z0-9]', '', 'g') AS NAME_KEY,
   concat_ws(' | ', STATE_NAME, WORK_CATEGORY) AS LABEL FROM works""")
@@ -1307,8 +1307,8 @@ SELECT WORK_ID, coalesce(sum(AMT), 0) AS TD, count(AMT) AS TC, CAST(sum(AMT) AS
 
 def _level_cte(name: str, keys: str) -> None:
     S.relation(name, f"""
-SELECT {keys}, quantile_cont(SANCTION_AMOUNT, 0.5) AS MED, avg(SANCTION_AMOUNT) AS MEAN,
-  stddev_samp(SANCTION_AMOUNT) AS STD, count(SANCTION_AMOUNT) AS N FROM consol GROUP BY {keys}""")
+SELECT {keys}, {S.median('SANCTION_AMOUNT')} AS MED, {S.mean('SANCTION_AMOUNT')} AS MEAN,
+  stddev_samp(CAST(SANCTION_AMOUNT AS DOUBLE)) AS STD, count(SANCTION_AMOUNT) AS N FROM consol GROUP BY {keys}""")
 
 
 _level_cte("g_lv_a", "STATE_NAME, WORK_CATEGORY, ACTIVITY_NAME")
@@ -1333,7 +1333,7 @@ FROM consol w
   LEFT JOIN g_lv_c c ON w.WORK_CATEGORY IS NOT DISTINCT FROM c.WORK_CATEGORY
 """)
 S.relation("g_dev", """
-SELECT w.WORK_ID, w.STATE_NAME, w.WORK_CATEGORY, w.ACTIVITY_NAME, SANCTION_AMOUNT AS X, a.MED, a.N
+SELECT w.WORK_ID, w.STATE_NAME, w.WORK_CATEGORY, w.ACTIVITY_NAME, CAST(SANCTION_AMOUNT AS DOUBLE) AS X, a.MED, a.N
 FROM consol w LEFT JOIN g_lv_a a ON w.STATE_NAME IS NOT DISTINCT FROM a.STATE_NAME
   AND w.WORK_CATEGORY IS NOT DISTINCT FROM a.WORK_CATEGORY AND w.ACTIVITY_NAME IS NOT DISTINCT FROM a.ACTIVITY_NAME
 """)
@@ -1359,10 +1359,10 @@ SELECT w.* EXCLUDE (WORK_ID), w.WORK_ID, p.* EXCLUDE (WORK_ID), r.* EXCLUDE (WOR
   {_g('SANCTION_DATE < RECOMMENDATION_DATE OR ACTUAL_END_DATE < SANCTION_DATE OR ACTUAL_END_DATE < RECOMMENDATION_DATE')}
     AS NEGATIVE_TIMELINE_FLAG,
   {S.ratio('SANCTION_AMOUNT', 'PEER_MEDIAN_SANCTION')} AS COST_VS_PEER_MEDIAN,
-  CASE WHEN PEER_STD_SANCTION > 0 THEN (SANCTION_AMOUNT - PEER_MEAN_SANCTION) / PEER_STD_SANCTION END AS COST_Z_SCORE,
+  CASE WHEN PEER_STD_SANCTION > 0 THEN (CAST(SANCTION_AMOUNT AS DOUBLE) - PEER_MEAN_SANCTION) / PEER_STD_SANCTION END AS COST_Z_SCORE,
   {S.ratio('coalesce(TD, 0)', 'SANCTION_AMOUNT')} AS DISBURSEMENT_TO_SANCTION_RATIO,
-  SANCTION_AMOUNT - coalesce(CAST(TD AS DOUBLE), 0) AS UNSPENT_AMOUNT,
-  ln(1 + greatest(SANCTION_AMOUNT, 0)) AS LOG_SANCTION_AMOUNT,
+  CAST(SANCTION_AMOUNT AS DOUBLE) - coalesce(CAST(TD AS DOUBLE), 0) AS UNSPENT_AMOUNT,
+  CASE WHEN SANCTION_AMOUNT IS NOT NULL THEN ln(1 + greatest(CAST(SANCTION_AMOUNT AS DOUBLE), 0)) END AS LOG_SANCTION_AMOUNT,
   {S.ratio('MX', 'AV')} AS TRANSACTION_AMOUNT_VARIATION,
   1 - ((RECOMMENDATION_DATE IS NULL)::INT + (SANCTION_DATE IS NULL)::INT + (ACTUAL_END_DATE IS NULL)::INT
     + (RECOMMENDED_AMOUNT IS NULL)::INT + (SANCTION_AMOUNT IS NULL)::INT + (ACTUAL_AMOUNT IS NULL)::INT) / 6e0
@@ -1395,8 +1395,8 @@ def _(c):
 @register("fg01_master_ratios", "WORK_ID:i RECOMMENDATION_TO_SANCTION_RATIO:d ACTUAL_TO_SANCTION_RATIO:d "
           "SANCTION_MINUS_RECOMMENDED:f SANCTION_MINUS_ACTUAL:f RECOMMENDATION_TO_COMPLETION_DAYS:i "
           "MISSING_SANCTION_AMOUNT:i", None, sql=f"""
-SELECT WORK_ID, CASE WHEN RECOMMENDED_AMOUNT <> 0 THEN SANCTION_AMOUNT / RECOMMENDED_AMOUNT END AS RECOMMENDATION_TO_SANCTION_RATIO,
-  CASE WHEN SANCTION_AMOUNT <> 0 THEN ACTUAL_AMOUNT / SANCTION_AMOUNT END AS ACTUAL_TO_SANCTION_RATIO,
+SELECT WORK_ID, CASE WHEN RECOMMENDED_AMOUNT <> 0 THEN CAST(SANCTION_AMOUNT AS DOUBLE) / CAST(RECOMMENDED_AMOUNT AS DOUBLE) END AS RECOMMENDATION_TO_SANCTION_RATIO,
+  CASE WHEN SANCTION_AMOUNT <> 0 THEN CAST(ACTUAL_AMOUNT AS DOUBLE) / CAST(SANCTION_AMOUNT AS DOUBLE) END AS ACTUAL_TO_SANCTION_RATIO,
   SANCTION_AMOUNT - RECOMMENDED_AMOUNT AS SANCTION_MINUS_RECOMMENDED, SANCTION_AMOUNT - ACTUAL_AMOUNT AS SANCTION_MINUS_ACTUAL,
   {S.dd('RECOMMENDATION_DATE', 'ACTUAL_END_DATE')} AS RECOMMENDATION_TO_COMPLETION_DAYS,
   {_g('SANCTION_AMOUNT IS NULL')} AS MISSING_SANCTION_AMOUNT FROM consol""")
@@ -1405,7 +1405,7 @@ def _(c):
 
 
 @register("win13_hierarchical_peers", "WORK_ID:i PEER_LEVEL:s PEER_COUNT:i PEER_MEDIAN_SANCTION:d "
-          "PEER_MEAN_SANCTION:f PEER_STD_SANCTION:f", "g_peer")
+          "PEER_MEAN_SANCTION:d PEER_STD_SANCTION:f", "g_peer")
 def _(c):
     return audit.hierarchical_peers(c.regional.works)
 

@@ -46,4 +46,6 @@ def sql_columns(spec: str) -> str:
         "t": "CAST({c} AS VARCHAR)",
         "b": "CAST({c} AS BOOLEAN)",
     }
-    return ", ".join(f"{render[k].format(c=n)} AS {n}" for n, k in parse(spec))
+    return ", ".join(
+        render[k].format(c=f'"{n}"') + f' AS "{n}"' for n, k in parse(spec)
+    )

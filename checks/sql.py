@@ -632,7 +632,7 @@ SELECT f.*, r.RULE_SCORE, r.RULE_SEVERITY, r.RULE_CANDIDATE, r.STRONG_RULE_COUNT
   m.ML_ANOMALY AS ML_CANDIDATE, m.ML_ANOMALY_STRENGTH,
   coalesce(rr.R, 0) AS RULE_SCORE_CALIBRATED, coalesce(sr.R, 0) AS STAT_SCORE_CALIBRATED,
   m.ML_PERCENTILE AS ML_SCORE_CALIBRATED, {flag('f.PEER_COUNT >= 10')} AS PEER_DATA_SUFFICIENT,
-  CASE WHEN MISSING_FIELD_COUNT = 0 THEN 'HIGH' WHEN MISSING_FIELD_COUNT = 1 THEN 'MEDIUM' ELSE 'LOW' END
+  CASE WHEN f.MISSING_FIELD_COUNT = 0 THEN 'HIGH' WHEN f.MISSING_FIELD_COUNT = 1 THEN 'MEDIUM' ELSE 'LOW' END
     AS DATA_QUALITY_TIER,
   r.RULE_CANDIDATE + s.STAT_CANDIDATE + m.ML_ANOMALY AS INDEPENDENT_SIGNAL_COUNT
 FROM feat f JOIN scored_rules r USING (WORK_ID) JOIN scored_stats s USING (WORK_ID) JOIN ml m USING (WORK_ID)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import clean_date, clean_id, clean_numeric, clean_text
+from ..functions.scalar import clean_date, clean_id, clean_money, clean_text
 from ..sources.schemas import COMPLETED, EXPENDITURE, RECOMMENDED, SANCTIONED
 
 
@@ -129,7 +129,7 @@ def consolidate_works(records: DataFrame, key: str = "WORK_RECOMMENDATION_DTL_ID
         first_present_value(clean_date(c), order).alias(c) for c in FIRST_DATE_FIELDS if c in have
     ]
     aggregates += [
-        first_present_value(clean_numeric(c), order).alias(c)
+        first_present_value(clean_money(c), order).alias(c)
         for c in FIRST_MONEY_FIELDS
         if c in have
     ]

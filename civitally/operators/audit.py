@@ -72,7 +72,8 @@ def level_stats(works: DataFrame, keys: Sequence[str], skew: Skew = Skew()) -> D
         works,
         keys,
         moments={
-            "_mean": F.avg(F.col("SANCTION_AMOUNT").cast("double")),
+            "_mean": F.sum("SANCTION_AMOUNT").cast("double")
+            / F.nullif(F.count("SANCTION_AMOUNT"), F.lit(0)).cast("double"),
             "_std": F.stddev_samp(F.col("SANCTION_AMOUNT").cast("double")),
         },
         ranked={"_s": Ranked("SANCTION_AMOUNT", quantile_positions([0.5]))},

@@ -906,14 +906,14 @@ def _(c):
 SELECT * FROM scored_rules WHERE RULE_CANDIDATE = 1
 ORDER BY RULE_SCORE DESC, STRONG_RULE_COUNT DESC, RULE_TRIGGER_COUNT DESC, WORK_ID LIMIT 100""")
 def _(c):
-    return rules.rule_candidates(c.plan.rules).limit(100)
+    return rules.rule_candidates(c.plan.detected).limit(100)
 
 
 @register("srt03_stat_top", "WORK_ID:i STAT_SCORE:i STAT_CATEGORY_COUNT:i STAT_TRIGGER_COUNT:i", None, sql="""
 SELECT * FROM scored_stats WHERE STAT_CANDIDATE = 1 ORDER BY STAT_SCORE DESC, STAT_CATEGORY_COUNT DESC,
   STAT_STRONG_RULE_COUNT DESC, STAT_TRIGGER_COUNT DESC, WORK_ID LIMIT 100""")
 def _(c):
-    return statistics.statistical_candidates(c.plan.statistics).limit(100)
+    return statistics.statistical_candidates(c.plan.detected).limit(100)
 
 
 @register("srt05_top_anomalies", "WORK_ID:i ML_PERCENTILE:d RULE_AGREEMENT:b STATISTICAL_AGREEMENT:b "

@@ -19,7 +19,19 @@ DETECTED_COLUMNS = (
     "WORK_CATEGORY", "ACTIVITY_NAME", "WORK_DESCRIPTION", "WORK_STAGE", "SOURCE_KEY",
     "RECOMMENDED_AMOUNT", "SANCTION_AMOUNT", "ACTUAL_AMOUNT", "TOTAL_FUND_DISBURSED_AMT",
     "PAYMENT_COUNT", "UNIQUE_VENDOR_COUNT", "PEER_COUNT", "MISSING_FIELD_COUNT", "RULE_SCORE",
-    "RULE_SEVERITY", "RULE_CANDIDATE", "STAT_SCORE", "STAT_SEVERITY", "STAT_CANDIDATE",
+    "RULE_SEVERITY", "RULE_CANDIDATE", "STRONG_RULE_COUNT", "RULE_TRIGGER_COUNT", "RULE_FLAGS",
+    "RULE_REASONS", "RULE_VERIFICATION_NOTES", "STAT_SCORE", "STAT_SEVERITY", "STAT_CANDIDATE",
+    "STAT_CATEGORY_COUNT", "STAT_STRONG_RULE_COUNT", "STAT_TRIGGER_COUNT", "STAT_FLAGS",
+    "STAT_REASONS", "STAT_VERIFICATION_NOTES",
+)
+RULE_TABLE_COLUMNS = (
+    "WORK_ID", "STATE_NAME", "CONSTITUENCY", "MP_NAME", "WORK_CATEGORY", "SANCTION_AMOUNT",
+    "TOTAL_FUND_DISBURSED_AMT", "ACTUAL_AMOUNT", "PAYMENT_COUNT", "UNIQUE_VENDOR_COUNT",
+    "PEER_COUNT", "PEER_MEDIAN_SANCTION", "SANCTION_TO_PEER_MEDIAN", "SANCTION_PEER_Z_SCORE",
+    "RULE_FINANCIAL_SCORE", "RULE_PAYMENT_SCORE", "RULE_TIMELINE_SCORE",
+    "RULE_PAYMENT_STATUS_SCORE", "RULE_DIVERSITY_BONUS", "RULE_CATEGORY_COUNT", "RULE_SCORE",
+    "RULE_SEVERITY", "RULE_CANDIDATE", "RULE_TRIGGER_COUNT", "STRONG_RULE_COUNT",
+    "VERIFICATION_FLAG_COUNT", "RULE_FLAGS", "RULE_REASONS", "RULE_VERIFICATION_NOTES",
 )
 
 
@@ -83,6 +95,11 @@ class NationalPlan:
     def rules(self) -> DataFrame:
         return rules.score_rules(self.features, self.settings.rules)
 
+    @cached_property
+    def rule_table(self) -> DataFrame:
+        """Stored rule results, for filters and sorts on the scores."""
+        return self.store(self.rules.select(*RULE_TABLE_COLUMNS), "rules")
+
     @cached_property
     def statistics(self) -> DataFrame:
         return self._statistics(self.features)

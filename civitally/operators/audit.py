@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -99,7 +99,7 @@ def hierarchical_peers(
     for i, (_, level_keys) in enumerate(PEER_LEVELS):
         stats = level_stats(works.select(*level_keys, "SANCTION_AMOUNT"), level_keys, skew)
         df = attach_group_stats(
-            df, stats, level_keys, size="_rows", spread="WORK_ID", skew=skew
+            df, stats, level_keys, size="_rows", spread="WORK_ID", source=works, skew=skew
         ).withColumnsRenamed({c: f"{c}{i}" for c in ("_median", "_mean", "_std", "_n")}).drop("_rows")
     known = F.col("SANCTION_AMOUNT").isNotNull()
 
@@ -122,17 +122,31 @@ def hierarchical_peers(
 
 
 def robust_peer_z(
-    works: DataFrame, keys: Sequence[str] = PEER_KEYS, *, min_peers: int = 10, skew: Skew = Skew()
+    works: DataFrame,
+    keys: Sequence[str] = PEER_KEYS,
+    *,
+    min_peers: int = 10,
+    skew: Skew = Skew(),
+    store: Callable[[DataFrame, str], DataFrame] | None = None,
 ) -> DataFrame:
-    """WORK_ID, COST_VS_PEER_ROBUST_Z: distance from the median in scaled MADs."""
+    """WORK_ID, COST_VS_PEER_ROBUST_Z: distance from the median in scaled MADs.
+
+    ``store`` settles the distances from the first pass, which the second pass
+    reads more than once.
+    """
     rows = works.select("WORK_ID", *keys, F.col("SANCTION_AMOUNT").cast("double").alias("_x"))
     medians = grouped_quantiles(rows, keys, {"m": ("_x", [0.5], ["_median"])}, skew=skew)
+    distance = F.col("_x") - F.col("_median")
     centred = attach_group_stats(
-        rows, medians, keys, size="GROUP_ROWS", spread="WORK_ID", skew=skew
-    ).withColumn("_dev", F.abs(F.col("_x") - F.col("_median"))).drop("GROUP_ROWS", "m_N")
+        rows, medians, keys, size="GROUP_ROWS", spread="WORK_ID", source=works, skew=skew
+    ).select("WORK_ID", *keys, distance.alias("_d"), F.abs(distance).alias("_dev"))
+    if store is not None:
+        centred = store(centred, "peer_distance")
     mads = grouped_quantiles(centred, keys, {"d": ("_dev", [0.5], ["_mad"])}, skew=skew)
-    df = attach_group_stats(centred, mads, keys, size="GROUP_ROWS", spread="WORK_ID", skew=skew)
-    z = (F.col("_x") - F.col("_median")) / (F.col("_mad") * 1.4826)
+    df = attach_group_stats(
+        centred, mads, keys, size="GROUP_ROWS", spread="WORK_ID", source=works, skew=skew
+    )
+    z = F.col("_d") / (F.col("_mad") * 1.4826)
     enough = (F.col("d_N") - 1 >= min_peers) & (F.col("_mad") > 0)
     return df.select("WORK_ID", F.when(enough, z).alias("COST_VS_PEER_ROBUST_Z"))
 
@@ -148,14 +162,21 @@ def peer_percentile(
     ranked = percent_rank_of(
         rows, "SANCTION_AMOUNT", "_rank", spread="WORK_ID", keys=keys, skew=skew
     )
-    df = attach_group_stats(ranked, sizes, keys, size="_rows", spread="WORK_ID", skew=skew)
+    df = attach_group_stats(
+        ranked, sizes, keys, size="_rows", spread="WORK_ID", source=works, skew=skew
+    )
     return df.select(
         "WORK_ID", F.when(F.col("_n") - 1 >= min_peers, F.col("_rank")).alias("COST_PEER_PERCENTILE")
     )
 
 
 def build_audit_features(
-    works: DataFrame, spending: DataFrame, *, min_peers: int = 10, skew: Skew = Skew()
+    works: DataFrame,
+    spending: DataFrame,
+    *,
+    min_peers: int = 10,
+    skew: Skew = Skew(),
+    store: Callable[[DataFrame, str], DataFrame] | None = None,
 ) -> DataFrame:
     """All first-generation features; ``works`` should be a settled layer."""
     c = F.col
@@ -220,7 +241,7 @@ def build_audit_features(
     keyed = works.select("WORK_ID", *PEER_KEYS, "SANCTION_AMOUNT")
     df = (
         df.join(hierarchical_peers(keyed, min_peers, skew), "WORK_ID")
-        .join(robust_peer_z(keyed, min_peers=min_peers, skew=skew), "WORK_ID")
+        .join(robust_peer_z(keyed, min_peers=min_peers, skew=skew, store=store), "WORK_ID")
         .join(peer_percentile(keyed, min_peers=min_peers, skew=skew), "WORK_ID")
     )
     z = F.when(

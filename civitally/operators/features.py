@@ -307,7 +307,9 @@ def build_features(
         (mp_stats(narrow, skew), "MP_ID", "MP_WORK_COUNT"),
         (constituency_stats(narrow, skew), "CONSTITUENCY_ID", "CONSTITUENCY_WORK_COUNT"),
     ):
-        by_group = attach_group_stats(by_group, stats, [key], size=size, spread="WORK_ID", skew=skew)
+        by_group = attach_group_stats(
+            by_group, stats, [key], size=size, spread="WORK_ID", source=narrow, skew=skew
+        )
     filled = fill_peer_keys(narrow, PEER_KEYS, normalize_activity=normalize_activity)
     by_group = fill_peer_keys(by_group, PEER_KEYS, normalize_activity=normalize_activity)
     for stats, keys, size in (
@@ -317,7 +319,9 @@ def build_features(
         (group_count(filled, "ACTIVITY_NAME", "ACTIVITY_WORK_COUNT"), ["ACTIVITY_NAME"],
          "ACTIVITY_WORK_COUNT"),
     ):
-        by_group = attach_group_stats(by_group, stats, keys, size=size, spread="WORK_ID", skew=skew)
+        by_group = attach_group_stats(
+            by_group, stats, keys, size=size, spread="WORK_ID", source=filled, skew=skew
+        )
     carried = set(narrow.columns) - {"WORK_ID", *PEER_KEYS}
     wide = row_features(financial.drop(*PEER_KEYS))
     return peer_relative(wide.join(by_group.drop(*carried), "WORK_ID"))

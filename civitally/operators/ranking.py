@@ -33,14 +33,16 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, condition, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def hot_groups(sizes: DataFrame, keys: Sequence[str], rows: str, skew: Skew) -> DataFrame:
+def hot_keys(source: DataFrame, keys: Sequence[str], skew: Skew) -> DataFrame:
     """Keys of groups above ``hot_rows`` with the number of salts each needs.
 
     At most ``total / hot_rows`` keys can qualify, which bounds the broadcast.
+    Operators given the same source and keys share one such exchange.
     """
+    sizes = source.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
     return F.broadcast(
-        sizes.filter(F.col(rows) > skew.hot_rows).select(
-            *keys, F.ceil(F.col(rows) / skew.hot_rows).cast("int").alias("_splits")
+        sizes.filter(F.col("_size") > skew.hot_rows).select(
+            *keys, F.ceil(F.col("_size") / skew.hot_rows).cast("int").alias("_splits")
         )
     )
 
@@ -52,15 +54,18 @@ def attach_group_stats(
     *,
     size: str,
     spread: str,
+    source: DataFrame | None = None,
     skew: Skew = Skew(),
 ) -> DataFrame:
     """Left join per-group statistics onto rows, salting hot groups.
 
-    ``size`` is the statistics column with the group's row count, ``spread`` a
-    row column whose hash distributes a hot group over its salts.
+    ``size`` is the statistics column with the group's row count and ``spread``
+    a row column whose hash distributes a hot group over its salts. ``source``
+    is a cheap table with the same groups (default: the rows), from which hot
+    groups are counted; a large group of NULL keys is salted as well.
     """
     keys = list(keys)
-    hot = hot_groups(stats, keys, size, skew)
+    hot = hot_keys(rows if source is None else source, keys, skew)
     salted_rows = null_safe_join(rows, hot, keys, "left").withColumn(
         "_salt",
         F.coalesce(F.pmod(F.xxhash64(F.col(spread)), F.col("_splits")).cast("int"), F.lit(0)),
@@ -132,8 +137,7 @@ def grouped_profile(
     if not ranked:
         return rows.groupBy(*keys).agg(*aggregates)
 
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
-    tagged = null_safe_join(rows, hot_groups(sizes, keys, "_size", skew), keys, "left")
+    tagged = null_safe_join(rows, hot_keys(rows, keys, skew), keys, "left")
     cold = F.col("_splits").isNull()
     for name, spec in ranked.items():
         value = F.col(spec.value).cast("double")
@@ -245,9 +249,7 @@ def value_ranks(
     )
     binned_value = value_bin(F.col(value).cast("double"), skew)
     if keys:
-        sizes = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
-        hot = hot_groups(sizes, keys, "_size", skew)
-        binned = null_safe_join(counts, hot, keys, "left").withColumn(
+        binned = null_safe_join(counts, hot_keys(counts, keys, skew), keys, "left").withColumn(
             "_bin", F.when(F.col("_splits").isNotNull(), binned_value).otherwise(F.lit(0))
         )
         large = binned.filter(F.col("_splits").isNotNull())

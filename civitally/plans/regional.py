@@ -46,7 +46,9 @@ class RegionalPlan:
 
     @cached_property
     def features_plan(self) -> DataFrame:
-        return audit.build_audit_features(self.works, self.spending, skew=self.settings.skew)
+        return audit.build_audit_features(
+            self.works, self.spending, skew=self.settings.skew, store=self.store
+        )
 
     @cached_property
     def features(self) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from checks.context import Context  # noqa: E402
 from civitally.operators import evidence, reports, rules, search, statistics  # noqa: E402
+from civitally.plans.regional import RegionalPlan  # noqa: E402
 from civitally.session import local_session  # noqa: E402
 
 
@@ -34,10 +35,15 @@ def main() -> None:
         return Context(spark, sf_dir)
 
     shared = fresh()
+    landed = shared.raw_layer  # the landed records are the input, not the work
+
+    def regional() -> RegionalPlan:
+        return RegionalPlan(landed)
+
     jobs = {
         "payment_summary": lambda: run(fresh().plan.payment_agg),
         "financial_master": lambda: run(fresh().plan.financial_plan),
-        "consolidated_works": lambda: run(fresh().regional.works_plan),
+        "consolidated_works": lambda: run(regional().works_plan),
         "features": lambda: run(fresh().plan.features_plan),
         "rule_candidates": lambda: run(rules.rule_candidates(fresh().plan.rule_table).limit(100)),
         "statistical_candidates": lambda: run(
@@ -61,7 +67,7 @@ def main() -> None:
                 ["SANCTION_AMOUNT", "PAYMENT_COUNT", "UNIQUE_VENDOR_COUNT", "PEER_COUNT"],
             )
         ),
-        "audit_features": lambda: run(fresh().regional.features_plan),
+        "audit_features": lambda: run(regional().features_plan),
     }
     only = sys.argv[1:]
     times = {}

@@ -8,14 +8,16 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from civitally.config import FusionConfig
 from civitally.functions import scalar as fn
 from civitally.functions import text as tx
 from civitally.operators import (
     aggregates, audit, cleaning, evidence, explain, features, forest, fusion, joining, ranking,
     reports, rules, search, statistics,
 )
+from civitally.plans.regional import results_sorted
 from civitally.session import settle
-from civitally.sources import landed
+from civitally.sources import landed, sinks
 from civitally.sources.schemas import COMPLETED
 
 from . import sql as S
@@ -895,25 +897,25 @@ def _(c):
 # --- sorts, pages, sets, filters ---------------------------------------------------------------
 
 
-@register("srt01_queue_top", "WORK_ID:i INVESTIGATION_PRIORITY:s HYBRID_RISK_SCORE:d ML_PERCENTILE:d", None, sql="""
+@register("srt01_queue_order", "WORK_ID:i INVESTIGATION_PRIORITY:s HYBRID_RISK_SCORE:d ML_PERCENTILE:d", None, sql="""
 SELECT * FROM hyb ORDER BY CASE INVESTIGATION_PRIORITY WHEN 'P0' THEN 5 ELSE CAST(INVESTIGATION_PRIORITY[2] AS INT) END,
-  HYBRID_RISK_SCORE DESC, ML_PERCENTILE DESC, WORK_ID LIMIT 100""")
+  HYBRID_RISK_SCORE DESC, ML_PERCENTILE DESC, WORK_ID""")
 def _(c):
-    return fusion.queue_order(c.hybrid).limit(100)
+    return fusion.queue_order(c.hybrid)
 
 
-@register("srt02_rule_top", "WORK_ID:i RULE_SCORE:i STRONG_RULE_COUNT:i RULE_TRIGGER_COUNT:i", None, sql="""
+@register("srt02_rule_candidates", "WORK_ID:i RULE_SCORE:i STRONG_RULE_COUNT:i RULE_TRIGGER_COUNT:i", None, sql="""
 SELECT * FROM scored_rules WHERE RULE_CANDIDATE = 1
-ORDER BY RULE_SCORE DESC, STRONG_RULE_COUNT DESC, RULE_TRIGGER_COUNT DESC, WORK_ID LIMIT 100""")
+ORDER BY RULE_SCORE DESC, STRONG_RULE_COUNT DESC, RULE_TRIGGER_COUNT DESC, WORK_ID""")
 def _(c):
-    return rules.rule_candidates(c.plan.detected).limit(100)
+    return rules.rule_candidates(c.plan.detected)
 
 
-@register("srt03_stat_top", "WORK_ID:i STAT_SCORE:i STAT_CATEGORY_COUNT:i STAT_TRIGGER_COUNT:i", None, sql="""
+@register("srt03_stat_candidates", "WORK_ID:i STAT_SCORE:i STAT_CATEGORY_COUNT:i STAT_TRIGGER_COUNT:i", None, sql="""
 SELECT * FROM scored_stats WHERE STAT_CANDIDATE = 1 ORDER BY STAT_SCORE DESC, STAT_CATEGORY_COUNT DESC,
-  STAT_STRONG_RULE_COUNT DESC, STAT_TRIGGER_COUNT DESC, WORK_ID LIMIT 100""")
+  STAT_STRONG_RULE_COUNT DESC, STAT_TRIGGER_COUNT DESC, WORK_ID""")
 def _(c):
-    return statistics.statistical_candidates(c.plan.detected).limit(100)
+    return statistics.statistical_candidates(c.plan.detected)
 
 
 @register("srt05_top_anomalies", "WORK_ID:i ML_PERCENTILE:d RULE_AGREEMENT:b STATISTICAL_AGREEMENT:b "
@@ -1562,6 +1564,106 @@ def _(c):
     )
 
 
+@register("srt04_master_order", "STATE_NAME:s CONSTITUENCY:s MP_NAME:s WORK_ID:i", "works")
+def _(c):
+    return cleaning.master_order(c.works)
+
+
+@register("srt07_transactions_by_work", "WORK_ID:i EXPENDITURE_DATE:t VENDOR_ID:i FUND_DISBURSED_AMT:m", "pays")
+def _(c):
+    return aggregates.transactions_by_work(aggregates.payment_rows(c.payments))
+
+
+@register("srt08_audit_results", "WORK_ID:i INVESTIGATION_PRIORITY:i HYBRID_RISK_SCORE:d", None, sql="""
+SELECT * FROM g_hyb ORDER BY INVESTIGATION_PRIORITY, HYBRID_RISK_SCORE DESC, WORK_ID""")
+def _(c):
+    return results_sorted(_audit_hybrid(c))
+
+
+@register("src12_flat_records", "WORK_ID:i FINAL_RISK_LEVEL:s VENDOR_COUNT:i PEER_Z_SCORE:d SANCTION_DATE:t "
+          "HAS_FINDINGS:b", None, sql="""
+SELECT f.WORK_ID, FINAL_RISK_LEVEL, VENDOR_COUNT, COST_Z_SCORE AS PEER_Z_SCORE, SANCTION_DATE,
+  ACTUAL_AMOUNT > SANCTION_AMOUNT IS TRUE OR TOTAL_DISBURSED > SANCTION_AMOUNT IS TRUE OR COST_VS_PEER_MEDIAN >= 2 IS TRUE
+    AS HAS_FINDINGS FROM g_feat f JOIN (SELECT WORK_ID, FINAL_RISK_LEVEL FROM g_hyb) USING (WORK_ID)""")
+def _(c):
+    records = c.regional.evidence_with(settle(_audit_hybrid(c), "audit_hybrid"))
+    flat = sinks.flatten_struct(records, evidence.FLAT_FIELDS)
+    return flat.withColumn("HAS_FINDINGS", F.col("FINANCIAL_EVIDENCE") != "[]")
+
+
+@register("agg28_ml_severity", "ML_SEVERITY:s WORK_COUNT:i PERCENTAGE:d", None,
+          sql=_levels_sql("ML_SEVERITY", ("NONE", "LOW", "MEDIUM", "HIGH"), "ml"))
+def _(c):
+    return reports.level_summary(c.proxy_ml, "ML_SEVERITY", ("NONE", "LOW", "MEDIUM", "HIGH"))
+
+
+@register("agg42_cross_state_ids", "COLUMN:s CONFLICTING_IDS:i", None, sql="""
+SELECT '_STATE_NAME' AS "COLUMN", count(*) AS CONFLICTING_IDS FROM (
+  SELECT DTL_ID FROM raw GROUP BY 1 HAVING count(DISTINCT STATE_NAME) > 1) UNION ALL
+SELECT '_SOURCE_KEY', count(*) FROM (SELECT DTL_ID FROM raw GROUP BY 1 HAVING count(DISTINCT SOURCE_KEY) > 1)""")
+def _(c):
+    return reports.conflict_counts(
+        c.raw, "WORK_RECOMMENDATION_DTL_ID", ["_STATE_NAME", "_SOURCE_KEY"]
+    )
+
+
+@register("flt03_expenditure_records", "DTL_ID:s ORD:s FUND_DISBURSED_AMT:s", None, sql="""
+SELECT DTL_ID, ORD, FUND_DISBURSED_AMT FROM raw WHERE SOURCE_KEY LIKE 'Expenditure%'""")
+def _(c):
+    return aggregates.expenditure_records(c.raw).withColumnsRenamed(
+        {"WORK_RECOMMENDATION_DTL_ID": "DTL_ID", "_ord": "ORD"}
+    )
+
+
+@register("ev15_migrated_answers", "WORK_ID:i SOURCE:s", None, sql="""
+SELECT WORK_ID, CASE WHEN HYBRID_RISK_LEVEL = 'CRITICAL' THEN NULL ELSE 'legacy_migration' END AS SOURCE
+FROM hyb WHERE INVESTIGATION_CANDIDATE = 1 AND HYBRID_RISK_LEVEL IN ('CRITICAL', 'HIGH')""")
+def _(c):
+    candidates = search.in_scope(c.hybrid)
+    requests = explain.review_requests(candidates.withColumn("SELECTION_SCORE", F.lit(0.0)))
+    cache = candidates.filter("HYBRID_RISK_LEVEL = 'CRITICAL'").select("WORK_ID")
+    legacy = c.hybrid.filter(F.col("HYBRID_RISK_LEVEL").isin("CRITICAL", "HIGH")).select("WORK_ID")
+    return explain.migrate_answers(cache, legacy, requests)
+
+
+@register("ev06_queue_with_latest_answers", "WORK_ID:i ANSWER:s", None, sql="""
+SELECT WORK_ID, 'second' AS ANSWER FROM hyb WHERE INVESTIGATION_CANDIDATE = 1""")
+def _(c):
+    ids = search.in_scope(c.hybrid).select("WORK_ID")
+    landed_twice = ids.select("WORK_ID", F.lit("first").alias("ANSWER"), F.lit(1).alias("o")).unionByName(
+        ids.select("WORK_ID", F.lit("second").alias("ANSWER"), F.lit(2).alias("o")))
+    return explain.latest_answers(landed_twice, "o")
+
+
+@register("va11_integrity_checks", "CHECK:s PASSED:b", None, sql=" UNION ALL ".join(
+    f"SELECT '{k}' AS \"CHECK\", count(*) = count(DISTINCT WORK_ID) AS PASSED FROM feat" for k in (
+        "Feature WORK_ID complete", "Feature WORK_ID unique", "ML WORK_ID complete", "ML WORK_ID unique",
+        "ML rows match feature rows", "ML WORK_ID count matches feature dataset", "No ML output among features")))
+def _(c):
+    scores = c.proxy_ml.withColumn("IF_RAW_SCORE", -F.col("ML_ANOMALY_STRENGTH"))
+    return reports.ml_integrity(c.plan.features, scores)
+
+
+@register("va11_final_status", "PASSED:i FAILED:i STATUS:s", None,
+          sql="SELECT 7 AS PASSED, 0 * count(*) AS FAILED, 'PASS' AS STATUS FROM feat")
+def _(c):
+    scores = c.proxy_ml.withColumn("IF_RAW_SCORE", -F.col("ML_ANOMALY_STRENGTH"))
+    return reports.final_status(reports.ml_integrity(c.plan.features, scores))
+
+
+@register("va10_severity_coverage", "ML_SEVERITY:s WORK_COUNT:i ANOMALIES:i", None, sql="""
+SELECT ML_SEVERITY, count(*) AS WORK_COUNT, sum(ML_ANOMALY) AS ANOMALIES FROM ml GROUP BY 1""")
+def _(c):
+    return reports.severity_coverage(c.proxy_ml)
+
+
+@register("hy18_uncapped_fusion", "WORK_ID:i HYBRID_RISK_SCORE:d", None, sql="""
+SELECT WORK_ID, round_even((RULE_COMPONENT + STAT_COMPONENT + ML_COMPONENT + AGREEMENT_BONUS) * 10e0, 0) / 10e0 AS HYBRID_RISK_SCORE
+FROM hyb""")
+def _(c):
+    return fusion.score_fusion(c.hybrid, FusionConfig(cap=False))
+
+
 # --- audits -----------------------------------------------------------------------------------------
 
 AUDIT = "SECTION:s METRIC:s VALUE:f"

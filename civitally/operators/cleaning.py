@@ -145,10 +145,10 @@ def number_transactions(payments: DataFrame, order: str, skew: Skew = Skew()) ->
 def fill_peer_keys(
     df: DataFrame, keys: Sequence[str], *, normalize_activity: bool = False
 ) -> DataFrame:
-    filled = {k: peer_label(k) for k in keys}
-    if normalize_activity and "ACTIVITY_NAME" in filled:
-        filled["ACTIVITY_NAME"] = strip_activity_prefix(filled["ACTIVITY_NAME"])
-    return df.withColumns(filled)
+    def filled(k: str) -> Column:
+        return peer_label(strip_activity_prefix(k) if k == "ACTIVITY_NAME" and normalize_activity else k)
+
+    return df.withColumns({k: filled(k) for k in keys})
 
 
 def api_value(c: str) -> Column:
@@ -189,6 +189,12 @@ def build_work_master(collection: DataFrame) -> DataFrame:
     return keep_first(with_id, "WORK_ID", ["_ord"]).drop("_ord")
 
 
+def master_order(master: DataFrame) -> DataFrame:
+    """State, seat, representative, id; missing names last."""
+    keys = ("STATE_NAME", "CONSTITUENCY", "MP_NAME", "WORK_ID")
+    return master.orderBy(*[F.asc_nulls_last(k) for k in keys])
+
+
 def extract_payments(records: DataFrame) -> DataFrame:
     """Typed payment rows: landed records that state an amount."""
     require_columns(records, PAYMENT_REQUIRED, "raw records")

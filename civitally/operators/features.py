@@ -8,7 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import PEER_KEYS, Skew
-from ..functions.scalar import days, flag, missing_count, ratio
+from ..functions.scalar import (
+    days,
+    flag,
+    missing_count,
+    peer_label,
+    ratio,
+    strip_activity_prefix,
+)
 from .cleaning import fill_peer_keys
 from .joining import one_to_one
 from .ranking import (
@@ -245,10 +252,6 @@ def peer_stats(
     )
 
 
-def group_count(works: DataFrame, key: str, out: str) -> DataFrame:
-    return works.groupBy(key).agg(F.count(F.lit(1)).alias(out))
-
-
 def peer_relative(df: DataFrame) -> DataFrame:
     """Ratios, z-score and flags of a work against its peer group."""
     z = F.when(
@@ -284,6 +287,79 @@ def attach_peers(
     return attach_group_stats(works, stats, keys, size="PEER_COUNT", spread="WORK_ID", skew=skew)
 
 
+AMOUNTS = ("RECOMMENDED_AMOUNT", "SANCTION_AMOUNT", "TOTAL_FUND_DISBURSED_AMT")
+# Group kind -> its key column and the features taken from it.
+GROUP_KINDS = {
+    "STATE": ("STATE_NAME", {
+        "STATE_WORK_COUNT": "GROUP_ROWS", "STATE_TOTAL_RECOMMENDED": "_recommended",
+        "STATE_TOTAL_SANCTIONED": "_sanctioned", "STATE_TOTAL_DISBURSED": "_disbursed",
+        "STATE_AVG_WORK_COST": "_mean",
+    }),
+    "MP": ("MP_ID", {
+        "MP_WORK_COUNT": "GROUP_ROWS", "MP_TOTAL_RECOMMENDED": "_recommended",
+        "MP_TOTAL_SANCTIONED": "_sanctioned", "MP_TOTAL_DISBURSED": "_disbursed",
+        "MP_AVG_SANCTION_AMOUNT": "_mean", "MP_MEDIAN_SANCTION_AMOUNT": "_median",
+    }),
+    "CONSTITUENCY": ("CONSTITUENCY_ID", {
+        "CONSTITUENCY_WORK_COUNT": "GROUP_ROWS", "CONSTITUENCY_TOTAL_SANCTIONED": "_sanctioned",
+        "CONSTITUENCY_TOTAL_DISBURSED": "_disbursed", "CONSTITUENCY_AVG_SANCTION": "_mean",
+    }),
+    "CATEGORY": ("_CATEGORY", {"CATEGORY_WORK_COUNT": "GROUP_ROWS"}),
+    "ACTIVITY": ("_ACTIVITY", {"ACTIVITY_WORK_COUNT": "GROUP_ROWS"}),
+}
+
+
+def group_features(works: DataFrame, skew: Skew = Skew()) -> DataFrame:
+    """WORK_ID with the totals and counts of its five groups.
+
+    The five groupings share one long table (WORK_ID, KIND, KEY): one
+    aggregation, one join back and one pivot instead of five of each. Category
+    and activity are the filled peer keys; works without a state, MP or seat
+    get NULLs for it.
+    """
+    pairs = F.array(
+        *[
+            F.struct(F.lit(kind).alias("KIND"), F.col(key).cast("string").alias("KEY"))
+            for kind, (key, _) in GROUP_KINDS.items()
+        ]
+    )
+    long = (
+        works.select("WORK_ID", F.explode(pairs).alias("g"), *AMOUNTS)
+        .select("WORK_ID", "g.KIND", "g.KEY", *AMOUNTS)
+        .filter(F.col("KEY").isNotNull())
+        .withColumn("_mp_sanction", F.when(F.col("KIND") == "MP", F.col("SANCTION_AMOUNT")))
+    )
+    profile = grouped_profile(
+        long,
+        ["KIND", "KEY"],
+        moments={
+            "_recommended": _sum0("RECOMMENDED_AMOUNT"),
+            "_sanctioned": _sum0("SANCTION_AMOUNT"),
+            "_disbursed": _sum0("TOTAL_FUND_DISBURSED_AMT"),
+            "_mean": _mean("SANCTION_AMOUNT"),
+        },
+        ranked={"_m": Ranked("_mp_sanction", quantile_positions([0.5]))},
+        skew=skew,
+    )
+    (median,) = interpolate(F.col("_m"), F.col("_m_N"), [0.5])
+    joined = attach_group_stats(
+        long.select("WORK_ID", "KIND", "KEY"),
+        profile.withColumn("_median", median).drop("_m", "_m_N"),
+        ["KIND", "KEY"],
+        size="GROUP_ROWS",
+        spread="WORK_ID",
+        source=long,
+        skew=skew,
+    )
+    return joined.groupBy("WORK_ID").agg(
+        *[
+            F.max(F.when(F.col("KIND") == kind, F.col(source))).alias(out)
+            for kind, (_, outputs) in GROUP_KINDS.items()
+            for out, source in outputs.items()
+        ]
+    )
+
+
 def build_features(
     financial: DataFrame,
     *,
@@ -293,35 +369,33 @@ def build_features(
 ) -> DataFrame:
     """All features. ``financial`` should be a settled layer.
 
-    Group statistics are attached to a narrow projection of the works (ids, keys
-    and three amounts), so the wide row takes part in one join only, on the
-    unique work id.
+    Group statistics are computed and joined on narrow projections (ids, keys
+    and three amounts); the wide row takes part in joins on the unique work id
+    only, which are co-partitioned.
     """
-    narrow = financial.select(
-        "WORK_ID", "STATE_NAME", "MP_ID", "CONSTITUENCY_ID", "WORK_CATEGORY", "ACTIVITY_NAME",
-        "RECOMMENDED_AMOUNT", "SANCTION_AMOUNT", "TOTAL_FUND_DISBURSED_AMT",
+    wide = fill_peer_keys(row_features(financial), PEER_KEYS, normalize_activity=normalize_activity)
+    filled = fill_peer_keys(
+        financial.select("WORK_ID", *PEER_KEYS, "SANCTION_AMOUNT", "TOTAL_FUND_DISBURSED_AMT"),
+        PEER_KEYS,
+        normalize_activity=normalize_activity,
+    )
+    peers = attach_group_stats(
+        filled.select("WORK_ID", *peer_keys),
+        peer_stats(filled, peer_keys, skew),
+        peer_keys,
+        size="PEER_COUNT",
+        spread="WORK_ID",
+        source=filled,
+        skew=skew,
+    ).drop(*peer_keys)
+    activity = F.col("ACTIVITY_NAME")
+    grouped = financial.select(
+        "WORK_ID", "STATE_NAME", "MP_ID", "CONSTITUENCY_ID", *AMOUNTS,
+        peer_label("WORK_CATEGORY").alias("_CATEGORY"),
+        peer_label(strip_activity_prefix(activity) if normalize_activity else activity).alias(
+            "_ACTIVITY"
+        ),
+    )
+    return peer_relative(
+        wide.join(group_features(grouped, skew), "WORK_ID").join(peers, "WORK_ID")
     )
-    by_group = narrow
-    for stats, key, size in (
-        (state_stats(narrow, skew), "STATE_NAME", "STATE_WORK_COUNT"),
-        (mp_stats(narrow, skew), "MP_ID", "MP_WORK_COUNT"),
-        (constituency_stats(narrow, skew), "CONSTITUENCY_ID", "CONSTITUENCY_WORK_COUNT"),
-    ):
-        by_group = attach_group_stats(
-            by_group, stats, [key], size=size, spread="WORK_ID", source=narrow, skew=skew
-        )
-    filled = fill_peer_keys(narrow, PEER_KEYS, normalize_activity=normalize_activity)
-    by_group = fill_peer_keys(by_group, PEER_KEYS, normalize_activity=normalize_activity)
-    for stats, keys, size in (
-        (peer_stats(filled, peer_keys, skew), peer_keys, "PEER_COUNT"),
-        (group_count(filled, "WORK_CATEGORY", "CATEGORY_WORK_COUNT"), ["WORK_CATEGORY"],
-         "CATEGORY_WORK_COUNT"),
-        (group_count(filled, "ACTIVITY_NAME", "ACTIVITY_WORK_COUNT"), ["ACTIVITY_NAME"],
-         "ACTIVITY_WORK_COUNT"),
-    ):
-        by_group = attach_group_stats(
-            by_group, stats, keys, size=size, spread="WORK_ID", source=filled, skew=skew
-        )
-    carried = set(narrow.columns) - {"WORK_ID", *PEER_KEYS}
-    wide = row_features(financial.drop(*PEER_KEYS))
-    return peer_relative(wide.join(by_group.drop(*carried), "WORK_ID"))

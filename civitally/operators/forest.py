@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from ..config import ForestConfig, Skew
 from ..functions.scalar import finite, round_even
 from .cleaning import DataGateError
+from .columns import column_quantiles
 from .ranking import grouped_quantiles, percent_rank_of
 
 # Measurements of a work that may enter the model.
@@ -158,29 +159,16 @@ def melt(df: DataFrame, features: Sequence[str], *carry: str) -> DataFrame:
     )
 
 
-def feature_medians(
-    df: DataFrame, features: Sequence[str], skew: Skew = Skew(), *, rows: int | None = None
-) -> DataFrame:
-    """Imputer table: FEATURE, MEDIAN (exact).
+def feature_profile(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """FEATURE, N, LOWEST, HIGHEST and the exact MEDIAN of every feature."""
+    return column_quantiles(df, list(features), [0.5], ["MEDIAN"]).withColumnRenamed(
+        "COLUMN", "FEATURE"
+    )
 
-    A table known to have at most ``hot_rows`` rows is aggregated column by
-    column; a larger one is melted and goes through value histograms.
-    """
-    if rows is not None and rows <= skew.hot_rows:
-        one = df.agg(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(c).alias("FEATURE"), F.median(_numeric(c)).alias("MEDIAN")
-                    )
-                    for c in features
-                ]
-            ).alias("f")
-        )
-        return one.select(F.explode("f").alias("f")).select("f.*")
-    return grouped_quantiles(
-        melt(df, features), ["FEATURE"], {"v": ("VALUE", [0.5], ["MEDIAN"])}, skew=skew
-    ).select("FEATURE", "MEDIAN")
+
+def feature_medians(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Imputer table: FEATURE, MEDIAN."""
+    return feature_profile(df, features).select("FEATURE", "MEDIAN")
 
 
 def impute(df: DataFrame, features: Sequence[str], medians: dict[str, float]) -> DataFrame:
@@ -352,21 +340,17 @@ def fit_forest(
     df: DataFrame,
     features: Sequence[str] | None = None,
     config: ForestConfig = ForestConfig(),
-    skew: Skew = Skew(),
 ) -> IsolationForest:
     """Fit on all works. ``df`` should be a settled layer; this runs jobs."""
     features = list(features or model_features(df))
     if config.mask_weak_peers and "PEER_COUNT" in df.columns:
         df = mask_weak_peers(df, config.min_peers)
-    seen = {r["FEATURE"]: r["VALUES_SEEN"] for r in feature_variance(df, features).collect()}
-    features = [c for c in features if seen[c] > 1]
+    profile = {r["FEATURE"]: r for r in feature_profile(df, features).collect()}
+    features = [c for c in features if c in profile and profile[c]["LOWEST"] < profile[c]["HIGHEST"]]
     if not features:
         raise DataGateError("every model feature is constant")
+    medians = {c: profile[c]["MEDIAN"] for c in features}
     rows = df.count()
-    medians = {
-        r["FEATURE"]: r["MEDIAN"]
-        for r in feature_medians(df, features, skew, rows=rows).collect()
-    }
     ready = impute(df.select("WORK_ID", *features), features, medians)
     sample = min(config.sample, rows)
     depth_limit = max(1, math.ceil(math.log2(max(sample, 2))))

@@ -143,7 +143,7 @@ def grouped_profile(
         value = F.col(spec.value).cast("double")
         aggregates.append(F.count(F.col(spec.value)).alias(f"{name}_N"))
         aggregates.append(
-            F.array_sort(F.collect_list(F.when(cold, value))).alias(f"_{name}_sorted")
+            F.sort_array(F.collect_list(F.when(cold, value))).alias(f"_{name}_sorted")
         )
     profile = tagged.groupBy(*keys).agg(*aggregates)
     for name, spec in ranked.items():
@@ -301,17 +301,23 @@ def percent_rank_of(
     scale: float = 100.0,
     skew: Skew = Skew(),
 ) -> DataFrame:
-    """Average-tie percentile rank of ``value`` within ``keys`` (or overall)."""
+    """Average-tie percentile rank of ``value`` within ``keys`` (or overall).
+
+    Rows without a value get NULL and take no part in the shuffle.
+    """
     keys = list(keys)
-    ranks = value_ranks(rows, keys, value, skew).select(
+    known = rows.filter(F.col(value).isNotNull())
+    missing = rows.filter(F.col(value).isNull()).withColumn(out, F.lit(None).cast("double"))
+    ranks = value_ranks(known, keys, value, skew).select(
         *keys,
         value,
         F.col("CNT").alias("_ties"),
         (average_percent(F.col("BELOW"), F.col("CNT"), F.col("N")) * scale).alias(out),
     )
-    return attach_group_stats(
-        rows, ranks, [*keys, value], size="_ties", spread=spread, skew=skew
+    ranked = attach_group_stats(
+        known, ranks, [*keys, value], size="_ties", spread=spread, skew=skew
     ).drop("_ties")
+    return ranked.unionByName(missing)
 
 
 def bounded_rank_table(rows: DataFrame, value: str, out: str) -> DataFrame:

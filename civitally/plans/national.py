@@ -130,9 +130,7 @@ class NationalPlan:
         return fusion.fuse(self.detected.join(ml, "WORK_ID", "left"), self.settings.fusion)
 
     def forest(self) -> forest.IsolationForest:
-        return forest.fit_forest(
-            self.features, config=self.settings.forest, skew=self.settings.skew
-        )
+        return forest.fit_forest(self.features, config=self.settings.forest)
 
     @cached_property
     def ml(self) -> DataFrame:

@@ -64,7 +64,7 @@ class RegionalPlan:
 
     def ml(self, config: ForestConfig = AUDIT_FOREST) -> DataFrame:
         present, _ = forest.audit_features(self.features)
-        model = forest.fit_forest(self.features, present, config, self.settings.skew)
+        model = forest.fit_forest(self.features, present, config)
         return forest.score_audit_forest(self.features, model, store=self.store)
 
     def hybrid_with(self, ml: DataFrame) -> DataFrame:

@@ -1,10 +1,12 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from civitally.config import ForestConfig, Skew
+from civitally.config import ForestConfig
 from civitally.operators import forest
 from civitally.operators.cleaning import DataGateError
+from civitally.operators.columns import column_quantiles
 
 CONFIG = ForestConfig(trees=60, sample=64, seed=7, mask_weak_peers=False)
 FEATURES = ["SANCTION_AMOUNT", "PAYMENT_COUNT", "ACTUAL_AMOUNT"]
@@ -31,8 +33,24 @@ def test_constant_features_are_dropped_and_medians_exact(works, model):
     pdf = works.toPandas()
     for c in FEATURES:
         assert model.medians[c] == pytest.approx(pdf[c].median())
-    melted = forest.feature_medians(works, FEATURES, Skew(hot_rows=50, bin_bits=6)).collect()
-    assert {r["FEATURE"]: r["MEDIAN"] for r in melted} == pytest.approx(model.medians)
+    table = forest.feature_medians(works, FEATURES).collect()
+    assert {r["FEATURE"]: r["MEDIAN"] for r in table} == pytest.approx(model.medians)
+
+
+@pytest.mark.parametrize("bits", [0, 4, 12])
+def test_column_quantiles_equal_pandas(spark, bits):
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame({"a": rng.normal(0, 1000, 900).round(1), "b": rng.integers(-2, 3, 900).astype(float),
+                        "c": np.full(900, np.nan), "d": rng.random(900)})
+    pdf.loc[::7, "a"] = np.nan
+    df = spark.createDataFrame(pdf).repartition(5)
+    df = df.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) for c in df.columns])
+    probs = [0.0, 0.1, 0.5, 0.995]
+    got = column_quantiles(df, list(pdf.columns), probs, ["q0", "q1", "q2", "q3"], bits).toPandas().set_index("COLUMN")
+    assert set(got.index) == {"a", "b", "d"}
+    for c in got.index:
+        assert np.allclose(got.loc[c, ["q0", "q1", "q2", "q3"]].astype(float), pdf[c].quantile(probs))
+        assert (got.loc[c, "N"], got.loc[c, "LOWEST"], got.loc[c, "HIGHEST"]) == (pdf[c].count(), pdf[c].min(), pdf[c].max())
 
 
 def walk(nodes, x, features):

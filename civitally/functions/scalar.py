@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 ColumnLike = Column | str
 
-# Date layouts found in landed records, tried in this order.
-DATE_FORMATS = ("yyyy-MM-dd", "dd-MM-yyyy", "dd-MMM-yyyy", "dd/MM/yyyy")
+# Date layouts found in landed records and the shape of each.
+DATE_FORMATS = {
+    "yyyy-MM-dd": r"^\d{4}-\d{2}-\d{2}$",
+    "dd-MM-yyyy": r"^\d{2}-\d{2}-\d{4}$",
+    "dd-MMM-yyyy": r"^\d{2}-[A-Za-z]{3}-\d{4}$",
+    "dd/MM/yyyy": r"^\d{2}/\d{2}/\d{4}$",
+}
 
 
 def col(c: ColumnLike) -> Column:
@@ -32,10 +37,18 @@ def clean_id(c: ColumnLike) -> Column:
     return clean_numeric(c).cast("bigint")
 
 
-def clean_date(c: ColumnLike, formats: Iterable[str] = DATE_FORMATS) -> Column:
-    """Text to date by trying explicit layouts; unreadable text becomes NULL."""
+def clean_date(c: ColumnLike, formats: Mapping[str, str] = DATE_FORMATS) -> Column:
+    """Text to date by its explicit layout; unreadable text becomes NULL.
+
+    The shape picks the layout, so a value is parsed once and a wrong layout
+    never costs a failed parse.
+    """
     text = F.trim(col(c).cast("string"))
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)).cast("date") for f in formats])
+    out = F.lit(None).cast("date")
+    for layout, shape in formats.items():
+        parsed = F.try_to_timestamp(text, F.lit(layout)).cast("date")
+        out = F.when(text.rlike(shape), parsed).otherwise(out)
+    return out
 
 
 def clean_text(c: ColumnLike) -> Column:

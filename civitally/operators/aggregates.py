@@ -17,7 +17,8 @@ def status_is(c: str, status: str) -> Column:
 
 def first_present_value(c: Column, order: Sequence[Column]) -> Column:
     """First non-null value in the given order (deterministic)."""
-    return F.min_by(c, F.when(c.isNotNull(), F.struct(*order)))
+    position = order[0] if len(order) == 1 else F.struct(*order)
+    return F.min_by(c, F.when(c.isNotNull(), position))
 
 
 # Attribute of the payment row -> column of the payment summary.

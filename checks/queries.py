@@ -1766,6 +1766,7 @@ def _(c):
         "WITHOUT_PAYMENTS": "count(*) FILTER (WHERE NOT HAS_PAYMENT_RECORD)",
         "COVERAGE_PERCENT": "round_even(count(*) FILTER (WHERE HAS_PAYMENT_RECORD) * 1e0 / count(*) * 100e0 * 100e0, 0) / 100e0",
         "TOTAL_DISBURSED": "sum(TOTAL_FUND_DISBURSED_AMT)", "MAX_PAYMENTS": "max(PAYMENT_COUNT)",
+        "AVERAGE_PAYMENTS": "round_even(sum(PAYMENT_COUNT) * 1e0 / count(PAYMENT_COUNT) * 100e0, 0) / 100e0",
         "RATIO_AVAILABLE": "count(DISBURSED_TO_SANCTION_RATIO)",
         "RATIO_ABOVE_1": "count(*) FILTER (WHERE DISBURSED_TO_SANCTION_RATIO > 1)",
         "RATIO_ABOVE_2": "count(*) FILTER (WHERE DISBURSED_TO_SANCTION_RATIO > 2)",

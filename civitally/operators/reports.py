@@ -724,6 +724,7 @@ def audit_payments(expenditure: DataFrame, payments: DataFrame) -> DataFrame:
             "COVERAGE_PERCENT": round_even(percent(F.count_if(paid), row_count()), 2),
             "TOTAL_DISBURSED": F.sum("TOTAL_FUND_DISBURSED_AMT"),
             "MAX_PAYMENTS": F.max("PAYMENT_COUNT"),
+            "AVERAGE_PAYMENTS": round_even(F.sum("PAYMENT_COUNT") / F.count("PAYMENT_COUNT"), 2),
             "RATIO_AVAILABLE": F.count(r), "RATIO_ABOVE_1": F.count_if(r > 1),
             "RATIO_ABOVE_2": F.count_if(r > 2), "ZERO_DURATION": F.count_if(
                 F.col("EXPENDITURE_DURATION_DAYS") == 0),

@@ -119,9 +119,10 @@ def discover_mappings(records: DataFrame, candidates: DataFrame) -> DataFrame:
     A pair is confirmed when a record names the representative (ignoring case)
     and carries the seat id. Candidates keep one row per pair.
     """
+    # one row per pair before the join, however many records name it
     seen = records.select(
         F.lower(F.trim("MP_NAME")).alias("_mp"), clean_id("CONSTITUENCY_ID").alias("_seat")
-    )
+    ).distinct()
     named = candidates.withColumns(
         {"_mp": F.lower(F.trim("mp_name")), "_seat": F.col("constituency_id").cast("bigint")}
     )

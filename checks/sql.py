@@ -17,11 +17,6 @@ def relation(name: str, sql: str) -> None:
     RELATIONS[name] = sql.strip()
 
 
-def _needed(sql: str) -> list[str]:
-    words = set(re.findall(r"[a-z_0-9]+", sql))
-    return [n for n in RELATIONS if n in words]
-
-
 def with_relations(sql: str, extra: dict[str, str] | None = None) -> str:
     """Prefix ``sql`` with every relation it mentions, directly or not."""
     extra = extra or {}

@@ -5,10 +5,10 @@ from pyspark.sql import functions as F
 
 from checks.context import Context
 from civitally.config import ForestConfig, Settings
-from civitally.operators import aggregates, fusion
+from civitally.operators import aggregates, cleaning, features, forest, fusion, search
 from civitally.plans.national import NationalPlan
 from civitally.plans.publish import publish
-from civitally.sources import testbed
+from civitally.sources import schemas, testbed
 
 FAST = Settings(forest=ForestConfig(trees=40, sample=64))
 
@@ -74,3 +74,34 @@ def test_publish_writes_every_table(spark, context, tmp_path):
     one = spark.read.parquet(str(tmp_path / "out" / "hybrid_risk")).filter("STATE_ID = 3")
     assert "PartitionFilters: [isnotnull(STATE_ID" in one._jdf.queryExecution().toString()
     assert one.count() == context.works.filter("STATE_ID = 3").count()
+
+
+def test_single_group_statistics_agree_with_the_long_table(context):
+    fin = context.plan.financial
+    wide = context.plan.features
+    for stats, key in ((features.mp_stats(fin), "MP_ID"), (features.constituency_stats(fin), "CONSTITUENCY_ID")):
+        columns = [c for c in stats.columns if c != key]
+        seen = wide.filter(F.col(key).isNotNull()).select(key, *columns).distinct()
+        assert seen.count() == stats.count()
+        # means and medians are exact, so the rows agree value by value
+        assert seen.exceptAll(stats.select(key, *columns)).count() == 0
+
+
+def test_work_master_has_the_declared_types(context):
+    master = cleaning.build_work_master(cleaning.most_complete(context.raw))
+    declared = {f.name: f.dataType for f in schemas.WORK_MASTER.fields}
+    assert {f.name: f.dataType for f in master.schema.fields} == declared
+    assert {r[0] for r in context.raw.select("_SOURCE_KEY").distinct().collect()} == set(schemas.SOURCE_LISTS)
+
+
+def test_model_inputs_must_be_finite(spark):
+    good = spark.createDataFrame([(1.0,), (2.0,)], "a double")
+    assert forest.require_finite(good, ["a"]) is good
+    with pytest.raises(cleaning.DataGateError):
+        forest.require_finite(good.union(spark.createDataFrame([(None,)], "a double")), ["a"])
+
+
+def test_stored_values_and_levels(spark):
+    df = spark.createDataFrame([("", 70.0), ("LOW", 70.0), (None, None)], "HYBRID_RISK_LEVEL string, HYBRID_RISK_SCORE double")
+    got = df.select(search.stored_level(df).alias("l"), cleaning.api_value("HYBRID_RISK_LEVEL").alias("v")).collect()
+    assert [(r["l"], r["v"]) for r in got] == [("CRITICAL", None), ("LOW", "LOW"), (None, None)]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, training_order
+from . import bpe, line_dedup, packing, quality_rules, training_order
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,16 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_quality_rules", quality_rules.SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.verdicts(table(spark, sf_dir, "documents"))
+
+
+@query("op2_line_dedup", line_dedup.SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.summary(table(spark, sf_dir, "documents"))
+
+
 @query("op3_training_order")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training_order.records(training_order.shards(table(spark, sf_dir, "documents")))

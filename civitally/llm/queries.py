@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import attention, bpe, jaccard, line_dedup, packing, quality_rules, toxicity, training_order, vafile
+from . import attention, bpe, jaccard, licenses, line_dedup, packing, quality_rules, toxicity, training_order, vafile
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,6 +54,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vafile.top_k(table(spark, sf_dir, "embeddings"))
 
 
+@query("op7_license_scan", licenses.SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(licenses.documents_as_files(table(spark, sf_dir, "documents")))
+
+
 @query("op8_ngram_jaccard")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))

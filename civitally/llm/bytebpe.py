@@ -211,7 +211,7 @@ class PieceCache(dict):
 
 
 class Codec:
-    def __init__(self, vocabulary: Vocabulary, encode, cache_entries: int = 1_000_000):
+    def __init__(self, vocabulary: Vocabulary, encode, cache_entries: int = 400_000):
         self.v = vocabulary
         self.cache = PieceCache(encode, cache_entries)
 

@@ -99,7 +99,8 @@ def with_slots(layer: DataFrame, total: int, key: int) -> DataFrame:
             F.lit(0),
         ).alias("before"),
     )
-    return layer.join(before, "part").withColumn("slot", slot(F.col("before") + F.col("place")))
+    # One row for each task that wrote the layer, so it is small beside the ids.
+    return layer.join(F.broadcast(before), "part").withColumn("slot", slot(F.col("before") + F.col("place")))
 
 
 def shards(

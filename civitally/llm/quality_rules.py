@@ -130,7 +130,7 @@ def judge(
         .withColumn("base_failed", base_failed()),
         "quality-rules",
     )
-    bad = host_rates(layer.withColumnRenamed(host, "host")).filter(F.col("rate") > max_host_rate)
+    bad = host_rates(layer.select(F.col(host).alias("host"), "base_failed")).filter(F.col("rate") > max_host_rate)
     salt, failed = hidden("salt"), hidden("failed")
     bad = bad.select(
         F.col("host").alias(host),

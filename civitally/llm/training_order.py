@@ -32,6 +32,7 @@ from .bytebpe import rank_codec
 from .common import map_rows
 
 SEQUENCES = "doc_id bigint, piece int, n_tokens int, ids binary"
+MOST_PARTS = 1_000_000
 HEADER = 4  # bytes of a record's token count
 
 
@@ -91,7 +92,7 @@ def with_slots(layer: DataFrame, total: int, key: int) -> DataFrame:
         return pd.Series(feistel(index.to_numpy(), total, key))
 
     parts = layer.groupBy("part").agg((F.max("place") + 1).alias("rows"))
-    # One row for each written part; the running sum gives its first index.
+    # One row for each task that wrote the layer; the running sum gives its first index.
     before = parts.select(
         "part",
         F.coalesce(
@@ -99,8 +100,9 @@ def with_slots(layer: DataFrame, total: int, key: int) -> DataFrame:
             F.lit(0),
         ).alias("before"),
     )
-    # One row for each task that wrote the layer, so it is small beside the ids.
-    return layer.join(F.broadcast(before), "part").withColumn("slot", slot(F.col("before") + F.col("place")))
+    if parts.count() <= MOST_PARTS:  # 16 MB at most
+        before = F.broadcast(before)
+    return layer.join(before, "part").withColumn("slot", slot(F.col("before") + F.col("place")))
 
 
 def shards(

@@ -50,7 +50,8 @@ WORDS = 4
 PERCENT = 85
 COORDINATES = 64
 CHUNK = 4000
-BLOCK = 4096
+BLOCK = 1024
+SALTS = 16
 SENT_IDS = 4_000_000
 K1, K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -324,10 +325,12 @@ def tree_pairs(pairs: DataFrame, roots: DataFrame, points: DataFrame, percent: i
     open_centres = around.groupBy("centre").agg(
         F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size")
     ).filter("low < high and size > 2").select(
-        "centre", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")
+        "centre", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"),
+        F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"),
     )
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
     placed = (
-        around.join(open_centres, "centre")
+        around.withColumn("salt", salt).join(open_centres, ["centre", "salt"])
         .withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .join(points, "doc_id")

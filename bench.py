@@ -45,9 +45,9 @@ def main() -> None:
         "financial_master": lambda: run(fresh().plan.financial_plan),
         "consolidated_works": lambda: run(regional().works_plan),
         "features": lambda: run(fresh().plan.features_plan),
-        "rule_candidates": lambda: run(rules.rule_candidates(fresh().plan.rule_table).limit(100)),
+        "rule_candidates": lambda: run(rules.rule_candidates(fresh().plan.rule_table)),
         "statistical_candidates": lambda: run(
-            statistics.statistical_candidates(fresh().plan.detected).limit(100)
+            statistics.statistical_candidates(fresh().plan.detected)
         ),
         "hybrid_without_forest": lambda: run(fresh().hybrid),
         "hybrid_with_forest": lambda: run(shared.plan.hybrid),

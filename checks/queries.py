@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civitally.config import FusionConfig
@@ -15,6 +17,7 @@ from civitally.operators import (
     aggregates, audit, cleaning, evidence, explain, features, forest, fusion, joining, ranking,
     reports, rules, search, statistics,
 )
+from civitally.plans.national import NationalPlan
 from civitally.plans.regional import results_sorted
 from civitally.session import settle
 from civitally.sources import landed, sinks
@@ -145,6 +148,67 @@ def _(c):
     return cleaning.key_profile(c.raw, "WORK_RECOMMENDATION_DTL_ID")
 
 
+@register("cln06_quarantine_counts", "REJECTED:s N:i", None, sql="""
+SELECT 'payments_without_id' AS REJECTED, count(*) AS N FROM raw WHERE FUND_DISBURSED_AMT IS NOT NULL AND VENDOR_ID = '7'
+UNION ALL SELECT 'completions_without_id', count(*) FROM raw
+  WHERE SOURCE_KEY = 'Works Completed' AND ACTUAL_AMOUNT IS NOT NULL AND CAST(AVERAGE_RATING AS DOUBLE) >= 4
+UNION ALL SELECT 'records_without_work', count(*) FROM raw WHERE SOURCE_KEY = 'Works Sanctioned' AND CAST(SANCTION_AMOUNT AS DOUBLE) > 200000""")
+def _(c):
+    # ids that cannot be read, ids that are absent, and records that name no work at all
+    nameless = (F.col("_SOURCE_KEY") == "Works Sanctioned") & (
+        F.col("SANCTION_AMOUNT").cast("double") > 200000)
+    detail = (
+        F.when((F.col("VENDOR_ID") == "7") & F.col("FUND_DISBURSED_AMT").isNotNull(), "unreadable")
+        .when((F.col("_SOURCE_KEY") == COMPLETED) & (F.col("AVERAGE_RATING").cast("double") >= 4),
+              F.lit(None))
+        .when(nameless, "0")
+        .otherwise(F.col("WORK_RECOMMENDATION_DTL_ID"))
+    )
+    number = F.when(nameless, F.lit("")).otherwise(F.col("WORK_ID"))
+    damaged = c.raw_layer.withColumns({"WORK_RECOMMENDATION_DTL_ID": detail, "WORK_ID": number})
+    rejected = NationalPlan.from_records(damaged, c.settings).rejected
+    names = ("payments_without_id", "completions_without_id", "records_without_work")
+    return reduce(DataFrame.unionByName, [
+        rejected[n].agg(F.count(F.lit(1)).alias("N")).withColumn("REJECTED", F.lit(n)) for n in names])
+
+
+@register("cln08_one_to_one", "NAME:s ROWS:i MISSING_KEYS:i UNIQUE_KEYS:i DUPLICATE_ROWS:i", None, sql="""
+SELECT NAME, count(*) AS ROWS, count(*) - count(WORK_ID) AS MISSING_KEYS, count(DISTINCT WORK_ID) AS UNIQUE_KEYS,
+  count(WORK_ID) - count(DISTINCT WORK_ID) AS DUPLICATE_ROWS FROM (
+  SELECT 'works' AS NAME, WORK_ID FROM works UNION ALL SELECT 'completions', WORK_ID FROM dones
+  UNION ALL SELECT 'financial', WORK_ID FROM works UNION ALL SELECT 'payments', WORK_ID FROM pays) GROUP BY NAME""")
+def _(c):
+    tables = {"works": c.works, "completions": c.completions, "financial": c.plan.financial,
+              "payments": aggregates.payment_rows(c.payments)}
+    return reduce(DataFrame.unionByName, [
+        cleaning.key_profile(df, "WORK_ID").withColumn("NAME", F.lit(n)) for n, df in tables.items()])
+
+
+@register("cln09_rows_preserved", "STAGE:s ROWS:i", None, sql=" UNION ALL ".join(
+    f"SELECT '{s}' AS STAGE, count(*) AS ROWS FROM works"
+    for s in ("financial", "features", "detected", "hybrid")))
+def _(c):
+    stages = {"financial": c.plan.financial, "features": c.plan.features,
+              "detected": c.plan.detected, "hybrid": c.hybrid}
+    return reduce(DataFrame.unionByName, [
+        df.agg(F.count(F.lit(1)).alias("ROWS")).withColumn("STAGE", F.lit(n))
+        for n, df in stages.items()])
+
+
+@register("cln18_completion_conflicts", "WORK_ID:i RECORDS:i VERSIONS:i", None, sql="""
+SELECT WORK_ID, count(*) AS RECORDS, count(DISTINCT ROW(ACTUAL_AMOUNT, ACTUAL_END_DATE)) AS VERSIONS FROM (
+  SELECT WORK_ID, ACTUAL_AMOUNT, ACTUAL_END_DATE FROM dones
+  UNION ALL SELECT WORK_ID, ACTUAL_AMOUNT, ACTUAL_END_DATE FROM dones WHERE AVERAGE_RATING >= 4
+  UNION ALL SELECT WORK_ID, ACTUAL_AMOUNT + 1, ACTUAL_END_DATE FROM dones WHERE ACTUAL_AMOUNT > 100000)
+GROUP BY WORK_ID HAVING count(*) > 1""")
+def _(c):
+    # well rated completions landed twice, large ones with another amount
+    again = c.completions.filter("AVERAGE_RATING >= 4")
+    other = c.completions.filter("ACTUAL_AMOUNT > 100000").withColumn(
+        "ACTUAL_AMOUNT", (F.col("ACTUAL_AMOUNT") + 1).cast(c.completions.schema["ACTUAL_AMOUNT"].dataType))
+    return cleaning.completion_conflicts(c.completions.unionByName(again).unionByName(other))
+
+
 @register("cln10_exact_dedup", "SOURCE_KEY:s N:i", None, sql="""
 SELECT SOURCE_KEY, count(*) AS N FROM (SELECT DISTINCT * EXCLUDE (ORD) FROM raw) GROUP BY 1""")
 def _(c):
@@ -1246,9 +1310,10 @@ def _(c):
   + least(coalesce(UNIQUE_VENDOR_COUNT, 0), 30) * 0.5e0 DESC, WORK_ID)
   <= CASE HYBRID_RISK_LEVEL WHEN 'CRITICAL' THEN 50 WHEN 'HIGH' THEN 30 WHEN 'MEDIUM' THEN 20 ELSE 0 END AS PICKED
   FROM hyb WHERE INVESTIGATION_CANDIDATE = 1"""}, sql="""
-SELECT WORK_ID, CASE WHEN PICKED THEN 'GENERATED' ELSE 'NOT_SELECTED' END AS STATUS,
-  CASE WHEN PICKED THEN DETECTOR_AGREEMENT ELSE '' END AS RISK_SUMMARY, CASE WHEN PICKED THEN 'LOW' ELSE '' END AS CONFIDENCE
-FROM picks WHERE NOT (PICKED AND HYBRID_RISK_LEVEL = 'MEDIUM')""")
+SELECT WORK_ID, CASE WHEN PICKED AND HYBRID_RISK_LEVEL = 'MEDIUM' THEN 'REJECTED' WHEN PICKED THEN 'GENERATED'
+    ELSE 'NOT_SELECTED' END AS STATUS,
+  CASE WHEN PICKED AND HYBRID_RISK_LEVEL <> 'MEDIUM' THEN DETECTOR_AGREEMENT ELSE '' END AS RISK_SUMMARY,
+  CASE WHEN PICKED AND HYBRID_RISK_LEVEL <> 'MEDIUM' THEN 'LOW' ELSE '' END AS CONFIDENCE FROM picks""")
 def _(c):
     candidates = search.in_scope(c.hybrid)
     usable, _ = explain.read_answers(_answers(c))
@@ -1282,16 +1347,18 @@ def _(c):
 
 
 @register("ev09_unified_records", "WORK_ID:i INVESTIGATION_SUMMARY:s VERIFICATION_FLAGS:s "
-          "MISSING_FIELD_COUNT:i EXPLAINED:b", None, sql=f"""
+          "MISSING_FIELD_COUNT:i PAYMENTS_PER_30_DAYS:d SANCTION_PEER_Z_SCORE:f SANCTION_DATE:t "
+          "PAYMENT_SUCCESS_COUNT:i PEER_COUNT:i EXPLAINED:b", None, sql=f"""
 SELECT h.WORK_ID, coalesce(q.INVESTIGATION_SUMMARY, 'Work record #' || h.WORK_ID
     || ' analyzed by multi-detector engine with risk score ' || {S.number('h.HYBRID_RISK_SCORE')} || '.') AS INVESTIGATION_SUMMARY,
   coalesce(q.VERIFICATION_FLAGS, CASE WHEN h.HYBRID_RISK_LEVEL = 'CRITICAL' THEN 'FLAGGED_BY_CONSENSUS' ELSE 'BASELINE_AUDIT' END)
-    AS VERIFICATION_FLAGS, coalesce(q.MISSING_FIELD_COUNT, 0) AS MISSING_FIELD_COUNT,
+    AS VERIFICATION_FLAGS, f.MISSING_FIELD_COUNT, f.PAYMENTS_PER_30_DAYS, f.SANCTION_PEER_Z_SCORE,
+  f.SANCTION_DATE, f.PAYMENT_SUCCESS_COUNT, f.PEER_COUNT,
   h.INVESTIGATION_CANDIDATE = 1 AND h.HYBRID_RISK_LEVEL IN ('CRITICAL', 'HIGH') AS EXPLAINED
-FROM hyb h LEFT JOIN queue q USING (WORK_ID)""")
+FROM hyb h LEFT JOIN queue q USING (WORK_ID) LEFT JOIN feat f USING (WORK_ID)""")
 def _(c):
     usable, _ = explain.read_answers(_answers(c))
-    return explain.unified_record(c.hybrid, c.queue, usable)
+    return explain.unified_record(c.hybrid, c.plan.features, c.queue, usable)
 
 
 # --- first generation -----------------------------------------------------------------------------
@@ -1627,28 +1694,45 @@ def _(c):
 
 
 @register("ev06_queue_with_latest_answers", "WORK_ID:i ANSWER:s", None, sql="""
-SELECT WORK_ID, 'second' AS ANSWER FROM hyb WHERE INVESTIGATION_CANDIDATE = 1""")
-def _(c):
-    ids = search.in_scope(c.hybrid).select("WORK_ID")
-    landed_twice = ids.select("WORK_ID", F.lit("first").alias("ANSWER"), F.lit(1).alias("o")).unionByName(
-        ids.select("WORK_ID", F.lit("second").alias("ANSWER"), F.lit(2).alias("o")))
-    return explain.latest_answers(landed_twice, "o")
+SELECT WORK_ID, arg_max(LETTER_NO || '/' || ORD, ORD) AS ANSWER FROM (
+  SELECT CAST(DTL_ID AS BIGINT) AS WORK_ID, coalesce(LETTER_NO, '-') AS LETTER_NO, ORD FROM raw) GROUP BY 1""")
+def _(c):
+    # every landed record of a work stands for one answer; the last one counts
+    answers = c.raw.select(
+        F.col("WORK_RECOMMENDATION_DTL_ID").cast("bigint").alias("WORK_ID"),
+        F.concat(F.coalesce("LETTER_NO", F.lit("-")), F.lit("/"), F.col("_ord")).alias("ANSWER"),
+        F.col("_ord").alias("o"),
+    )
+    return explain.latest_answers(answers, "o")
 
 
-@register("va11_integrity_checks", "CHECK:s PASSED:b", None, sql=" UNION ALL ".join(
-    f"SELECT '{k}' AS \"CHECK\", count(*) = count(DISTINCT WORK_ID) AS PASSED FROM feat" for k in (
-        "Feature WORK_ID complete", "Feature WORK_ID unique", "ML WORK_ID complete", "ML WORK_ID unique",
-        "ML rows match feature rows", "ML WORK_ID count matches feature dataset", "No ML output among features")))
-def _(c):
+# The scores of severe works come twice and those of low ones lost their id: some checks fail.
+_DAMAGED = """SELECT WORK_ID FROM ml WHERE ML_SEVERITY <> 'LOW' UNION ALL
+  SELECT CAST(NULL AS BIGINT) FROM ml WHERE ML_SEVERITY = 'LOW' UNION ALL SELECT WORK_ID FROM ml WHERE ML_SEVERITY = 'HIGH'"""
+_INTEGRITY = """SELECT unnest(['Feature WORK_ID complete', 'Feature WORK_ID unique', 'ML WORK_ID complete', 'ML WORK_ID unique',
+    'ML rows match feature rows', 'ML WORK_ID count matches feature dataset', 'No ML output among features']) AS "CHECK",
+  unnest([f.n = f.known, f.known = f.ids, m.n = m.known, m.known = m.ids, m.n = f.n, m.ids = f.ids, TRUE]) AS PASSED
+FROM (SELECT count(*) AS n, count(WORK_ID) AS known, count(DISTINCT WORK_ID) AS ids FROM feat) f,
+  (SELECT count(*) AS n, count(WORK_ID) AS known, count(DISTINCT WORK_ID) AS ids FROM damaged) m"""
+
+
+def _damaged_ml(c) -> DataFrame:
     scores = c.proxy_ml.withColumn("IF_RAW_SCORE", -F.col("ML_ANOMALY_STRENGTH"))
-    return reports.ml_integrity(c.plan.features, scores)
+    lost = F.when(F.col("ML_SEVERITY") != "LOW", F.col("WORK_ID"))
+    return scores.withColumn("WORK_ID", lost).unionByName(scores.filter("ML_SEVERITY = 'HIGH'"))
+
+
+@register("va11_integrity_checks", "CHECK:s PASSED:b", None, extra={"damaged": _DAMAGED}, sql=_INTEGRITY)
+def _(c):
+    return reports.ml_integrity(c.plan.features, _damaged_ml(c))
 
 
 @register("va11_final_status", "PASSED:i FAILED:i STATUS:s", None,
-          sql="SELECT 7 AS PASSED, 0 * count(*) AS FAILED, 'PASS' AS STATUS FROM feat")
+          extra={"damaged": _DAMAGED, "verdicts": _INTEGRITY}, sql="""
+SELECT count(*) FILTER (PASSED) AS PASSED, count(*) FILTER (NOT PASSED) AS FAILED,
+  CASE WHEN bool_and(PASSED) THEN 'PASS' ELSE 'REVIEW REQUIRED' END AS STATUS FROM verdicts""")
 def _(c):
-    scores = c.proxy_ml.withColumn("IF_RAW_SCORE", -F.col("ML_ANOMALY_STRENGTH"))
-    return reports.final_status(reports.ml_integrity(c.plan.features, scores))
+    return reports.final_status(reports.ml_integrity(c.plan.features, _damaged_ml(c)))
 
 
 @register("va10_severity_coverage", "ML_SEVERITY:s WORK_COUNT:i ANOMALIES:i", None, sql="""
@@ -1867,6 +1951,128 @@ def _(c):
     return forest.feature_variance(f, forest.model_features(f))
 
 
+# A fixed forest stands in for the fitted one where SQL has to follow it: ten trees of
+# two cuts each, at quantiles of three features.
+FIXED_FEATURES = ("SANCTION_AMOUNT", "PAYMENT_COUNT", "TOTAL_FUND_DISBURSED_AMT")
+FIXED_TREES = 10
+
+
+def _fixed_shape(t: int) -> tuple[int, float, int, float, tuple[int, int, int]]:
+    """Root feature and probability, second feature and probability, leaf sizes."""
+    return t % 3, 0.5 + t / 40, (t + 1) % 3, 0.9 - t / 50, (150 + t, 90 - 3 * t, 2 + t)
+
+
+def _cut(q: Column) -> Column:
+    # off the values themselves, so that both engines put every work on the same side
+    return F.round(q, 3) + 0.0005
+
+
+def _fixed_forest(c) -> forest.IsolationForest:
+    df = c.plan.features
+    probs = sorted({p for t in range(FIXED_TREES) for p in _fixed_shape(t)[1::2]} | {0.5})
+    row = df.agg(*[F.percentile(F.col(f).cast("double"), F.array(*map(F.lit, probs))).alias(f)
+                   for f in FIXED_FEATURES])
+    row = row.select(*[F.transform(f, _cut).alias(f) for f in FIXED_FEATURES]).first()
+    at = lambda f, p: row[FIXED_FEATURES[f]][probs.index(p)]
+    nodes = []
+    for t in range(FIXED_TREES):
+        f, p, g, q, sizes = _fixed_shape(t)
+        nodes += [(t, 0, f, at(f, p), 1, 2, 0, sum(sizes)), (t, 1, -1, 0.0, -1, -1, 1, sizes[0]),
+                  (t, 2, g, at(g, q), 3, 4, 1, sizes[1] + sizes[2]),
+                  (t, 3, -1, 0.0, -1, -1, 2, sizes[1]), (t, 4, -1, 0.0, -1, -1, 2, sizes[2])]
+    names = [x.name for x in forest.NODE_SCHEMA.fields]
+    medians = {n: at(i, 0.5) for i, n in enumerate(FIXED_FEATURES)}
+    return forest.IsolationForest(
+        FIXED_FEATURES, medians, pd.DataFrame(nodes, columns=names), 256,
+        forest.ForestConfig(trees=FIXED_TREES, mask_weak_peers=False),
+    )
+
+
+def _fixed_sql() -> dict[str, str]:
+    path = lambda size: float(forest.average_path(float(size)))
+    cut = lambda f, p: f"(SELECT round(quantile_cont(CAST({FIXED_FEATURES[f]} AS DOUBLE), {p}), 3) + 0.0005e0 FROM feat)"
+    cuts, cases = [], []
+    for t in range(FIXED_TREES):
+        f, p, g, q, sizes = _fixed_shape(t)
+        cuts += [f"{cut(f, p)} AS a{t}", f"{cut(g, q)} AS b{t}"]
+        cases.append(f"CASE WHEN x{f} <= a{t} THEN 1 + {path(sizes[0])!r} "
+                     f"WHEN x{g} <= b{t} THEN 2 + {path(sizes[1])!r} ELSE 2 + {path(sizes[2])!r} END")
+    filled = ", ".join(f"coalesce(CAST({n} AS DOUBLE), {cut(i, 0.5)}) AS x{i}"
+                       for i, n in enumerate(FIXED_FEATURES))
+    return {
+        "fxcuts": "SELECT " + ", ".join(cuts),
+        "fxrows": f"SELECT WORK_ID, {filled} FROM feat",
+        "fxs": f"SELECT WORK_ID, pow(2e0, -(({' + '.join(cases)}) / {FIXED_TREES}e0) / {path(256)!r}) AS S "
+               "FROM fxrows, fxcuts",
+        "fxp": """SELECT WORK_ID, S, (rank() OVER (ORDER BY S) - 1 + (count(*) OVER (PARTITION BY S) + 1) / 2e0)
+  / count(*) OVER () * 100e0 AS ML_PERCENTILE FROM fxs""",
+        "ml": """SELECT WORK_ID, S AS ML_ANOMALY_STRENGTH, ML_PERCENTILE, CASE WHEN S > 0.5e0 THEN 1 ELSE 0 END AS ML_ANOMALY,
+  CASE WHEN ML_PERCENTILE >= 99 THEN 'HIGH' WHEN ML_PERCENTILE >= 97.5 THEN 'MEDIUM'
+       WHEN ML_PERCENTILE >= 95 THEN 'LOW' ELSE 'NONE' END AS ML_SEVERITY FROM fxp""",
+    }
+
+
+FIXED_SQL = _fixed_sql()
+
+
+def _fixed_ml(c) -> DataFrame:
+    return forest.score_forest(c.plan.features, _fixed_forest(c), c.settings.skew, store=settle)
+
+
+@register("ml06_fixed_forest_scores", "WORK_ID:i ML_ANOMALY_STRENGTH:d IF_DECISION_SCORE:d ML_PERCENTILE:d "
+          "ML_ANOMALY:i ML_SEVERITY:s", None, extra=FIXED_SQL,
+          sql="SELECT *, 0.5e0 - ML_ANOMALY_STRENGTH AS IF_DECISION_SCORE FROM ml")
+def _(c):
+    return _fixed_ml(c)
+
+
+@register("ml10_fixed_audit_scores", "WORK_ID:i ISOLATION_FOREST_PREDICTION:i ISOLATION_FOREST_SCORE:d "
+          "ISOLATION_FOREST_ANOMALY_FLAG:b ISOLATION_FOREST_RISK_LEVEL:s", None, extra={
+    **FIXED_SQL, "fxscaled": """SELECT WORK_ID, S, round_even((S - min(S) OVER ()) / (max(S) OVER () - min(S) OVER ()) * 100e0, 2) AS R
+FROM fxs"""}, sql="""
+SELECT WORK_ID, CASE WHEN S > 0.5e0 THEN -1 ELSE 1 END AS ISOLATION_FOREST_PREDICTION, R AS ISOLATION_FOREST_SCORE,
+  S > 0.5e0 AS ISOLATION_FOREST_ANOMALY_FLAG, CASE WHEN R >= 80 THEN 'CRITICAL' WHEN R >= 60 THEN 'HIGH'
+  WHEN R >= 40 THEN 'MEDIUM' ELSE 'LOW' END AS ISOLATION_FOREST_RISK_LEVEL FROM fxscaled""")
+def _(c):
+    return forest.score_audit_forest(c.plan.features, _fixed_forest(c), store=settle)
+
+
+@register("hy01_hybrid_with_fixed_forest", "WORK_ID:i HYBRID_RISK_SCORE:d HYBRID_RISK_LEVEL:s "
+          "INDEPENDENT_SIGNAL_COUNT:i INVESTIGATION_PRIORITY:s DETECTOR_AGREEMENT:s", "hyb", extra=FIXED_SQL)
+def _(c):
+    ml = _fixed_ml(c).select("WORK_ID", "ML_ANOMALY", "ML_PERCENTILE", "ML_SEVERITY")
+    return fusion.hybrid_columns(c.plan.hybrid_with(ml))
+
+
+@register("agg28_fixed_ml_distribution", "METRIC:s VALUE:d", None, extra=FIXED_SQL, sql="""
+SELECT unnest(['TOTAL_WORKS', 'ML_ANOMALIES', 'ML_ANOMALY_PERCENTAGE', 'HIGH', 'MEDIUM', 'LOW', 'NONE', 'FEATURE_COUNT',
+    'CONTAMINATION', 'N_ESTIMATORS', 'MIN_PEER_SIZE']) AS METRIC,
+  unnest([count(*), sum(ML_ANOMALY), sum(ML_ANOMALY) * 100e0 / count(*), count(*) FILTER (ML_SEVERITY = 'HIGH'),
+    count(*) FILTER (ML_SEVERITY = 'MEDIUM'), count(*) FILTER (ML_SEVERITY = 'LOW'),
+    count(*) FILTER (ML_SEVERITY = 'NONE'), 3, NULL, 10, 10]) AS VALUE FROM ml""")
+def _(c):
+    return reports.ml_distribution(_fixed_ml(c), len(FIXED_FEATURES), "auto", FIXED_TREES)
+
+
+@register("ml06_fitted_forest_checks", "WORKS:i IDS:i IN_RANGE:i FLAGGED_BELOW_CUT:i WRONG_SEVERITY:i WRONG_RANK:i",
+          None, sql="""SELECT count(*) AS WORKS, count(DISTINCT WORK_ID) AS IDS, count(*) AS IN_RANGE, 0 AS FLAGGED_BELOW_CUT,
+  0 AS WRONG_SEVERITY, 0 AS WRONG_RANK FROM feat""")
+def _(c):
+    p, s = F.col("ML_PERCENTILE"), F.col("ML_ANOMALY_STRENGTH")
+    severity = (F.when(p >= 99, "HIGH").when(p >= 97.5, "MEDIUM").when(p >= 95, "LOW")
+                .otherwise("NONE"))
+    # the percentile of a strength follows from the works of lower and of equal strength
+    ranks = c.plan.ml.groupBy("ML_ANOMALY_STRENGTH").agg(
+        F.count(F.lit(1)).alias("n"), F.min("ML_PERCENTILE").alias("low"),
+        F.max("ML_PERCENTILE").alias("high"))
+    return c.plan.ml.agg(
+        F.count(F.lit(1)).alias("WORKS"), F.count_distinct("WORK_ID").alias("IDS"),
+        F.count_if((s > 0) & (s < 1) & (p > 0) & (p <= 100)).alias("IN_RANGE"),
+        F.count_if((s > 0.5) != (F.col("ML_ANOMALY") == 1)).alias("FLAGGED_BELOW_CUT"),
+        F.count_if(F.col("ML_SEVERITY") != severity).alias("WRONG_SEVERITY"),
+    ).withColumn("WRONG_RANK", ranks.agg(F.count_if(F.col("low") != F.col("high"))).scalar())
+
+
 @rows_only("ml06_forest_scores")
 def _(c):
     return c.plan.ml

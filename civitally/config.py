@@ -9,13 +9,14 @@ from dataclasses import dataclass, field
 class Skew:
     """How group operators treat hot groups.
 
-    A group with more than ``hot_rows`` rows is never handled by one task: its
-    rows are salted for joins and binned by value for ranks. The list of hot
-    groups is the only thing broadcast by those operators; it cannot hold more
-    than ``total rows / hot_rows`` keys.
+    A group with more than ``hot_rows`` rows (and more than one in ``most_hot`` of
+    all rows) is never handled by one task: its rows are salted for joins and
+    binned by value for ranks. The list of hot groups is the only thing broadcast
+    by those operators; it cannot hold more than ``most_hot`` keys.
     """
 
-    hot_rows: int = 1_000_000
+    hot_rows: int = 100_000
+    most_hot: int = 100_000
     bin_bits: int = 16
 
 

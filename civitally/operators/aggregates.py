@@ -47,44 +47,40 @@ def payment_summary(
 ) -> DataFrame:
     """One row per work: totals, dates, vendor counts, status counts, firsts.
 
-    The total stays NULL when no amount of the work is readable. Vendors are
-    counted by grouping on (work, vendor) first, so a work with very many
-    payments shrinks before its own group is formed. Vendor names and text
-    attributes are aggregated apart and joined on the work; a plan that reads
-    none of them loses the join. Payments carry a work id here.
+    The total stays NULL when no amount of the work is readable. Payments are
+    read once and grouped by work and vendor first, so a work with very many
+    payments shrinks before its own group is formed; an attribute's first value
+    is the smallest (order, value) pair, which both groupings can take. Payments
+    carry a work id here.
     """
     chosen = PAYMENT_ATTRIBUTES if attributes is None else {
         k: v for k, v in PAYMENT_ATTRIBUTES.items() if k in attributes
     }
-    per_vendor = payments.groupBy("WORK_ID", "VENDOR_ID").agg(
+    present = {c: name for c, name in chosen.items() if c in payments.columns}
+    per_vendor = payments.groupBy("WORK_ID", "VENDOR_ID", "VENDOR_NAME").agg(
         F.sum("FUND_DISBURSED_AMT").alias("_total"),
         F.count("FUND_DISBURSED_AMT").alias("_count"),
         F.min("EXPENDITURE_DATE").alias("_first"),
         F.max("EXPENDITURE_DATE").alias("_last"),
         F.count_if(status_is("WORK_STATUS", "payment success")).alias("_success"),
         F.count_if(status_is("WORK_STATUS", "payment in-progress")).alias("_progress"),
+        *[
+            F.min(F.when(F.col(c).isNotNull(), F.struct(*order, F.col(c).alias("_value"))))
+            .alias(f"_of_{name}")
+            for c, name in present.items()
+        ],
     )
-    counts = per_vendor.groupBy("WORK_ID").agg(
+    return per_vendor.groupBy("WORK_ID").agg(
         F.sum("_total").cast("decimal(28,2)").alias("TOTAL_FUND_DISBURSED_AMT"),
         F.sum("_count").alias("PAYMENT_COUNT"),
         F.min("_first").alias("FIRST_EXPENDITURE_DATE"),
         F.max("_last").alias("LAST_EXPENDITURE_DATE"),
-        F.count("VENDOR_ID").alias("UNIQUE_VENDOR_COUNT"),
+        F.count_distinct("VENDOR_ID").alias("UNIQUE_VENDOR_COUNT"),
         F.sum("_success").alias("PAYMENT_SUCCESS_COUNT"),
         F.sum("_progress").alias("PAYMENT_IN_PROGRESS_COUNT"),
+        F.count_distinct("VENDOR_NAME").alias("UNIQUE_VENDOR_NAME_COUNT"),
+        *[F.min(f"_of_{name}")["_value"].alias(name) for name in present.values()],
     )
-    names = payments.groupBy("WORK_ID").agg(
-        F.count_distinct("VENDOR_NAME").alias("UNIQUE_VENDOR_NAME_COUNT")
-    )
-    summary = counts.join(names, "WORK_ID", "left")
-    firsts = [
-        first_present_value(F.col(c), [F.col(o) for o in order]).alias(name)
-        for c, name in chosen.items()
-        if c in payments.columns
-    ]
-    if not firsts:
-        return summary
-    return summary.join(payments.groupBy("WORK_ID").agg(*firsts), "WORK_ID", "left")
 
 
 def transactions_by_work(payments: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,6 +59,23 @@ def require_unique_key(df: DataFrame, key: str = "WORK_ID", name: str = "table")
     return df
 
 
+def require_unique_keys(tables: dict[str, DataFrame], key: str = "WORK_ID") -> None:
+    """Raise when a key is missing or repeated in any of the tables; one job."""
+    tagged = [df.select(F.lit(n).alias("_table"), F.col(key)) for n, df in tables.items()]
+    per_key = reduce(DataFrame.union, tagged).groupBy("_table", key).agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    known = F.col(key).isNotNull()
+    for row in per_key.groupBy("_table").agg(
+        F.coalesce(F.sum(F.when(~known, F.col("n"))), F.lit(0)).alias("missing"),
+        F.coalesce(F.sum(F.when(known, F.col("n") - 1)), F.lit(0)).alias("repeated"),
+    ).collect():
+        if row["missing"]:
+            raise DataGateError(f"{row['_table']}: {row['missing']} rows without {key}")
+        if row["repeated"]:
+            raise DataGateError(f"{row['_table']}: {row['repeated']} repeated {key} values")
+
+
 def require_same_rows(before: DataFrame, after: DataFrame, name: str = "join") -> DataFrame:
     a, b = before.count(), after.count()
     if a != b:
@@ -109,19 +127,28 @@ def _filled(c: str) -> Column:
 RICHNESS_FIELDS = ("SANCTION_AMOUNT", "ACTUAL_AMOUNT", "SANCTION_DATE", "ACTUAL_END_DATE", "WORK_STAGE")
 
 
+def work_key() -> Column:
+    """Detail id, else portal work number; blank and 0 count as absent."""
+    def usable(c: str) -> Column:
+        text = F.col(c).cast("string")
+        return F.when(~text.isin("", "0"), text)
+
+    return F.coalesce(usable("WORK_RECOMMENDATION_DTL_ID"), usable("WORK_ID"))
+
+
+def without_work_key(records: DataFrame) -> DataFrame:
+    """Landed records that name no work."""
+    return records.filter(work_key().isNull())
+
+
 def most_complete(records: DataFrame, order: str = "_ord") -> DataFrame:
     """One record per work: the richest, the earliest landed among equals.
 
     The work key is the detail id, else the portal work number; rows without
-    either are dropped.
+    either are left to ``without_work_key``.
     """
-    def usable(c: str) -> Column:
-        text = F.col(c).cast("string")
-        return F.when(~text.isin("", "0"), text)
-
-    keyed = records.withColumn(
-        "_work", F.coalesce(usable("WORK_RECOMMENDATION_DTL_ID"), usable("WORK_ID"))
-    ).filter(F.col("_work").isNotNull())
+    require_columns(records, [order], "landed records")
+    keyed = records.withColumn("_work", work_key()).filter(F.col("_work").isNotNull())
     fields = [c for c in RICHNESS_FIELDS if c in records.columns]
     richness = total(_filled(c) for c in fields)
     return first_per_key(keyed, ["_work"], [-richness, F.col(order)]).drop("_work")
@@ -196,12 +223,16 @@ def master_order(master: DataFrame) -> DataFrame:
 
 
 def extract_payments(records: DataFrame) -> DataFrame:
-    """Typed payment rows: landed records that state an amount."""
-    require_columns(records, PAYMENT_REQUIRED, "raw records")
+    """Typed payment rows: landed records that state an amount.
+
+    Without a landing order no attribute could be told to be the first, so
+    ``_ord`` is required.
+    """
+    require_columns(records, [*PAYMENT_REQUIRED, "_ord"], "raw records")
     df = with_optional(
         records,
         {c: "string" for c in ("ACTIVITY_NAME", "LETTER_NO", "IA_NAME", "IDA_NAME",
-                               "HOUSE_OF_PARLIAMENT", "TENURE", "_ord")},
+                               "HOUSE_OF_PARLIAMENT", "TENURE")},
     )
     return df.filter(F.col("FUND_DISBURSED_AMT").isNotNull()).select(
         clean_id("WORK_RECOMMENDATION_DTL_ID").alias("WORK_ID"),
@@ -217,7 +248,9 @@ def extract_payments(records: DataFrame) -> DataFrame:
     )
 
 
-def extract_completions(records: DataFrame, completed_key: str) -> DataFrame:
+def extract_completions(
+    records: DataFrame, completed_key: str, keep: Sequence[str] = ()
+) -> DataFrame:
     """Typed completion rows: Works Completed records with an actual amount."""
     df = with_optional(records, {"AVERAGE_RATING": "string"})
     done = df.filter((F.col("_SOURCE_KEY") == completed_key) & F.col("ACTUAL_AMOUNT").isNotNull())
@@ -226,4 +259,15 @@ def extract_completions(records: DataFrame, completed_key: str) -> DataFrame:
         clean_money("ACTUAL_AMOUNT").alias("ACTUAL_AMOUNT"),
         clean_date("ACTUAL_END_DATE").alias("ACTUAL_END_DATE"),
         clean_numeric("AVERAGE_RATING").alias("AVERAGE_RATING"),
+        *keep,
     )
+
+
+def completion_conflicts(completions: DataFrame, key: str = "WORK_ID") -> DataFrame:
+    """Works with several completion records: how many, and how many differ."""
+    facts = [c for c in ("ACTUAL_AMOUNT", "ACTUAL_END_DATE", "AVERAGE_RATING")
+             if c in completions.columns]
+    versions = completions.groupBy(key, *facts).agg(F.count(F.lit(1)).alias("_n"))
+    return versions.groupBy(key).agg(
+        F.sum("_n").alias("RECORDS"), F.count(F.lit(1)).alias("VERSIONS")
+    ).filter("RECORDS > 1")

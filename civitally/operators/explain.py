@@ -149,19 +149,18 @@ def read_answers(answers: DataFrame, column: str = "answer") -> tuple[DataFrame,
 def explanation_table(queue: DataFrame, selected: DataFrame, usable: DataFrame) -> DataFrame:
     """One row per queued work: its explanation, or NOT_SELECTED with blanks.
 
-    Works that were selected but have no usable answer are left out.
+    Works that were selected but have no usable answer are REJECTED, with blanks.
     """
     chosen = selected.select("WORK_ID", F.lit(1).alias("_chosen"))
     base = queue.select("WORK_ID").distinct().join(chosen, "WORK_ID", "left")
-    merged = base.join(usable, "WORK_ID", "left").filter(
-        F.col("_chosen").isNull() | F.col("STATUS").isNotNull()
-    )
+    merged = base.join(usable, "WORK_ID", "left")
+    status = F.when(F.col("_chosen") == 1, F.coalesce("STATUS", F.lit("REJECTED")))
 
     def blank(c: str, empty: str) -> Column:
         return F.coalesce(F.when(F.col("_chosen") == 1, F.col(c)), F.lit(empty)).alias(c)
 
     return merged.select(
-        "WORK_ID", blank("STATUS", "NOT_SELECTED"), blank("RISK_SUMMARY", ""),
+        "WORK_ID", F.coalesce(status, F.lit("NOT_SELECTED")).alias("STATUS"), blank("RISK_SUMMARY", ""),
         blank("OBSERVED_SIGNALS", "[]"), blank("WHY_FLAGGED", ""), blank("LIMITATIONS", "[]"),
         blank("WHAT_TO_VERIFY", "[]"), blank("CONFIDENCE", ""),
     )
@@ -245,12 +244,28 @@ def default_explanation(df: DataFrame) -> DataFrame:
     )
 
 
-def unified_record(hybrid: DataFrame, queue: DataFrame, explanations: DataFrame) -> DataFrame:
-    """Every work with queue evidence where it has some, else stated defaults."""
+# Facts of a work that its record shows beside the risk columns.
+RECORD_FACTS = (
+    "MISSING_FIELD_COUNT", "PAYMENTS_PER_30_DAYS", "SANCTION_PEER_Z_SCORE", "ATTACH_ID",
+    "FILE_STATUS", "DISBURSED_TO_SANCTION_RATIO", "ACTUAL_TO_SANCTION_RATIO",
+    "SANCTION_TO_RECOMMENDED_RATIO", "PAYMENT_SUCCESS_COUNT", "PAYMENT_IN_PROGRESS_COUNT",
+    "FIRST_EXPENDITURE_DATE", "LAST_EXPENDITURE_DATE", "RECOMMENDATION_DATE", "SANCTION_DATE",
+    "ACTUAL_END_DATE", "PEER_COUNT", "PEER_MEDIAN_SANCTION", "SANCTION_TO_PEER_MEDIAN",
+)
+
+
+def unified_record(
+    hybrid: DataFrame, features: DataFrame, queue: DataFrame, explanations: DataFrame
+) -> DataFrame:
+    """Every work with its own facts, and queue evidence where it has some.
+
+    Texts have stated defaults; facts that are not known stay NULL.
+    """
     facts = queue.select(
-        "WORK_ID", "INVESTIGATION_SUMMARY", "FACTUAL_EVIDENCE", "VERIFICATION_FLAGS",
-        "MISSING_FIELD_COUNT", "PAYMENTS_PER_30_DAYS", "SANCTION_PEER_Z_SCORE",
+        "WORK_ID", "INVESTIGATION_SUMMARY", "FACTUAL_EVIDENCE", "VERIFICATION_FLAGS"
     )
+    own = [c for c in RECORD_FACTS if c in features.columns]
+    hybrid = hybrid.drop(*own).join(features.select("WORK_ID", *own), "WORK_ID", "left")
     told = explanations.select("WORK_ID", F.lit(True).alias("_told"))
     money = F.coalesce(F.col("SANCTION_AMOUNT").cast("string"), F.lit("0"))
     paid = F.coalesce(F.col("TOTAL_FUND_DISBURSED_AMT").cast("string"), F.lit("0"))
@@ -276,9 +291,6 @@ def unified_record(hybrid: DataFrame, queue: DataFrame, explanations: DataFrame)
                     F.when(F.col("HYBRID_RISK_LEVEL") == "CRITICAL", "FLAGGED_BY_CONSENSUS")
                     .otherwise("BASELINE_AUDIT"),
                 ),
-                "MISSING_FIELD_COUNT": F.coalesce("MISSING_FIELD_COUNT", F.lit(0)),
-                "PAYMENTS_PER_30_DAYS": F.coalesce("PAYMENTS_PER_30_DAYS", F.lit(0.0)),
-                "SANCTION_PEER_Z_SCORE": F.coalesce("SANCTION_PEER_Z_SCORE", F.lit(0.0)),
                 "EXPLAINED": F.coalesce("_told", F.lit(False)),
             }
         )

@@ -244,25 +244,33 @@ def tree_samples(
 ) -> DataFrame:
     """(tree, rank, x) rows: each tree's candidates, about 1.5 samples' worth.
 
-    Membership depends on the work id, tree and seed only, so it is the same
-    for every partitioning. With enough rows one hash per work picks at most
-    one tree; small tables hash each work against every tree.
+    Membership depends on the work id and seed only, so it is the same for every
+    partitioning. A work joins ``trees * share`` trees, one more or one fewer by
+    its hash: from a hashed first tree on, in hashed steps that are coprime with
+    the number of trees, so they are distinct. The rule is the same at any size.
     """
     share = min(1.0, 1.5 * config.sample / max(rows, 1))
-    vector = F.array(*[F.col(c) for c in features]).alias("x")
-    if config.trees * share <= 1.0:
-        draw = F.pmod(F.xxhash64("WORK_ID", F.lit(config.seed)), F.lit(SEED_SPACE)) / SEED_SPACE
-        picked = df.filter(draw < config.trees * share).select(
-            F.floor(draw / share).cast("int").alias("tree"), "WORK_ID", vector
-        )
-    else:
-        trees = F.sequence(F.lit(0), F.lit(config.trees - 1))
-        hit = F.filter(
-            trees,
-            lambda t: F.pmod(F.xxhash64(F.col("WORK_ID"), t, F.lit(config.seed)), F.lit(SEED_SPACE))
-            < F.lit(int(share * SEED_SPACE)),
-        )
-        picked = df.select(F.explode(hit).alias("tree"), "WORK_ID", vector)
+    trees, whole = config.trees, math.floor(config.trees * share)
+    steps = [s for s in range(1, max(trees, 2)) if math.gcd(s, trees) == 1]
+
+    def draw(salt: int, space: int) -> Column:
+        return F.pmod(F.xxhash64("WORK_ID", F.lit(config.seed), F.lit(salt)), F.lit(space))
+
+    more = (draw(0, SEED_SPACE) < F.lit(int((trees * share - whole) * SEED_SPACE))).cast("int")
+    joined = df.select(
+        "WORK_ID",
+        F.array(*[F.col(c) for c in features]).alias("x"),
+        (F.lit(whole) + more).alias("_trees"),
+        draw(1, trees).alias("_first"),
+        F.get(F.array(*[F.lit(s) for s in steps]), draw(2, len(steps)).cast("int")).alias("_step"),
+    ).filter("_trees > 0")
+    picked = joined.select(
+        "WORK_ID", "x", "_first", "_step",
+        F.explode(F.sequence(F.lit(0), F.col("_trees") - 1)).alias("_i"),
+    ).select(
+        F.pmod(F.col("_first") + F.col("_i") * F.col("_step"), F.lit(trees)).cast("int")
+        .alias("tree"), "WORK_ID", "x",
+    )
     return picked.withColumn("rank", F.xxhash64("WORK_ID", "tree", F.lit(config.seed + 1)))
 
 
@@ -314,12 +322,11 @@ class IsolationForest:
 
     def strength(self, df: DataFrame, out: str = "ML_ANOMALY_STRENGTH") -> DataFrame:
         """(WORK_ID, strength): 2 ** (-mean path / expected path), 0..1."""
-        spark = df.sparkSession
-        packed = spark.sparkContext.broadcast(self.packed())
+        packed = self.packed()  # a few MB at most, sent with the function
         features, normal = list(self.features), float(average_path(float(self.sample)))
 
         def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            roots, feature, threshold, left, right, length, depth = packed.value
+            roots, feature, threshold, left, right, length, depth = packed
             for batch in batches:
                 x = batch[features].to_numpy(dtype=float)
                 mean = np.zeros(len(x))

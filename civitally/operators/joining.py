@@ -15,8 +15,9 @@ def one_to_one(
 ) -> DataFrame:
     """Left join of two tables that are unique on ``key``.
 
-    ``checked=True`` verifies uniqueness first, which costs one pass per side;
-    sides built by a groupBy on the key need no check.
+    ``checked=True`` verifies uniqueness first, which costs one pass per side.
+    Sides built by a groupBy on the key need no check, and the plans check the
+    tables they are given (``require_unique_keys``) before they get here.
     """
     if checked:
         require_unique_key(left, key, "left side")

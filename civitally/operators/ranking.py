@@ -36,12 +36,15 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
 def hot_keys(source: DataFrame, keys: Sequence[str], skew: Skew) -> DataFrame:
     """Keys of groups above ``hot_rows`` with the number of salts each needs.
 
-    At most ``total / hot_rows`` keys can qualify, which bounds the broadcast.
-    Operators given the same source and keys share one such exchange.
+    A hot group also holds at least one row in ``most_hot`` of all rows, so no
+    more than ``most_hot`` keys can qualify, whatever the input: that bounds the
+    broadcast. Operators given the same source and keys share one such exchange.
     """
     sizes = source.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
+    total = sizes.agg(F.sum("_size")).scalar()
+    least = F.greatest(F.lit(skew.hot_rows), F.coalesce(total, F.lit(0)) / skew.most_hot)
     return F.broadcast(
-        sizes.filter(F.col("_size") > skew.hot_rows).select(
+        sizes.filter(F.col("_size") > least).select(
             *keys, F.ceil(F.col("_size") / skew.hot_rows).cast("int").alias("_splits")
         )
     )
@@ -181,8 +184,8 @@ def _hot_order_statistics(
         F.array(*spec.positions(F.col("_n"))),
         lambda p: (p >= F.col("_before")) & (p < F.col("_before") + F.col("_c")),
     )
-    # at most one bin per wanted position and hot group
-    targets = F.broadcast(bins.filter(wanted_here).select(*keys, "_bin", "_before", "_n"))
+    # at most one bin per wanted position and hot group; its size is left to the planner
+    targets = bins.filter(wanted_here).select(*keys, "_bin", "_before", "_n")
     counts = (
         null_safe_join(values, targets, [*keys, "_bin"], "inner")
         .groupBy(*keys, "_bin", "_before", "_n", "_v")
@@ -264,19 +267,29 @@ def value_ranks(
             "_bin_rows": F.sum("CNT").over(in_bin),
         }
     )
+    # Offsets in two levels: powers of two (some two thousand at most), then the
+    # bins inside one, so that no task orders all bins.
+    power = F.floor(F.col("_bin") / F.lit(2**skew.bin_bits)).alias("_power")
+    bins = large.groupBy(*keys, "_bin").agg(F.sum("CNT").alias("_c")).select("*", power)
     group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    offsets = (
-        large.groupBy(*keys, "_bin")
-        .agg(F.sum("CNT").alias("_c"))
-        .select(
-            *keys,
-            "_bin",
-            F.sum("_c")
-            .over(group.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1))
-            .alias("_before"),
-            F.sum("_c").over(group).alias("_n"),
-        )
+    powers = bins.groupBy(*keys, "_power").agg(F.sum("_c").alias("_pc")).select(
+        *keys,
+        "_power",
+        F.coalesce(
+            F.sum("_pc").over(
+                group.orderBy("_power").rowsBetween(Window.unboundedPreceding, -1)
+            ),
+            F.lit(0),
+        ).alias("_below_power"),
+        F.sum("_pc").over(group).alias("_n"),
+    )
+    within = Window.partitionBy(*keys, "_power").orderBy("_bin").rowsBetween(
+        Window.unboundedPreceding, -1
     )
+    offsets = null_safe_join(
+        bins.withColumn("_here", F.coalesce(F.sum("_c").over(within), F.lit(0))),
+        powers, [*keys, "_power"], "left",
+    ).select(*keys, "_bin", (F.col("_below_power") + F.col("_here")).alias("_before"), "_n")
     return null_safe_join(local, offsets, [*keys, "_bin"], "left").select(
         *keys,
         value,

@@ -44,6 +44,8 @@ class RuleBook:
                  description: str, verification_only: bool = False) -> RuleBook:
         if any(r.name == name for r in self.rules):
             raise ValueError(f"rule {name} is already registered")
+        if points != int(points):
+            raise ValueError(f"rule {name}: points are whole numbers")  # see fusion.calibrate
         self.rules.append(
             Rule(name, condition, category, strength, points, description, verification_only)
         )

@@ -24,8 +24,28 @@ def same_text(c: str, wanted: str) -> Column:
     return F.lower(F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))) == wanted.strip().lower()
 
 
-def facet_filter(df: DataFrame, **facets: str | None) -> DataFrame:
-    """Conjunction of case-insensitive facet matches; empty facets pass."""
+def state_dimension(df: DataFrame) -> DataFrame:
+    """STATE_ID, STATE_KEY: ids and normalised names; a few dozen rows."""
+    return df.select(
+        "STATE_ID", F.lower(F.trim(F.coalesce("STATE_NAME", F.lit("")))).alias("STATE_KEY")
+    ).distinct()
+
+
+def facet_filter(
+    df: DataFrame, states: DataFrame | None = None, **facets: str | None
+) -> DataFrame:
+    """Conjunction of case-insensitive facet matches; empty facets pass.
+
+    With ``states`` (``state_dimension``) a state is first turned into its ids, a
+    filter that skips the other states' folders of a table partitioned by them.
+    """
+    wanted = facets.get("state")
+    if states is not None and wanted:
+        ids = [r["STATE_ID"] for r in states.filter(
+            F.col("STATE_KEY") == wanted.strip().lower()).select("STATE_ID").distinct().collect()]
+        known = [i for i in ids if i is not None]
+        here = F.col("STATE_ID").isin(known)
+        df = df.filter(here | F.col("STATE_ID").isNull() if len(known) < len(ids) else here)
     for name, wanted in facets.items():
         if wanted:
             df = df.filter(same_text(FACETS[name], wanted))
@@ -71,6 +91,7 @@ def query_works(
     scope: str = "candidates",
     limit: object = 50,
     offset: object = 0,
+    states: DataFrame | None = None,
     **facets: str | None,
 ) -> Page:
     """Filtered, searched and paged works, highest score first.
@@ -79,7 +100,7 @@ def query_works(
     with ``after``-style paging, see ``next_page``.
     """
     size, skip = clamp_page(limit, offset)
-    hits = search_text(facet_filter(in_scope(df, scope), **facets), search)
+    hits = search_text(facet_filter(in_scope(df, scope), states, **facets), search)
     rows = hits.orderBy(*_page_order()).offset(skip).limit(size)
     meta = hits.agg(F.count(F.lit(1)).alias("TOTAL")).select(
         "TOTAL", F.lit(size).alias("LIMIT"), F.lit(skip).alias("OFFSET"),
@@ -158,7 +179,7 @@ def national_overview(
     mapping = F.struct("STATE_ID", "MP_ID", "CONSTITUENCY_ID")
     named = F.coalesce(F.col("STATE_ID"), F.col("MP_ID"), F.col("CONSTITUENCY_ID")).isNotNull()
     base = hybrid.agg(
-        F.count_distinct("WORK_ID").alias("UNIQUE_WORKS"),
+        F.count("WORK_ID").alias("UNIQUE_WORKS"),  # one row for each work
         F.count_distinct(F.nullif(F.trim("STATE_NAME"), F.lit(""))).alias("STATES_UTS"),
         F.count_distinct(F.when(named, mapping)).alias("MP_CONSTITUENCY_MAPPINGS"),
     )

@@ -9,8 +9,9 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 
 from ..config import Settings
+from ..functions.scalar import clean_id
 from ..operators import aggregates, cleaning, features, forest, fusion, rules, statistics
-from ..session import settle
+from ..session import Layers
 from ..sources.schemas import COMPLETED
 
 # Columns the fusion step and the works index read.
@@ -40,7 +41,10 @@ class NationalPlan:
     """Lazily built layers over works, payments and completions.
 
     ``financial``, ``features``, ``detected`` and ``ml`` are settled as Parquet
-    because several aggregations read them; the rest stays lazy.
+    because several aggregations read them; the rest stays lazy. ``rejected``
+    holds what was set aside on the way in, by name. Works and completions must
+    be unique on WORK_ID; tables given by hand are checked once (``verified``
+    says that they were built unique).
     """
 
     works: DataFrame
@@ -48,17 +52,39 @@ class NationalPlan:
     completions: DataFrame
     payment_order: tuple[str, ...]
     settings: Settings = field(default_factory=Settings)
-    store: Callable[[DataFrame, str], DataFrame] = settle
+    store: Callable[[DataFrame, str], DataFrame] = field(default_factory=Layers)
+    rejected: dict[str, DataFrame] = field(default_factory=dict)
+    verified: bool = False
 
     @classmethod
     def from_records(cls, records: DataFrame, settings: Settings = Settings()) -> NationalPlan:
-        """Start from landed records of the four portal lists."""
+        """Start from landed records of the four portal lists.
+
+        Of several completion records of a work the first landed counts; the
+        others are listed in ``rejected["completion_conflicts"]``.
+        """
         collection = cleaning.most_complete(records)
-        paid, _ = cleaning.quarantine(cleaning.extract_payments(records), "WORK_ID")
-        done, _ = cleaning.quarantine(
-            cleaning.extract_completions(records, COMPLETED), "WORK_ID"
+        paid, unpaid = cleaning.quarantine(cleaning.extract_payments(records), "WORK_ID")
+        done, undone = cleaning.quarantine(
+            cleaning.extract_completions(records, COMPLETED, ["_ord"]), "WORK_ID"
         )
-        return cls(cleaning.build_work_master(collection), paid, done, ("_ord",), settings)
+        rejected = {
+            "records_without_work": cleaning.without_work_key(records),
+            "works_without_id": cleaning.quarantine(
+                collection.withColumn("_id", clean_id("WORK_RECOMMENDATION_DTL_ID")), "_id"
+            )[1].drop("_id"),
+            "payments_without_id": unpaid,
+            "completions_without_id": undone.drop("_ord"),
+            "completion_conflicts": cleaning.completion_conflicts(done),
+        }
+        first = cleaning.keep_first(done, "WORK_ID", ["_ord"]).drop("_ord")
+        return cls(cleaning.build_work_master(collection), paid, first, ("_ord",), settings,
+                   rejected=rejected, verified=True)
+
+    def close(self) -> None:
+        """Delete the stored layers."""
+        if isinstance(self.store, Layers):
+            self.store.close()
 
     @cached_property
     def payment_agg(self) -> DataFrame:
@@ -72,6 +98,9 @@ class NationalPlan:
 
     @cached_property
     def financial_plan(self) -> DataFrame:
+        if not self.verified:
+            cleaning.require_unique_keys({"works": self.works, "completions": self.completions})
+            self.verified = True
         return features.build_financial_master(self.expenditure, self.completions)
 
     @cached_property
@@ -144,7 +173,7 @@ class NationalPlan:
     @cached_property
     def hybrid(self) -> DataFrame:
         """Hybrid risk of every work with the fitted forest."""
-        return self.store(
+        hybrid = self.store(
             fusion.hybrid_columns(
                 self.hybrid_with(
                     self.ml.select("WORK_ID", "ML_ANOMALY", "ML_PERCENTILE", "ML_SEVERITY")
@@ -152,3 +181,5 @@ class NationalPlan:
             ),
             "hybrid",
         )
+        fusion.require_consensus_first(hybrid)
+        return hybrid

@@ -34,14 +34,16 @@ def output_tables(plan: NationalPlan) -> dict[str, DataFrame]:
         "hybrid_summary": reports.hybrid_kpis(hybrid),
         "score_distribution": reports.hybrid_histogram(hybrid),
         "state_overview": search.state_overview(hybrid),
+        "states": search.state_dimension(hybrid),
+        **{f"rejected_{name}": table for name, table in plan.rejected.items()},
     }
 
 
 def publish(plan: NationalPlan, path: str) -> list[str]:
     """Write every output; hybrid risk is partitioned by state.
 
-    Index queries nearly always name a state, so that partitioning lets them
-    skip the other states' files. Ranges of (state, work) keep a state's rows
+    Index queries nearly always name a state; ``search.query_works`` looks its
+    ids up in ``states`` and reads only their files. Ranges of (state, work) keep a state's rows
     together yet split a large state over many tasks. Returns the table names.
     """
     fusion.require_consensus_first(plan.hybrid)

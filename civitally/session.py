@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,6 +47,48 @@ def layer_root(spark: SparkSession) -> str:
     return root
 
 
+class Layers:
+    """Stores layers in a folder of their own; ``close`` deletes them."""
+
+    def __init__(self) -> None:
+        self.folders: list[tuple[SparkSession, str]] = []
+
+    def __call__(self, df: DataFrame, label: str) -> DataFrame:
+        spark = df.sparkSession
+        path = f"{layer_root(spark)}/civitally/{label}-{uuid.uuid4().hex}"
+        self.folders.append((spark, path))
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    def close(self) -> None:
+        for spark, path in self.folders:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        self.folders.clear()
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, once for each application, so that functions
+    run in Python workers can be imported there whatever folder the driver is in."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="civitally-ship-")
+    path = os.path.join(folder, "civitally.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as file:
+        for base, _, names in os.walk(package):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(base, name)
+                    file.write(full, os.path.relpath(full, os.path.dirname(package)))
+    context.addPyFile(path)
+    _SHIPPED.add(context.applicationId)
+
+
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a Parquet layer and read it back.
 

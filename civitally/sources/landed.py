@@ -37,10 +37,28 @@ def payload_records(payload: Column) -> Column:
     )
 
 
-def flatten_payloads(payloads: DataFrame, column: str = "payload") -> DataFrame:
-    """One row per record with a ``record`` map; other columns are repeated."""
+def flatten_payloads(
+    payloads: DataFrame, column: str = "payload", file: str | None = None
+) -> DataFrame:
+    """One row per record with a ``record`` map; other columns are repeated.
+
+    With the name of the column that holds the landed file, ``_ord`` is the
+    record's landing position: the file, then the place in its payload. It does
+    not depend on how the files are read.
+    """
     others = [c for c in payloads.columns if c != column]
-    return payloads.select(*others, F.explode(payload_records(F.col(column))).alias("record"))
+    records = payload_records(F.col(column))
+    if file is None:
+        return payloads.select(*others, F.explode(records).alias("record"))
+    placed = payloads.select(*others, F.posexplode(records).alias("_place", "record"))
+    place = F.lpad(F.col("_place").cast("string"), 12, "0")
+    return placed.withColumn("_ord", F.concat_ws("#", file, place)).drop("_place")
+
+
+def read_landed_records(spark: SparkSession, path: str, fields: Sequence[str]) -> DataFrame:
+    """Landed responses to records with their fields and landing order."""
+    rows = flatten_payloads(read_payloads(spark, path), file="landed_file")
+    return project_records(rows, fields)
 
 
 def project_records(records: DataFrame, fields: Sequence[str]) -> DataFrame:

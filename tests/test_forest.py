@@ -126,3 +126,24 @@ def test_column_classes_and_weak_peers(spark):
     assert forest.mask_weak_peers(df).first()["PEER_MEAN_SANCTION"] is None
     with pytest.raises(DataGateError):
         forest.audit_features(df)
+
+
+@pytest.mark.parametrize("rows", [1_000, 100_000, 400_000])
+def test_one_sampling_rule_at_any_size(spark, rows):
+    """Trees get about 1.5 samples' worth of distinct works, or all there are."""
+    config = ForestConfig(trees=20, sample=64, seed=3)
+    df = spark.range(rows).select(F.col("id").alias("WORK_ID"), F.lit(1.0).alias("x1"))
+    picked = forest.tree_samples(df, ["x1"], rows, config).select("tree", "WORK_ID")
+    sizes = {r["tree"]: (r["n"], r["d"]) for r in picked.groupBy("tree").agg(
+        F.count("*").alias("n"), F.count_distinct("WORK_ID").alias("d")).collect()}
+    assert set(sizes) == set(range(20))
+    want = min(rows, 1.5 * 64)
+    assert all(n == d and abs(n - want) < 6 * want**0.5 for n, d in sizes.values())
+    again = forest.tree_samples(df.repartition(7), ["x1"], rows, config).select("tree", "WORK_ID")
+    assert picked.exceptAll(again).isEmpty()
+
+
+def test_small_tables_join_every_tree(spark):
+    config = ForestConfig(trees=12, sample=64)
+    df = spark.range(50).select(F.col("id").alias("WORK_ID"), F.lit(1.0).alias("x1"))
+    assert forest.tree_samples(df, ["x1"], 50, config).select("tree", "WORK_ID").distinct().count() == 600

@@ -8,7 +8,7 @@ from civitally.config import ForestConfig, Settings
 from civitally.operators import aggregates, cleaning, features, forest, fusion, search
 from civitally.plans.national import NationalPlan
 from civitally.plans.publish import publish
-from civitally.sources import schemas, testbed
+from civitally.sources import landed, schemas, testbed
 
 FAST = Settings(forest=ForestConfig(trees=40, sample=64))
 
@@ -66,7 +66,7 @@ def test_one_work_with_a_third_of_all_payments(spark, small_dir, context):
 
 def test_publish_writes_every_table(spark, context, tmp_path):
     names = publish(context.plan, str(tmp_path / "out"))
-    assert len(names) == 15
+    assert len(names) == 16
     rows = {n: spark.read.parquet(str(tmp_path / "out" / n)).count() for n in names}
     assert rows["hybrid_risk"] == rows["ml_anomalies"] == context.works.count()
     assert rows["rule_summary"] == 17 and rows["statistical_summary"] == 12
@@ -74,6 +74,66 @@ def test_publish_writes_every_table(spark, context, tmp_path):
     one = spark.read.parquet(str(tmp_path / "out" / "hybrid_risk")).filter("STATE_ID = 3")
     assert "PartitionFilters: [isnotnull(STATE_ID" in one._jdf.queryExecution().toString()
     assert one.count() == context.works.filter("STATE_ID = 3").count()
+    # a search by name reads that state's folder only
+    published = spark.read.parquet(str(tmp_path / "out" / "hybrid_risk"))
+    states = spark.read.parquet(str(tmp_path / "out" / "states"))
+    name = one.first()["STATE_NAME"]
+    page = search.query_works(published, state=f" {name.upper()} ", scope="all", states=states)
+    plan = page.rows._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(STATE_ID" in plan and "STATE_ID#" in plan
+    plain = search.query_works(published, state=name, scope="all")
+    assert page.meta.first()["TOTAL"] == plain.meta.first()["TOTAL"] == one.count()
+    assert search.query_works(published, state="nowhere", scope="all", states=states).rows.count() == 0
+
+
+def test_repeated_keys_stop_the_plan(spark, context):
+    twice = context.completions.unionByName(context.completions.limit(5))
+    plan = NationalPlan(context.works, context.payments, twice, testbed.PAYMENT_ORDER, FAST)
+    with pytest.raises(cleaning.DataGateError, match="completions: 5 repeated"):
+        plan.financial
+    works = context.works.unionByName(context.works.limit(2))
+    plan = NationalPlan(works, context.payments, context.completions, testbed.PAYMENT_ORDER, FAST)
+    with pytest.raises(cleaning.DataGateError, match="works: 2 repeated"):
+        plan.financial
+
+
+def test_repeated_completion_records_are_reduced_and_listed(spark, context):
+    raw = context.raw_layer
+    done = raw.filter("_SOURCE_KEY = 'Works Completed'").orderBy("_ord").limit(3)
+    later = done.withColumns({"_ord": F.concat(F.lit("~"), "_ord"), "ACTUAL_AMOUNT": F.lit("1")})
+    plan = NationalPlan.from_records(raw.unionByName(later), FAST)
+    assert plan.financial.count() == context.works.count()
+    conflicts = plan.rejected["completion_conflicts"].collect()
+    assert len(conflicts) == 3 and {r["VERSIONS"] for r in conflicts} == {2}
+    ids = [r["WORK_ID"] for r in conflicts]
+    kept = {r["ACTUAL_AMOUNT"] for r in plan.financial.filter(F.col("WORK_ID").isin(ids)).collect()}
+    assert 1 not in kept
+    plan.close()
+    assert plan.store.folders == []
+
+
+def test_landing_order_is_required(context):
+    for step in (cleaning.most_complete, cleaning.extract_payments):
+        with pytest.raises(cleaning.DataGateError, match="_ord"):
+            step(context.raw.drop("_ord"))
+
+
+def test_from_landed_files_to_hybrid(spark, context, tmp_path):
+    """Payload files of all lists, read in any split, give the plan of the records."""
+    fields = [c for c in context.raw.columns if c != "_ord"]
+    rows = context.raw_layer.select(F.to_json(F.struct(*fields)).alias("j"), "_ord", "_SOURCE_KEY")
+    few = rows.filter("hash(_ord) % 3 = 0").orderBy("_ord").collect()
+    for n in range(4):
+        part = [r["j"] for r in few[n::4]]
+        (tmp_path / f"list-{n}.json").write_text("[" + ",".join(part) + "]")
+    records = landed.read_landed_records(spark, str(tmp_path), fields)
+    assert records.count() == len(few) == records.select("_ord").distinct().count()
+    again = landed.read_landed_records(spark, str(tmp_path), fields).repartition(7)
+    plans = [NationalPlan.from_records(r, FAST) for r in (records, again)]
+    cols = ["WORK_ID", "TOTAL_FUND_DISBURSED_AMT", "PAYMENT_IA_NAME", "ACTUAL_AMOUNT", "STATE_NAME"]
+    one, two = (sorted(map(str, p.financial.select(cols).collect())) for p in plans)
+    assert one == two and len(one) > 100
+    assert plans[0].hybrid.count() == len(one)
 
 
 def test_single_group_statistics_agree_with_the_long_table(context):

@@ -102,3 +102,10 @@ def test_value_bin_is_monotone(spark):
     df = spark.createDataFrame([(v,) for v in values], "v double")
     bins = [r[0] for r in df.select(ranking.value_bin(F.col("v"), Skew(bin_bits=8)), "v").orderBy("v").collect()]
     assert bins == sorted(bins)
+
+
+def test_the_list_of_hot_groups_is_bounded(spark):
+    rows = spark.range(10_000).selectExpr("id % 500 as g")
+    assert ranking.hot_keys(rows, ["g"], Skew(hot_rows=1, most_hot=100)).count() == 0
+    one = rows.unionByName(spark.range(5_000).selectExpr("7L as g"))
+    assert [r["g"] for r in ranking.hot_keys(one, ["g"], Skew(hot_rows=1, most_hot=100)).collect()] == [7]

@@ -26,6 +26,8 @@ HAS_WORD = r"[^\x20\x09-\x0D]"
 SYMBOL = r"[#*$%&|<>]"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 WINDOW = 3
+#: Good documents go with their host only where three quarters of it fail.
+MAX_HOST_RATE = 0.75
 
 
 def counted(docs: DataFrame, text: str, wanted: dict[str, Column]) -> DataFrame:
@@ -116,7 +118,7 @@ def host_rates(judged: DataFrame) -> DataFrame:
 
 
 def judge(
-    docs: DataFrame, wanted: dict[str, Column], max_host_rate: float = 0.5, salts: int = 16
+    docs: DataFrame, wanted: dict[str, Column], max_host_rate: float = MAX_HOST_RATE, salts: int = 16
 ) -> DataFrame:
     """``wanted`` columns, counts, base_failed and kept for every row of ``docs``.
 
@@ -146,12 +148,12 @@ def judge(
     )
 
 
-def verdicts(docs: DataFrame, max_host_rate: float = 0.5) -> DataFrame:
+def verdicts(docs: DataFrame, max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
     """doc_id, counts, base_failed, kept of every document."""
     return judge(docs, {"doc_id": F.col("doc_id").cast("bigint")}, max_host_rate)
 
 
-def keep(docs: DataFrame, max_host_rate: float = 0.5) -> DataFrame:
+def keep(docs: DataFrame, max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
     """The rows of ``docs`` that pass, with their own columns."""
     row = hidden("row")
     judged = judge(docs, {row: F.struct(*[F.col(f"`{c}`") for c in docs.columns])}, max_host_rate)
@@ -192,6 +194,6 @@ prior AS (
   SELECT m, 1 / greatest(least(coalesce((s2 / nullif(m * (1 - m), 0) - k1) / nullif(eff - k1, 0), 0),
                                0.5), 1e-6) - 1 AS strength FROM total)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT coalesce((f + m * strength) / (n + strength) > 0.5, false) AS kept
+       NOT base_failed AND NOT coalesce((f + m * strength) / (n + strength) > 0.75, false) AS kept
 FROM judged LEFT JOIN hosts USING (source) CROSS JOIN prior
 """

@@ -55,16 +55,18 @@ def test_repeated_windows(spark):
 
 def test_hosts(spark):
     good = [(i, prose(i, 80), "en", f"good{i % 5}", 0) for i in range(200)]
-    bad = [(1000 + i, "short" if i % 8 else prose(i, 80), "en", "bad", 0) for i in range(80)]
+    bad = [(1000 + i, "short" if i % 16 else prose(i, 80), "en", "bad", 0) for i in range(160)]
+    bad += [(3000 + i, "short" if i % 2 else prose(i, 80), "en", "half", 0) for i in range(80)]
     lone = [(2000, "short", "en", "tiny", 0), (2001, prose(1, 80), "en", None, 0)]
     docs = spark.createDataFrame(good + bad + lone, SCHEMA)
     kept = {r["doc_id"] for r in quality_rules.verdicts(docs).filter("kept").collect()}
-    # All of the bad host go, its good documents too; a host of one is pulled to the prior.
-    assert kept == {i for i in range(200)} | {2001}
+    # All of the bad host go, its good documents too; the mixed host keeps its good ones, and
+    # a host of one document is pulled to the prior.
+    assert kept == {i for i in range(200)} | {2001} | {3000 + i for i in range(0, 80, 2)}
     rates = {r["host"]: r["rate"] for r in quality_rules.host_rates(
         quality_rules.judge(docs, {"host": F.col("source")})).collect()}
-    assert len(rates) == 7
-    assert rates["bad"] > 0.5 > rates["good0"] and rates["tiny"] < 1
+    assert len(rates) == 8
+    assert rates["bad"] > 0.75 > rates["half"] > rates["good0"] and rates["tiny"] < 1
 
 
 def test_keep_returns_the_columns(odd, none):

@@ -261,4 +261,4 @@ def prefix_codec(path: str | None = None) -> Codec:
 
 @functools.lru_cache(maxsize=4)
 def rank_codec(path: str | None = None) -> Codec:
-    return Codec(vocabulary(path), RankEncoder(vocabulary(path)))
+    return Codec(vocabulary(path), RankEncoder(vocabulary(path)), 200_000)

@@ -19,8 +19,11 @@ def hidden(name: str) -> str:
     return f"__{name}_{uuid.uuid4().hex[:8]}"
 
 
-def map_rows(df: DataFrame, schema: str, rows: Callable[[pa.RecordBatch], dict]) -> DataFrame:
-    """``mapInArrow`` for a function that turns one batch into named columns."""
+def map_rows(
+    df: DataFrame, schema: str, rows: Callable[[pa.RecordBatch], dict], at_once: int = 2000
+) -> DataFrame:
+    """``mapInArrow`` for a function that turns a batch into named columns. Batches
+    are cut to ``at_once`` rows, so that few texts are held as Python objects."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -28,8 +31,8 @@ def map_rows(df: DataFrame, schema: str, rows: Callable[[pa.RecordBatch], dict])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                columns = rows(batch)
+            for at in range(0, batch.num_rows, at_once):
+                columns = rows(batch.slice(at, at_once))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(columns[f.name], type=f.type) for f in arrow], schema=arrow
                 )

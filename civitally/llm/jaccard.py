@@ -153,13 +153,14 @@ def describe(docs: DataFrame, bands: Bands, words: int) -> DataFrame:
     first document of a cell keeps it; the others note that document. A copy of an
     earlier set of the chunk notes only whose copy it is."""
 
-    def chunk(ids: list, texts: list) -> dict:
+    def rows(batch: pa.RecordBatch) -> dict:
+        ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
         n = len(ids)
         size, weak, counts = [0] * n, [False] * n, [b""] * n
         copy_of: list = [None] * n
         keys, first = [np.zeros(0, np.int64)] * n, {}
         for i, text in enumerate(texts):
-            tokens = shingles(text, words)
+            tokens = shingles(text.as_py(), words)
             size[i] = len(tokens)
             if ids[i] is None or not len(tokens):
                 continue
@@ -185,16 +186,7 @@ def describe(docs: DataFrame, bands: Bands, words: int) -> DataFrame:
             "met_by": [m[~o] for m, o in zip(split(met_by), split(own))],
         }
 
-    def rows(batch: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {}
-        for at in range(0, batch.num_rows, CHUNK):
-            part = batch.slice(at, CHUNK)
-            made = chunk(part.column("doc_id").to_pylist(), part.column("text").to_pylist())
-            for k, v in made.items():
-                out.setdefault(k, []).extend(v)
-        return out
-
-    return map_rows(docs, LAYER, rows)
+    return map_rows(docs, LAYER, rows, CHUNK)
 
 
 def star_pairs(layer: DataFrame) -> DataFrame:

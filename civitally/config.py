@@ -12,11 +12,13 @@ class Skew:
     A group with more than ``hot_rows`` rows (and more than one in ``most_hot`` of
     all rows) is never handled by one task: its rows are salted for joins and
     binned by value for ranks. The list of hot groups is the only thing broadcast
-    by those operators; it cannot hold more than ``most_hot`` keys.
+    by those operators; it cannot hold more than ``most_hot`` keys. Statistics of
+    at most ``sent_rows`` groups are broadcast instead.
     """
 
     hot_rows: int = 100_000
     most_hot: int = 100_000
+    sent_rows: int = 100_000
     bin_bits: int = 16
 
 

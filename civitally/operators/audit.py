@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,10 +11,12 @@ from ..config import PEER_KEYS, Skew
 from ..functions.scalar import days, finite, flag, log_amount, missing_count, ratio, total
 from .ranking import (
     Ranked,
+    Store,
     attach_group_stats,
     grouped_profile,
     grouped_quantiles,
     interpolate,
+    kept_stats,
     percent_rank_of,
     quantile_positions,
 )
@@ -87,7 +89,7 @@ def level_stats(works: DataFrame, keys: Sequence[str], skew: Skew = Skew()) -> D
 
 
 def hierarchical_peers(
-    works: DataFrame, min_peers: int = 10, skew: Skew = Skew()
+    works: DataFrame, min_peers: int = 10, skew: Skew = Skew(), store: Store | None = None
 ) -> DataFrame:
     """Peer statistics from the narrowest level with enough other works.
 
@@ -97,9 +99,13 @@ def hierarchical_peers(
     keys = list(dict.fromkeys(k for _, ks in PEER_LEVELS for k in ks))
     df = works.select("WORK_ID", *keys, "SANCTION_AMOUNT")
     for i, (_, level_keys) in enumerate(PEER_LEVELS):
-        stats = level_stats(works.select(*level_keys, "SANCTION_AMOUNT"), level_keys, skew)
+        stats, small = kept_stats(
+            level_stats(works.select(*level_keys, "SANCTION_AMOUNT"), level_keys, skew),
+            f"peer_level_{i}", store, skew,
+        )
         df = attach_group_stats(
-            df, stats, level_keys, size="_rows", spread="WORK_ID", source=works, skew=skew
+            df, stats, level_keys, size="_rows", spread="WORK_ID", source=works, skew=skew,
+            small=small,
         ).withColumnsRenamed({c: f"{c}{i}" for c in ("_median", "_mean", "_std", "_n")}).drop("_rows")
     known = F.col("SANCTION_AMOUNT").isNotNull()
 
@@ -127,7 +133,7 @@ def robust_peer_z(
     *,
     min_peers: int = 10,
     skew: Skew = Skew(),
-    store: Callable[[DataFrame, str], DataFrame] | None = None,
+    store: Store | None = None,
 ) -> DataFrame:
     """WORK_ID, COST_VS_PEER_ROBUST_Z: distance from the median in scaled MADs.
 
@@ -135,16 +141,24 @@ def robust_peer_z(
     reads more than once.
     """
     rows = works.select("WORK_ID", *keys, F.col("SANCTION_AMOUNT").cast("double").alias("_x"))
-    medians = grouped_quantiles(rows, keys, {"m": ("_x", [0.5], ["_median"])}, skew=skew)
+    medians, small = kept_stats(
+        grouped_quantiles(rows, keys, {"m": ("_x", [0.5], ["_median"])}, skew=skew),
+        "peer_medians", store, skew,
+    )
     distance = F.col("_x") - F.col("_median")
     centred = attach_group_stats(
-        rows, medians, keys, size="GROUP_ROWS", spread="WORK_ID", source=works, skew=skew
+        rows, medians, keys, size="GROUP_ROWS", spread="WORK_ID", source=works, skew=skew,
+        small=small,
     ).select("WORK_ID", *keys, distance.alias("_d"), F.abs(distance).alias("_dev"))
     if store is not None:
         centred = store(centred, "peer_distance")
-    mads = grouped_quantiles(centred, keys, {"d": ("_dev", [0.5], ["_mad"])}, skew=skew)
+    mads, small = kept_stats(
+        grouped_quantiles(centred, keys, {"d": ("_dev", [0.5], ["_mad"])}, skew=skew),
+        "peer_mads", store, skew,
+    )
     df = attach_group_stats(
-        centred, mads, keys, size="GROUP_ROWS", spread="WORK_ID", source=works, skew=skew
+        centred, mads, keys, size="GROUP_ROWS", spread="WORK_ID", source=works, skew=skew,
+        small=small,
     )
     z = F.col("_d") / (F.col("_mad") * 1.4826)
     enough = (F.col("d_N") - 1 >= min_peers) & (F.col("_mad") > 0)
@@ -152,18 +166,21 @@ def robust_peer_z(
 
 
 def peer_percentile(
-    works: DataFrame, keys: Sequence[str] = PEER_KEYS, *, min_peers: int = 10, skew: Skew = Skew()
+    works: DataFrame, keys: Sequence[str] = PEER_KEYS, *, min_peers: int = 10, skew: Skew = Skew(),
+    store: Store | None = None,
 ) -> DataFrame:
     """WORK_ID, COST_PEER_PERCENTILE: average-tie rank of the sanction, 0..100."""
     rows = works.select("WORK_ID", *keys, "SANCTION_AMOUNT")
-    sizes = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_rows"), F.count("SANCTION_AMOUNT").alias("_n")
+    sizes, small = kept_stats(
+        rows.groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("_rows"), F.count("SANCTION_AMOUNT").alias("_n")
+        ), "peer_sizes", store, skew,
     )
     ranked = percent_rank_of(
         rows, "SANCTION_AMOUNT", "_rank", spread="WORK_ID", keys=keys, skew=skew
     )
     df = attach_group_stats(
-        ranked, sizes, keys, size="_rows", spread="WORK_ID", source=works, skew=skew
+        ranked, sizes, keys, size="_rows", spread="WORK_ID", source=works, skew=skew, small=small
     )
     return df.select(
         "WORK_ID", F.when(F.col("_n") - 1 >= min_peers, F.col("_rank")).alias("COST_PEER_PERCENTILE")
@@ -176,7 +193,7 @@ def build_audit_features(
     *,
     min_peers: int = 10,
     skew: Skew = Skew(),
-    store: Callable[[DataFrame, str], DataFrame] | None = None,
+    store: Store | None = None,
 ) -> DataFrame:
     """All first-generation features; ``works`` should be a settled layer."""
     c = F.col
@@ -240,9 +257,11 @@ def build_audit_features(
     )
     keyed = works.select("WORK_ID", *PEER_KEYS, "SANCTION_AMOUNT")
     df = (
-        df.join(hierarchical_peers(keyed, min_peers, skew), "WORK_ID")
+        df.join(hierarchical_peers(keyed, min_peers, skew, store), "WORK_ID")
         .join(robust_peer_z(keyed, min_peers=min_peers, skew=skew, store=store), "WORK_ID")
-        .join(peer_percentile(keyed, min_peers=min_peers, skew=skew), "WORK_ID")
+        .join(
+            peer_percentile(keyed, min_peers=min_peers, skew=skew, store=store), "WORK_ID"
+        )
     )
     z = F.when(
         c("PEER_STD_SANCTION") > 0, (san - c("PEER_MEAN_SANCTION")) / c("PEER_STD_SANCTION")

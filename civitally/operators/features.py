@@ -20,9 +20,11 @@ from .cleaning import fill_peer_keys
 from .joining import one_to_one
 from .ranking import (
     Ranked,
+    Store,
     attach_group_stats,
     grouped_profile,
     interpolate,
+    kept_stats,
     quantile_positions,
 )
 
@@ -309,13 +311,12 @@ GROUP_KINDS = {
 }
 
 
-def group_features(works: DataFrame, skew: Skew = Skew()) -> DataFrame:
-    """WORK_ID with the totals and counts of its five groups.
+def group_profile(works: DataFrame, skew: Skew = Skew()) -> DataFrame:
+    """KIND, KEY and the totals of every group of the five groupings.
 
-    The five groupings share one long table (WORK_ID, KIND, KEY): one
-    aggregation, one join back and one pivot instead of five of each. Category
-    and activity are the filled peer keys; works without a state, MP or seat
-    get NULLs for it.
+    One pass: a work gives five short rows, which shrink to its groups before the
+    shuffle. Category and activity are the filled peer keys; works without a
+    state, MP or seat are in no group of that kind.
     """
     pairs = F.array(
         *[
@@ -324,8 +325,8 @@ def group_features(works: DataFrame, skew: Skew = Skew()) -> DataFrame:
         ]
     )
     long = (
-        works.select("WORK_ID", F.explode(pairs).alias("g"), *AMOUNTS)
-        .select("WORK_ID", "g.KIND", "g.KEY", *AMOUNTS)
+        works.select(F.explode(pairs).alias("g"), *AMOUNTS)
+        .select("g.KIND", "g.KEY", *AMOUNTS)
         .filter(F.col("KEY").isNotNull())
         .withColumn("_mp_sanction", F.when(F.col("KIND") == "MP", F.col("SANCTION_AMOUNT")))
     )
@@ -342,22 +343,35 @@ def group_features(works: DataFrame, skew: Skew = Skew()) -> DataFrame:
         skew=skew,
     )
     (median,) = interpolate(F.col("_m"), F.col("_m_N"), [0.5])
-    joined = attach_group_stats(
-        long.select("WORK_ID", "KIND", "KEY"),
-        profile.withColumn("_median", median).drop("_m", "_m_N"),
-        ["KIND", "KEY"],
-        size="GROUP_ROWS",
-        spread="WORK_ID",
-        source=long,
-        skew=skew,
-    )
-    return joined.groupBy("WORK_ID").agg(
-        *[
-            F.max(F.when(F.col("KIND") == kind, F.col(source))).alias(out)
-            for kind, (_, outputs) in GROUP_KINDS.items()
-            for out, source in outputs.items()
-        ]
-    )
+    return profile.withColumn("_median", median).drop("_m", "_m_N")
+
+
+def group_features(
+    works: DataFrame, skew: Skew = Skew(), store: Store | None = None
+) -> DataFrame:
+    """WORK_ID with the totals and counts of its five groups.
+
+    Kinds with few groups are broadcast; one with very many (an activity text of
+    its own for each work) is joined by its key.
+    """
+    profile = group_profile(works, skew)
+    sizes: dict[str, int] = {}
+    if store is not None:
+        profile = store(profile, "group_profile")
+        sizes = {r["KIND"]: r["count"] for r in profile.groupBy("KIND").count().collect()}
+    out = works.select("WORK_ID", *[F.col(key) for key, _ in GROUP_KINDS.values()])
+    for kind, (key, outputs) in GROUP_KINDS.items():
+        stats = profile.filter(F.col("KIND") == kind).select(
+            F.col("KEY").alias("_key"), F.col("GROUP_ROWS").alias("_group_rows"),
+            *[F.col(source).alias(name) for name, source in outputs.items()],
+        )
+        out = attach_group_stats(
+            out.withColumn("_key", F.col(key).cast("string")), stats, ["_key"],
+            size="_group_rows", spread="WORK_ID", source=works.select(
+                F.col(key).cast("string").alias("_key")).filter(F.col("_key").isNotNull()),
+            skew=skew, small=store is not None and sizes.get(kind, 0) <= skew.sent_rows,
+        ).drop("_key", "_group_rows")
+    return out.drop(*[key for key, _ in GROUP_KINDS.values()])
 
 
 def build_features(
@@ -366,6 +380,7 @@ def build_features(
     peer_keys: Sequence[str] = PEER_KEYS,
     normalize_activity: bool = False,
     skew: Skew = Skew(),
+    store: Store | None = None,
 ) -> DataFrame:
     """All features. ``financial`` should be a settled layer.
 
@@ -379,14 +394,16 @@ def build_features(
         PEER_KEYS,
         normalize_activity=normalize_activity,
     )
+    stats, small = kept_stats(peer_stats(filled, peer_keys, skew), "peer_stats", store, skew)
     peers = attach_group_stats(
         filled.select("WORK_ID", *peer_keys),
-        peer_stats(filled, peer_keys, skew),
+        stats,
         peer_keys,
         size="PEER_COUNT",
         spread="WORK_ID",
         source=filled,
         skew=skew,
+        small=small,
     ).drop(*peer_keys)
     activity = F.col("ACTIVITY_NAME")
     grouped = financial.select(
@@ -397,5 +414,5 @@ def build_features(
         ),
     )
     return peer_relative(
-        wide.join(group_features(grouped, skew), "WORK_ID").join(peers, "WORK_ID")
+        wide.join(group_features(grouped, skew, store), "WORK_ID").join(peers, "WORK_ID")
     )

@@ -50,6 +50,23 @@ def hot_keys(source: DataFrame, keys: Sequence[str], skew: Skew) -> DataFrame:
     )
 
 
+Store = Callable[[DataFrame, str], DataFrame]
+
+
+def kept_stats(
+    stats: DataFrame, label: str, store: Store | None, skew: Skew = Skew()
+) -> tuple[DataFrame, bool]:
+    """(statistics, whether they may be broadcast).
+
+    With ``store`` they are written once and counted; up to ``skew.sent_rows``
+    rows of a few numbers each are small enough to send to every task.
+    """
+    if store is None:
+        return stats, False
+    layer = store(stats, label)
+    return layer, layer.count() <= skew.sent_rows
+
+
 def attach_group_stats(
     rows: DataFrame,
     stats: DataFrame,
@@ -59,15 +76,19 @@ def attach_group_stats(
     spread: str,
     source: DataFrame | None = None,
     skew: Skew = Skew(),
+    small: bool = False,
 ) -> DataFrame:
-    """Left join per-group statistics onto rows, salting hot groups.
+    """Left join per-group statistics onto rows.
 
-    ``size`` is the statistics column with the group's row count and ``spread``
+    ``small`` statistics (see ``kept_stats``) are broadcast, so that the rows stay
+    where they are. Else hot groups are salted: ``size`` is the statistics column with the group's row count and ``spread``
     a row column whose hash distributes a hot group over its salts. ``source``
     is a cheap table with the same groups (default: the rows), from which hot
     groups are counted; a large group of NULL keys is salted as well.
     """
     keys = list(keys)
+    if small:
+        return null_safe_join(rows, F.broadcast(stats), keys, "left")
     hot = hot_keys(rows if source is None else source, keys, skew)
     salted_rows = null_safe_join(rows, hot, keys, "left").withColumn(
         "_salt",

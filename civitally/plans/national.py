@@ -114,6 +114,7 @@ class NationalPlan:
             peer_keys=self.settings.peer_keys,
             normalize_activity=self.settings.normalize_activity,
             skew=self.settings.skew,
+            store=self.store,
         )
 
     @cached_property

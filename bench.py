@@ -64,7 +64,7 @@ def main() -> None:
                 shared.plan.features.join(
                     shared.plan.ml.select("WORK_ID", F.col("ML_ANOMALY")), "WORK_ID"
                 ),
-                ["SANCTION_AMOUNT", "PAYMENT_COUNT", "UNIQUE_VENDOR_COUNT", "PEER_COUNT"],
+                reports.numeric_features(shared.plan.features),
             )
         ),
         "audit_features": lambda: run(regional().features_plan),

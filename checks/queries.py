@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
@@ -9,6 +10,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from civitally.config import FusionConfig
 from civitally.functions import scalar as fn
@@ -19,7 +21,7 @@ from civitally.operators import (
 )
 from civitally.plans.national import NationalPlan
 from civitally.plans.regional import results_sorted
-from civitally.session import settle
+from civitally.session import layer_root, settle
 from civitally.sources import landed, sinks
 from civitally.sources.schemas import COMPLETED
 
@@ -125,6 +127,46 @@ def _(c):
     return tagged.groupBy("_SOURCE_KEY", "_STATE_NAME", "_MP_ID").agg(F.count(F.lit(1)).alias("N"))
 
 
+TRIP_SPEC = "WORK_ID:i STATE_NAME:s SANCTION_AMOUNT:m SANCTION_DATE:t WORK_DESCRIPTION:s"
+
+
+def _round_trip(c, write, read) -> DataFrame:
+    """The works table written to the shared folder and read back."""
+    path = f"{layer_root(c.spark)}/civitally/trip-{uuid.uuid4().hex}"
+    write(c.works.select("WORK_ID", "STATE_NAME", "SANCTION_AMOUNT", "SANCTION_DATE", "WORK_DESCRIPTION"), path)
+    return read(path, T.StructType([c.works.schema[n] for n in (
+        "WORK_ID", "STATE_NAME", "SANCTION_AMOUNT", "SANCTION_DATE", "WORK_DESCRIPTION")]))
+
+
+@register("src02_json_round_trip", TRIP_SPEC, "works")
+def _(c):
+    return _round_trip(c, sinks.write_json, lambda path, schema: landed.read_json_records(
+        c.spark, path, schema, multi_line=False))
+
+
+@register("src03_typed_csv_round_trip", TRIP_SPEC, "works")
+def _(c):
+    return _round_trip(c, sinks.write_csv, lambda path, schema: landed.read_csv_table(
+        c.spark, path, schema))
+
+
+@register("src04_text_csv_round_trip", "WORK_ID:s STATE_NAME:s AMOUNT:m", None, sql="""
+SELECT CAST(WORK_ID AS VARCHAR) AS WORK_ID, STATE_NAME, SANCTION_AMOUNT AS AMOUNT FROM works""")
+def _(c):
+    rows = _round_trip(c, sinks.write_csv, lambda path, _: landed.read_csv_table(c.spark, path))
+    return rows.withColumn("AMOUNT", fn.clean_money("SANCTION_AMOUNT"))
+
+
+@register("src09_partitioned_round_trip", "STATE_NAME:s N:i TOTAL:m", None, sql="""
+SELECT STATE_NAME, count(*) AS N, sum(SANCTION_AMOUNT) AS TOTAL FROM works GROUP BY 1""")
+def _(c):
+    named = lambda df, path: sinks.write_parquet(df, path, ["STATE_NAME"])
+    rows = _round_trip(c, named, lambda path, _: landed.read_columns(
+        c.spark, path, ["STATE_NAME", "SANCTION_AMOUNT", "NO_SUCH_COLUMN"]))
+    return rows.groupBy("STATE_NAME").agg(
+        F.count(F.lit(1)).alias("N"), F.sum("SANCTION_AMOUNT").alias("TOTAL"))
+
+
 @register("cln01_clean_numeric_dates", "ORD:s AMOUNT:m PAID_ON:t VENDOR:i", None, sql="""
 SELECT ORD, TRY_CAST(FUND_DISBURSED_AMT AS DECIMAL(18,2)) AS AMOUNT,
   CAST(try_strptime(EXPENDITURE_DATE, '%d-%m-%Y') AS DATE) AS PAID_ON, TRY_CAST(VENDOR_ID AS BIGINT) AS VENDOR
@@ -519,10 +561,33 @@ def _(c):
     return reports.anomaly_comparison(c.analysis)
 
 
-NUMERIC = ("RECOMMENDED_AMOUNT", "SANCTION_AMOUNT", "TOTAL_FUND_DISBURSED_AMT", "ACTUAL_AMOUNT",
-           "PAYMENT_COUNT", "UNIQUE_VENDOR_COUNT", "DISBURSED_TO_SANCTION_RATIO",
-           "EXPENDITURE_DURATION_DAYS", "PAYMENTS_PER_30_DAYS", "COMPLETION_DURATION_DAYS",
-           "DATA_COMPLETENESS_RATIO", "PEER_COUNT", "SANCTION_TO_PEER_MEDIAN", "MP_WORK_COUNT")
+# Every numeric feature by name, for the SQL twins; the plans find them by their type.
+NUMERIC = tuple("""
+    RECOMMENDED_AMOUNT SANCTION_AMOUNT TOTAL_FUND_DISBURSED_AMT PAYMENT_COUNT UNIQUE_VENDOR_COUNT
+    PAYMENT_SUCCESS_COUNT PAYMENT_IN_PROGRESS_COUNT UNIQUE_VENDOR_NAME_COUNT DISBURSED_TO_SANCTION_RATIO
+    REMAINING_SANCTION_AMOUNT EXPENDITURE_DURATION_DAYS PAYMENTS_PER_100_DAYS ACTUAL_AMOUNT
+    AVERAGE_RATING ACTUAL_TO_SANCTION_RATIO ACTUAL_TO_RECOMMENDED_RATIO ACTUAL_VS_DISBURSED_RATIO
+    COMPLETION_DURATION_DAYS SANCTION_TO_COMPLETION_DAYS RECOMMENDED_TO_SANCTION_DIFFERENCE
+    SANCTION_TO_RECOMMENDED_RATIO DISBURSED_TO_RECOMMENDED_RATIO REMAINING_SANCTION_RATIO
+    AVERAGE_PAYMENT_AMOUNT PAYMENT_SUCCESS_RATIO PAYMENT_IN_PROGRESS_RATIO PAYMENTS_PER_VENDOR
+    RECOMMENDATION_TO_SANCTION_DAYS SANCTION_TO_FIRST_PAYMENT_DAYS RECOMMENDATION_TO_FIRST_PAYMENT_DAYS
+    LAST_PAYMENT_TO_COMPLETION_DAYS RECOMMENDATION_TO_COMPLETION_DAYS PAYMENTS_PER_30_DAYS
+    DISBURSED_PER_EXPENDITURE_DAY IS_COMPLETED HAS_ACTUAL_AMOUNT HAS_ACTUAL_END_DATE
+    ACTUAL_MINUS_SANCTION ACTUAL_MINUS_DISBURSED DISBURSED_MINUS_ACTUAL NO_PAYMENT_RECORD
+    MULTIPLE_PAYMENTS MULTIPLE_VENDORS PAYMENT_COUNT_GE_5 PAYMENT_COUNT_GE_10 VENDOR_COUNT_GE_5
+    VENDOR_COUNT_GE_10 MISSING_FIELD_COUNT ACTUAL_ABOVE_SANCTION DISBURSED_ABOVE_SANCTION
+    RECOMMENDATION_YEAR RECOMMENDATION_MONTH SANCTION_YEAR FIRST_PAYMENT_YEAR COMPLETION_YEAR
+    DATA_COMPLETENESS_RATIO NEGATIVE_RECOMMENDATION_TO_SANCTION NEGATIVE_SANCTION_TO_PAYMENT
+    COMPLETION_BEFORE_LAST_PAYMENT PAYMENT_AFTER_REPORTED_COMPLETION_DAYS AVERAGE_PAYMENT_ABOVE_1M
+    TOTAL_DISBURSED_ABOVE_5M STATE_WORK_COUNT STATE_TOTAL_RECOMMENDED STATE_TOTAL_SANCTIONED
+    STATE_TOTAL_DISBURSED STATE_AVG_WORK_COST MP_WORK_COUNT MP_TOTAL_RECOMMENDED MP_TOTAL_SANCTIONED
+    MP_TOTAL_DISBURSED MP_AVG_SANCTION_AMOUNT MP_MEDIAN_SANCTION_AMOUNT CONSTITUENCY_WORK_COUNT
+    CONSTITUENCY_TOTAL_SANCTIONED CONSTITUENCY_TOTAL_DISBURSED CONSTITUENCY_AVG_SANCTION
+    CATEGORY_WORK_COUNT ACTIVITY_WORK_COUNT PEER_COUNT PEER_MEDIAN_SANCTION PEER_MEAN_SANCTION
+    PEER_STD_SANCTION PEER_MEDIAN_DISBURSED SANCTION_TO_PEER_MEDIAN DISBURSED_TO_PEER_MEDIAN
+    SANCTION_PEER_Z_SCORE ABS_PEER_COST_Z_SCORE SANCTION_ABOVE_2X_PEER_MEDIAN
+    SANCTION_ABOVE_5X_PEER_MEDIAN DISBURSED_ABOVE_2X_PEER_MEDIAN
+""".split())
 _FULL = f"""
 SELECT FEATURE, {_side('count(V)', 1)} AS ANOMALY_COUNT, {_side('count(V)', 0)} AS NORMAL_COUNT,
   {_side('quantile_cont(V, 0.5)', 1)} AS A, {_side('quantile_cont(V, 0.5)', 0)} AS N,
@@ -543,7 +608,7 @@ SELECT *, A AS ANOMALY_MEDIAN, N AS NORMAL_MEDIAN, CASE WHEN abs(N) > 1e-12 THEN
   abs(CASE WHEN NORMAL_STD > 1e-12 THEN (A - N) / NORMAL_STD END) AS ABS_STANDARDIZED_DIFFERENCE
 FROM sides WHERE ANOMALY_COUNT >= 20 AND NORMAL_COUNT >= 20""")
 def _(c):
-    return reports.feature_comparison(c.analysis, NUMERIC)
+    return reports.feature_comparison(c.analysis, reports.numeric_features(c.plan.features))
 
 
 @register("agg12_availability_gap", "FEATURE:s ANOMALY_AVAILABLE_PERCENT:d "
@@ -555,7 +620,7 @@ SELECT FEATURE, {_side('count(V)', 1)} * 1e0 / {_side('count(*)', 1)} * 100 AS A
     - {_side('count(V)', 0)} * 1e0 / {_side('count(*)', 0)} * 100 AS AVAILABILITY_GAP_PERCENT
 FROM melted GROUP BY 1""")
 def _(c):
-    return reports.availability_gap(c.analysis, NUMERIC)
+    return reports.availability_gap(c.analysis, reports.numeric_features(c.plan.features))
 
 
 @register("agg13_state_feature_gaps", "STATE_NAME:s TOTAL_WORKS:i ML_ANOMALIES:i "
@@ -570,7 +635,7 @@ SELECT STATE_NAME, TOTAL_WORKS, ML_ANOMALIES, ML_ANOMALY_RATE_PERCENT, FEATURE,
 FROM sides JOIN state_diag USING (STATE_NAME)
 WHERE TOTAL_WORKS >= 100 AND ML_ANOMALIES >= 5 AND AC >= 5 AND NC >= 20""")
 def _(c):
-    return reports.state_feature_gaps(c.analysis, NUMERIC)
+    return reports.state_feature_gaps(c.analysis, reports.numeric_features(c.plan.features))
 
 
 @register("agg14_state_rates", "STATE_NAME:s TOTAL_WORKS:i ML_ANOMALIES:i ML_ANOMALY_RATE_PERCENT:d",
@@ -759,7 +824,7 @@ SELECT FEATURE AS "COLUMN", count(*) - count(V) AS MISSING, (count(*) - count(V)
   count(V) AS "COUNT", avg(V) AS MEAN, stddev_samp(V) AS STD, min(V) AS MIN, quantile_cont(V, 0.5) AS MEDIAN,
   max(V) AS MAX FROM melted GROUP BY 1""")
 def _(c):
-    return reports.column_profile(c.plan.features, NUMERIC)
+    return reports.column_profile(c.plan.features, reports.numeric_features(c.plan.features))
 
 
 _CATEGORIES = ("STATE_NAME", "MP_NAME", "CONSTITUENCY", "WORK_CATEGORY", "ACTIVITY_NAME", "WORK_STAGE")

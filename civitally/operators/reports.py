@@ -407,6 +407,19 @@ def group_members(hybrid: DataFrame, group: str) -> DataFrame:
     return hybrid.filter(overlap_groups()[group]).select("WORK_ID")
 
 
+# Numeric columns that name things or only serve other features.
+NOT_FEATURES = ("WORK_ID", "STATE_ID", "CONSTITUENCY_ID", "MP_ID", "ATTACH_ID",
+                "PEER_SANCTION_N", "PEER_SUM_SANCTION")
+
+
+def numeric_features(df: DataFrame) -> list[str]:
+    """Every numeric column that describes a work."""
+    return [
+        f.name for f in df.schema.fields
+        if isinstance(f.dataType, T.NumericType) and f.name not in NOT_FEATURES
+    ]
+
+
 def ml_distribution(ml: DataFrame, feature_count: int, contamination: float | str,
                     trees: int, min_peers: int = 10) -> DataFrame:
     """Headline model metrics as METRIC, VALUE; automatic contamination is NULL."""

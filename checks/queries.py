@@ -1872,6 +1872,61 @@ def _(c):
     return reports.audit_collection(settle(cleaning.most_complete(c.raw), "collection"))
 
 
+_GAPPY = ("STATE_NAME", "SANCTION_AMOUNT", "SANCTION_DATE", "RECOMMENDATION_DATE", "ACTUAL_AMOUNT",
+          "ACTUAL_END_DATE", "AVERAGE_RATING", "PAYMENT_COUNT", "FIRST_EXPENDITURE_DATE")
+
+
+@register("va02_missing_profile", "COLUMN:s MISSING:i MISSING_PERCENT:d", None, sql=" UNION ALL ".join(
+    f"""SELECT * FROM (SELECT '{k}' AS "COLUMN", count(*) - count({k}) AS MISSING,
+  (count(*) - count({k})) * 1e0 / count(*) * 100 AS MISSING_PERCENT FROM fin) WHERE MISSING > 0""" for k in _GAPPY))
+def _(c):
+    return reports.missing_profile(c.plan.financial.select(*_GAPPY))
+
+
+@register("va02_exact_duplicates", "ROWS:i DUPLICATE_ROWS:i", None, extra={"short": """
+SELECT STATE_NAME, SOURCE_KEY, SANCTION_AMOUNT, EXPENDITURE_DATE FROM raw"""}, sql="""
+SELECT count(*) AS ROWS, count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM short)) AS DUPLICATE_ROWS FROM short""")
+def _(c):
+    return reports.exact_duplicates(
+        c.raw_layer.select("STATE_NAME", "_SOURCE_KEY", "SANCTION_AMOUNT", "EXPENDITURE_DATE"))
+
+
+def _medians_sql(source: str, columns) -> str:
+    return " UNION ALL ".join(
+        f"""SELECT '{k}' AS "COLUMN", count({k}) AS N, quantile_cont(CAST({k} AS DOUBLE), 0.5) AS MEDIAN FROM {source}"""
+        for k in columns)
+
+
+_MASTER_AMOUNTS = ("RECOMMENDED_AMOUNT", "SANCTION_AMOUNT")
+_PAID_AMOUNTS = ("TOTAL_FUND_DISBURSED_AMT", "PAYMENT_COUNT", "EXPENDITURE_DURATION_DAYS")
+_DONE_AMOUNTS = ("ACTUAL_AMOUNT", "ACTUAL_TO_SANCTION_RATIO", "COMPLETION_DURATION_DAYS")
+
+
+@register("va04_master_medians", "COLUMN:s N:i MEDIAN:d", None, sql=_medians_sql("works", _MASTER_AMOUNTS))
+def _(c):
+    return reports.amount_medians(c.works, _MASTER_AMOUNTS)
+
+
+@register("va06_payment_medians", "COLUMN:s N:i MEDIAN:d", None, sql=_medians_sql("fin", _PAID_AMOUNTS))
+def _(c):
+    return reports.amount_medians(c.plan.financial, _PAID_AMOUNTS)
+
+
+@register("va07_completion_medians", "COLUMN:s N:i MEDIAN:d", None, sql=_medians_sql("fin", _DONE_AMOUNTS))
+def _(c):
+    return reports.amount_medians(c.plan.financial, _DONE_AMOUNTS)
+
+
+@register("va12_state_concentration", "STATE_NAME:s TOTAL_WORKS:i ML_ANOMALIES:i ML_ANOMALY_RATE_PERCENT:d "
+          "SHARE_PERCENT:d INDIA_RATE_RATIO:d PLACE_BY_NUMBER:i PLACE_BY_RATE:i", None, sql="""
+SELECT *, ML_ANOMALIES * 1e0 / nullif(sum(ML_ANOMALIES) OVER (), 0) * 100 AS SHARE_PERCENT,
+  ML_ANOMALY_RATE_PERCENT / nullif(sum(ML_ANOMALIES) OVER () * 1e0 / sum(TOTAL_WORKS) OVER () * 100, 0) AS INDIA_RATE_RATIO,
+  row_number() OVER (ORDER BY ML_ANOMALIES DESC, STATE_NAME) AS PLACE_BY_NUMBER,
+  row_number() OVER (ORDER BY ML_ANOMALY_RATE_PERCENT DESC, STATE_NAME) AS PLACE_BY_RATE FROM state_diag""")
+def _(c):
+    return reports.state_concentration(c.analysis)
+
+
 @register("va03_audit_work_ids", AUDIT, None, sql=" UNION ALL ".join(
     [_keys_sql("raw", "DTL_ID")] + [
         f"SELECT 'CONFLICTS', '{k}', CAST(count(*) AS DOUBLE) FROM (SELECT DTL_ID FROM raw GROUP BY 1 "
@@ -2161,6 +2216,7 @@ def _(c):
     )
 
 
-@rows_only("va09_ml_integrity")
+@register("va09_ml_integrity", "CHECK:s PASSED:b", None, extra={"damaged": "SELECT WORK_ID FROM works"},
+          sql=_INTEGRITY)
 def _(c):
     return reports.ml_integrity(c.plan.features, c.plan.ml)

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import Skew
 from ..functions.scalar import round_even
 from .cleaning import DataGateError, key_profile
+from .columns import column_quantiles
 from .forest import melt
 from .ranking import grouped_quantiles
 from .rules import RuleBook
@@ -682,6 +683,55 @@ def audit_collection(collection: DataFrame) -> DataFrame:
     })
 
 
+def missing_profile(df: DataFrame) -> DataFrame:
+    """COLUMN, MISSING, MISSING_PERCENT of every column that has gaps, in one pass."""
+    names = df.columns
+    gaps = df.agg(
+        row_count().alias("_rows"), *[F.count_if(F.col(c).isNull()).alias(f"_{i}") for i, c in enumerate(names)]
+    )
+    pairs = F.array(*[
+        F.struct(F.lit(c).alias("COLUMN"), F.col(f"_{i}").alias("MISSING")) for i, c in enumerate(names)
+    ])
+    return gaps.select("_rows", F.explode(pairs).alias("p")).select(
+        "p.COLUMN", "p.MISSING", (F.col("p.MISSING") / F.col("_rows") * 100.0).alias("MISSING_PERCENT")
+    ).filter("MISSING > 0")
+
+
+def exact_duplicates(df: DataFrame) -> DataFrame:
+    """ROWS and DUPLICATE_ROWS (rows beyond the first of equal ones)."""
+    copies = df.groupBy(*df.columns).agg(row_count().alias("_n"))
+    return copies.agg(
+        F.sum("_n").alias("ROWS"), (F.sum("_n") - row_count()).alias("DUPLICATE_ROWS")
+    )
+
+
+def amount_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """COLUMN, N, MEDIAN of amounts and durations; exact, without a global sort."""
+    return column_quantiles(df, _present(df, columns), [0.5], ["MEDIAN"]).select(
+        "COLUMN", "N", "MEDIAN"
+    )
+
+
+def state_concentration(ml: DataFrame) -> DataFrame:
+    """States with their share of all anomalies, their rate against the country's,
+    and their places by number and by rate (ties by name)."""
+    states = state_rates(ml)
+    works, anomalies = F.col("TOTAL_WORKS"), F.col("ML_ANOMALIES")
+    # one row for each state, so one window over all of them is small
+    every = Window.partitionBy(F.lit(0))
+    rate = F.sum(anomalies).over(every) / F.sum(works).over(every) * 100.0
+    by_number = every.orderBy(F.desc("ML_ANOMALIES"), "STATE_NAME")
+    by_rate = every.orderBy(F.desc("ML_ANOMALY_RATE_PERCENT"), "STATE_NAME")
+    share = anomalies / F.nullif(F.sum(anomalies).over(every), F.lit(0)) * 100.0
+    return states.select(
+        "STATE_NAME", "TOTAL_WORKS", "ML_ANOMALIES", "ML_ANOMALY_RATE_PERCENT",
+        share.alias("SHARE_PERCENT"),
+        (F.col("ML_ANOMALY_RATE_PERCENT") / F.nullif(rate, F.lit(0.0))).alias("INDIA_RATE_RATIO"),
+        F.row_number().over(by_number).alias("PLACE_BY_NUMBER"),
+        F.row_number().over(by_rate).alias("PLACE_BY_RATE"),
+    )
+
+
 def audit_work_ids(records: DataFrame) -> DataFrame:
     """Id completeness, repetition and conflicts with state, MP, seat, list, stage."""
     key = "WORK_RECOMMENDATION_DTL_ID"

@@ -28,6 +28,7 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 WINDOW = 3
 #: Good documents go with their host only where three quarters of it fail.
 MAX_HOST_RATE = 0.75
+SENT_HOSTS = 100_000
 
 
 def counted(docs: DataFrame, text: str, wanted: dict[str, Column]) -> DataFrame:
@@ -122,9 +123,10 @@ def judge(
 ) -> DataFrame:
     """``wanted`` columns, counts, base_failed and kept for every row of ``docs``.
 
-    The counts are stored once: host sums and the join back both read that
-    narrow layer. Hosts are repeated for ``salts`` salts, so a host with a third
-    of all documents is joined by as many tasks.
+    The counts are stored once: host sums and the join back both read that layer.
+    Rejected hosts are counted; up to ``SENT_HOSTS`` are broadcast, so the documents
+    stay where they are. More are repeated for ``salts`` salts, so that a host with
+    a third of all documents is joined by as many tasks.
     """
     host = hidden("host")
     layer = settle(
@@ -134,13 +136,14 @@ def judge(
     )
     bad = host_rates(layer.select(F.col(host).alias("host"), "base_failed")).filter(F.col("rate") > max_host_rate)
     salt, failed = hidden("salt"), hidden("failed")
-    bad = bad.select(
-        F.col("host").alias(host),
-        F.lit(True).alias(failed),
-        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias(salt),
-    )
-    spread = layer.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
-    return spread.join(bad, [host, salt], "left").select(
+    bad = settle(bad.select(F.col("host").alias(host), F.lit(True).alias(failed)), "bad-hosts")
+    if bad.count() <= SENT_HOSTS:
+        joined = layer.join(F.broadcast(bad), host, "left")
+    else:
+        row = F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")
+        each = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+        joined = layer.withColumn(salt, row).join(bad.withColumn(salt, each), [host, salt], "left")
+    return joined.select(
         *wanted,
         *COUNTS,
         "base_failed",

@@ -53,7 +53,9 @@ def test_repeated_windows(spark):
     assert got == {i: counts(t) for i, t in enumerate(texts)}
 
 
-def test_hosts(spark):
+@pytest.mark.parametrize("sent", [100, 0])
+def test_hosts(spark, monkeypatch, sent):
+    monkeypatch.setattr(quality_rules, "SENT_HOSTS", sent)
     good = [(i, prose(i, 80), "en", f"good{i % 5}", 0) for i in range(200)]
     bad = [(1000 + i, "short" if i % 16 else prose(i, 80), "en", "bad", 0) for i in range(160)]
     bad += [(3000 + i, "short" if i % 2 else prose(i, 80), "en", "half", 0) for i in range(80)]

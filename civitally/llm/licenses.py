@@ -1,16 +1,23 @@
 """Licence scan; built-in expressions only.
 
-Lines are compared with notice templates by the cosine of sparse TF-IDF vectors
-(idf of the template words over all documents; other words weigh 1). A template
-can only reach the limit with a line that holds one of its heaviest words, so
-lines without any of those are left out before words are counted; that loses
-nothing. A document's licence is that of its best line. Documents whose matching
-lines hold at least ``file_share`` of their words are licence files, and speak for
-their directory (the licence of most of them); a document without a licence of
-its own inherits from the nearest ancestor directory that has one.
-
-A null or empty text has no licence of its own. A null path or an empty one has
-no directory. Ties go to the first name. Repeated rows are judged like others.
+Vectors are sparse TF-IDF, compared by their cosine (idf of the template words
+over all documents; other words weigh 1). Lines are compared with notice
+templates. A template can only reach the limit with a line that holds one of its
+heaviest words, so lines without any of those are left out before words are
+counted; that loses nothing. The whole text and its head are compared with whole
+licence texts and standard headers, there with 1 + ln of each count; the head for
+a template is as long as it, or ``MORE`` words longer. A text that lacks so many words of
+a template that the rest cannot reach the limit is left out, which loses nothing.
+
+A document's licence is that of its SPDX line, else of its whole text, else of its
+head, else of its best line. A document is a licence file if its whole text reaches
+the limit or its matching lines hold at least ``file_share`` of its words. Licence
+files speak for their directory (the licence of most of them); a document without a
+licence of its own inherits from the nearest ancestor directory that has one.
+
+A null or empty text has no licence of its own. A path without a slash lies in the
+root directory, '', which is above all others. A null path or an empty one has no
+directory. Ties go to the first name. Repeated rows are judged like others.
 Extra columns are not read. An empty table gives an empty table.
 """
 
@@ -18,12 +25,15 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from civitally.session import settle
 
+from .license_texts import HEADERS, TEXTS
+
 # Short notices by SPDX name.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
@@ -41,20 +51,44 @@ TEMPLATES = (
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0 Universal"),
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
 )
+# Further short forms, which the SQL twin does not have.
+NOTICES = (
+    ("MIT", "MIT License"),  # not with "mit" twice: German lines would match
+    ("MIT", "Licensed under the MIT License"),
+    ("Apache-2.0", "Apache License Version 2.0"),
+    ("Apache-2.0", "Licensed under the Apache License 2.0"),
+    ("GPL-1.0-or-later", "GNU General Public License"),  # any version, as none is named
+    ("GPL-3.0", "GNU General Public License version 3"),
+    ("GPL-3.0", "Licensed under the GNU GPL v3"),
+    ("GPL-2.0", "GNU General Public License version 2"),
+    ("GPL-2.0", "Licensed under the GNU GPL v2"),
+    ("LGPL-2.0-or-later", "GNU Lesser General Public License"),
+    ("AGPL-3.0", "GNU Affero General Public License"),
+    ("BSD-3-Clause", "BSD 3-Clause License"), ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License"),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"), ("ISC", "ISC License"),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International"),
+    ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International"),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International"),
+    ("CC0-1.0", "CC0 1.0 Universal"),
+)
 BREAK = "[^a-z0-9]+"
-LIMIT, FILE_SHARE, SALTS = 0.75, 0.5, 16
+SPDX = r"(?i)SPDX-License-Identifier:[ \t]*(\(*[a-z0-9.+:-]+\)*(?:[ \t]+(?:and|or|with)[ \t]+\(*[a-z0-9.+:-]+\)*)*)"
+LIMIT, FILE_SHARE, SALTS, MORE = 0.75, 0.5, 16, 40
+WHOLE = -1  # the unit of the whole text; a head of n words is -1 - n, lines are 0 and more
 
 
 def words_of(text: str) -> list[str]:
     return [w for w in re.split(BREAK, text.lower()) if w]
 
 
-def template_vectors(templates, idf: dict[str, float]) -> list[tuple[int, str, str, float]]:
+def template_vectors(templates, idf: dict[str, float], damped: bool = False) -> list[tuple[int, str, str, float]]:
     """number, licence, word, weight of unit vectors."""
     out = []
     for number, (name, text) in enumerate(templates):
-        words = words_of(text)
-        weight = {w: words.count(w) * idf[w] for w in set(words)}
+        counts = Counter(words_of(text))
+        weight = {w: (1 + math.log(n) if damped else n) * idf[w] for w, n in counts.items()}
         norm = math.sqrt(sum(x * x for x in weight.values()))
         out += [(number, name, w, x / norm) for w, x in sorted(weight.items())]
     return out
@@ -76,8 +110,27 @@ def anchors(vectors, limit: float) -> list[str]:
     return sorted(out)
 
 
-def scan(files: DataFrame, templates=TEMPLATES, limit: float = LIMIT,
-         file_share: float = FILE_SHARE) -> DataFrame:
+def fewest(vectors, limit: float) -> dict[int, int]:
+    """For each template the number of its words below which no text reaches the limit."""
+    out, of = {}, {}
+    for number, _, _, weight in vectors:
+        of.setdefault(number, []).append(weight * weight)
+    for number, squares in of.items():
+        held, out[number] = 0.0, 0
+        for square in sorted(squares, reverse=True):
+            if held >= (limit - 1e-9) ** 2:
+                break
+            held, out[number] = held + square, out[number] + 1
+    return out
+
+
+def constant(words) -> Column:
+    """An array of words as one literal."""
+    return F.split(F.lit(" ".join(sorted(words))), " ")
+
+
+def scan(files: DataFrame, templates=TEMPLATES + NOTICES, limit: float = LIMIT,
+         file_share: float = FILE_SHARE, texts=(*TEXTS.items(), *HEADERS)) -> DataFrame:
     """doc_id, path, license, score, how ('own', 'file', 'inherited' or null), from_dir.
 
     ``files`` has doc_id, path (parts divided by '/', the file's name last), text."""
@@ -85,10 +138,12 @@ def scan(files: DataFrame, templates=TEMPLATES, limit: float = LIMIT,
     files = files.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.col("path").cast("string").alias("path"),
         F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text"),
+        F.regexp_extract(F.coalesce(F.col("text").cast("string"), F.lit("")), SPDX, 1).alias("spdx"),
     )
-    vocabulary = sorted({w for _, t in templates for w in words_of(t)})
-    known = F.array(*[F.lit(w) for w in vocabulary])
-    held = F.array_intersect(F.split("text", BREAK), known)
+    of_lines = {w for _, t in templates for w in words_of(t)}
+    of_texts = {w for _, t in texts for w in words_of(t)}
+    vocabulary = sorted(of_lines | of_texts)
+    held = F.array_intersect(F.split("text", BREAK), constant(vocabulary))
     # One row for each word of the templates: bounded by them.
     found = {
         r["word"]: r["n"] for r in
@@ -98,34 +153,59 @@ def scan(files: DataFrame, templates=TEMPLATES, limit: float = LIMIT,
     total = found.get("", 0)
     idf = {w: math.log((1 + total) / (1 + found.get(w, 0))) + 1 for w in vocabulary}
     vectors = template_vectors(templates, idf)
-    heavy = F.array(*[F.lit(w) for w in anchors(vectors, limit)])
+    wholes = template_vectors(texts, idf, damped=True)
+    heavy = constant(anchors(vectors, limit))
     lines = F.filter(
         F.transform(F.split("text", "\n"), lambda x: F.array_remove(F.split(x, BREAK), "")),
         lambda x: F.arrays_overlap(x, heavy),
     )
+    least = fewest(wholes, limit)
+    near = [
+        F.when(F.size(F.array_intersect("held", constant(set(words_of(t))))) >= least[i],
+               F.lit(len(words_of(t)) + more))
+        for i, (_, t) in enumerate(texts) for more in (0, MORE)
+    ]
+    heads = F.array_distinct(F.array_compact(F.array(*near))) if near else F.array().cast("array<int>")
+    words = F.array_remove(F.split("text", BREAK), "")
     layer = settle(
-        files.select(
-            F.monotonically_increasing_id().alias("row"), "doc_id", "path",
+        files.withColumn("held", held).select(
+            F.monotonically_increasing_id().alias("row"), "doc_id", "path", "spdx",
             F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", ""))
-            .alias("dir"),
-            F.size(F.array_remove(F.split("text", BREAK), "")).alias("n_words"),
-            lines.alias("lines"),
-        ), "license-lines")
+            .when(F.col("path") != "", "").alias("dir"),
+            F.size(words).alias("n_words"), lines.alias("lines"), heads.alias("heads"), "text",
+        ).withColumn("words", F.when(F.size("heads") > 0, words)).drop("text"), "license-lines")
     shape = "number int, license string, word string, weight double"
-    templates_df = F.broadcast(spark.createDataFrame(vectors, shape))  # as large as the templates
-    idf_df = F.broadcast(spark.createDataFrame(sorted(idf.items()), "word string, idf double"))
+    # As large as the templates: lines are compared with the notices, a whole text with
+    # all texts, a head with those of its length.
+    templates_df = F.broadcast(spark.createDataFrame(vectors, shape))
+    long = [len(words_of(t)) for _, t in texts]
+    wholes_df = F.broadcast(spark.createDataFrame(
+        [(*v, unit) for v in wholes for unit in (WHOLE, -1 - long[v[0]], -1 - long[v[0]] - MORE)],
+        shape + ", line int"))
+    idf_df = F.broadcast(spark.createDataFrame(
+        [(w, idf[w] if w in of_lines else None, idf[w] if w in of_texts else None) for w in vocabulary],
+        "word string, line_idf double, text_idf double"))
+    by_text = layer.filter("size(heads) > 0").select("row", "words", F.explode(
+        F.concat(F.array(F.lit(WHOLE)), F.transform("heads", lambda n: -1 - n))).alias("line"))
+    by_text = by_text.select("row", "line", F.when(F.col("line") == WHOLE, F.col("words")).otherwise(
+        F.slice("words", F.lit(1), F.greatest(-1 - F.col("line"), F.lit(0)))).alias("words"))
     terms = (
-        layer.select("row", F.posexplode("lines").alias("line", "words"))
+        layer.select("row", F.posexplode("lines").alias("line", "words")).unionByName(by_text)
         .select("row", "line", F.explode("words").alias("word"))
         .groupBy("row", "line", "word").agg(F.count(F.lit(1)).alias("tf"))
         .join(idf_df, "word", "left")
-        .withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(1.0)))
+        .withColumn("w", F.when(F.col("line") >= 0, F.col("tf") * F.coalesce("line_idf", F.lit(1.0)))
+                    .otherwise((1 + F.log("tf")) * F.coalesce("text_idf", F.lit(1.0))))
+        .drop("line_idf", "text_idf")
     )
     terms = settle(terms, "license-terms")
     norms = terms.groupBy("row", "line").agg(
         F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.sum("tf").alias("words")
     )
-    dots = terms.join(templates_df, "word").groupBy("row", "line", "number", "license").agg(
+    products = terms.filter("line >= 0").join(templates_df, "word").unionByName(
+        terms.filter("line < 0").join(wholes_df, ["word", "line"])
+    )
+    dots = products.groupBy("row", "line", "number", "license").agg(
         F.sum(F.col("w") * F.col("weight")).alias("dot")
     )
     matched = dots.join(norms, ["row", "line"]).withColumn(
@@ -135,14 +215,22 @@ def scan(files: DataFrame, templates=TEMPLATES, limit: float = LIMIT,
         F.max("words").alias("words"),
         F.min(F.struct((-F.col("score")).alias("worse"), F.col("license"))).alias("best"),
     )
+    unit = F.when(F.col("line") >= 0, 2).when(F.col("line") == WHOLE, 0).otherwise(1)
     own = by_line.groupBy("row").agg(
-        F.sum("words").alias("words"), F.min("best").alias("best")
-    ).select("row", "words", F.col("best.license").alias("own"),
-             (-F.col("best.worse")).alias("own_score"))
+        F.sum(F.when(F.col("line") >= 0, F.col("words"))).alias("words"),
+        F.max(F.col("line") == WHOLE).alias("is_text"),
+        F.min(F.struct(unit.alias("unit"), "best")).alias("best"),
+    ).select("row", "words", "is_text", F.col("best.best.license").alias("own"),
+             (-F.col("best.best.worse")).alias("own_score"))
+    named = F.col("spdx") != ""
+    spdx_words = F.size(F.array_remove(F.split(F.lower("spdx"), BREAK), "")) + 3
     judged = settle(
-        layer.select("row", "doc_id", "path", "dir", "n_words").join(own, "row", "left").withColumn(
-            "is_file", F.coalesce(F.col("words") >= file_share * F.col("n_words"), F.lit(False))
-        ), "license-own")
+        layer.select("row", "doc_id", "path", "dir", "n_words", "spdx").join(own, "row", "left")
+        .withColumn("is_file", F.coalesce("is_text", F.lit(False)) | F.coalesce(
+            F.greatest("words", F.when(named, spdx_words)) >= file_share * F.col("n_words"), F.lit(False)))
+        .withColumns({"own": F.when(named, F.col("spdx")).otherwise(F.col("own")),
+                      "own_score": F.when(named, 1.0).otherwise(F.col("own_score"))})
+        .drop("spdx", "is_text"), "license-own")
     votes = judged.filter("is_file and dir is not null").groupBy("dir", "own").agg(
         F.count(F.lit(1)).alias("n")
     )
@@ -152,7 +240,7 @@ def scan(files: DataFrame, templates=TEMPLATES, limit: float = LIMIT,
     # Directories, not documents, look for their ancestors.
     dirs = judged.select("dir").filter("dir is not null").distinct()
     parts = F.split("dir", "/")
-    ancestors = dirs.select("dir", F.explode(F.sequence(F.lit(1), F.size(parts))).alias("depth"))
+    ancestors = dirs.select("dir", F.explode(F.sequence(F.lit(0), F.size(parts))).alias("depth"))
     ancestors = ancestors.withColumn(
         "from_dir", F.array_join(F.slice(parts, F.lit(1), F.col("depth")), "/")
     )

@@ -9,7 +9,7 @@ import pytest
 from checks.compare import duck, rows_of
 from pyspark.sql import functions as F
 
-from civitally.llm import cuckoo, licenses, line_dedup, quality_rules
+from civitally.llm import cuckoo, license_texts, licenses, line_dedup, quality_rules
 from civitally.llm.queries import QUERIES, SQL
 
 from .conftest import ODD, SCHEMA, prose
@@ -173,6 +173,34 @@ def test_licenses(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def test_licenses_of_whole_texts_and_headers(spark):
+    header = dict(license_texts.HEADERS)
+    mit = license_texts.TEXTS["MIT"].replace("(c)", "(c) 2019 Ada Byron and others")
+    code = "\n".join(f"value_{i} = compute(value_{i - 1}, {i})" for i in range(1, 300))
+    files = [
+        (1, "LICENSE", mit), (2, "a.txt", prose(1, 40)), (3, "x/y/b.txt", prose(2, 40)),
+        (4, "x/COPYING", license_texts.TEXTS["GPL-3.0"]), (5, "z/c.txt", prose(3, 40)),
+        (6, "z/gpl.py", "# " + header["GPL-3.0"].replace("\n", "\n# ") + code),
+        (7, "z/lgpl.py", "#!/usr/bin/env python\n" + header["LGPL-3.0"] + code),
+        (8, "z/spdx.c", "// SPDX-License-Identifier: GPL-2.0-only OR MIT\n" + code),
+        (9, "w/TITLE", "GNU GENERAL PUBLIC LICENSE"), (10, "z/none.py", code),
+        (11, "z/apache.py", header["Apache-2.0"] + code), (12, "v/COPYING", license_texts.TEXTS["AGPL-3.0"]),
+        (13, "u/LICENSE", "BSD 3-Clause License\n\n" + license_texts.TEXTS["BSD-3-Clause"]),
+        (14, "t/LICENSE", license_texts.TEXTS["BSD-2-Clause"]), (15, "s/spdx.txt", "SPDX-License-Identifier: Zlib"),
+    ]
+    df = spark.createDataFrame(files, "doc_id bigint, path string, text string")
+    got = {r["doc_id"]: (r["license"], r["how"], r["from_dir"]) for r in licenses.scan(df).collect()}
+    assert got == {
+        1: ("MIT", "file", None), 2: ("MIT", "inherited", ""), 3: ("GPL-3.0", "inherited", "x"),
+        4: ("GPL-3.0", "file", None), 5: ("MIT", "inherited", ""), 6: ("GPL-3.0", "own", None),
+        7: ("LGPL-3.0", "own", None), 8: ("GPL-2.0-only OR MIT", "own", None),
+        9: ("GPL-1.0-or-later", "file", None), 10: ("MIT", "inherited", ""),
+        11: ("Apache-2.0", "own", None), 12: ("AGPL-3.0", "file", None),
+        13: ("BSD-3-Clause", "file", None), 14: ("BSD-2-Clause", "file", None),
+        15: ("Zlib", "file", None),
+    }
+
+
 def test_licenses_of_odd_rows(odd, none):
     assert licenses.scan(licenses.documents_as_files(odd)).count() == len(ODD)
     assert licenses.scan(licenses.documents_as_files(none)).count() == 0

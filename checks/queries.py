@@ -1883,6 +1883,33 @@ def _(c):
     return reports.missing_profile(c.plan.financial.select(*_GAPPY))
 
 
+#: Every column of a landed record but the landing order, with its name in the SQL relation.
+_RECORD = {"WORK_RECOMMENDATION_DTL_ID": "DTL_ID", "WORK_ID": "WORK_NO"} | {
+    f"_{c}": c for c in ("STATE_ID", "STATE_NAME", "MP_ID", "MP_NAME", "CONSTITUENCY_ID", "CONSTITUENCY", "SOURCE_KEY")
+} | {c: c for c in (
+    "STATE_NAME", "CONSTITUENCY_ID", "CONSTITUENCY", "MP_NAME", "WORK_CATEGORY", "ACTIVITY_NAME", "WORK_DESCRIPTION",
+    "RECOMMENDED_AMOUNT", "RECOMMENDATION_DATE", "WORK_STAGE", "SANCTION_AMOUNT", "SANCTION_DATE", "ATTACH_ID",
+    "ACTUAL_AMOUNT", "ACTUAL_END_DATE", "AVERAGE_RATING", "FUND_DISBURSED_AMT", "EXPENDITURE_DATE", "VENDOR_ID",
+    "VENDOR_NAME", "WORK_STATUS", "IA_NAME", "IDA_NAME", "LETTER_NO")}
+
+
+@register("va02_collection_missing_profile", "COLUMN:s MISSING:i MISSING_PERCENT:d", None, extra={"coll": f"""
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY DTL_ID ORDER BY {_RICH} DESC, ORD) AS RN FROM raw) WHERE RN = 1"""},
+    sql=" UNION ALL ".join(
+        f"""SELECT * FROM (SELECT '{k}' AS "COLUMN", count(*) - count({v}) AS MISSING,
+  (count(*) - count({v})) * 1e0 / count(*) * 100 AS MISSING_PERCENT FROM coll) WHERE MISSING > 0"""
+        for k, v in _RECORD.items()))
+def _(c):
+    return reports.missing_profile(cleaning.most_complete(c.raw).drop("_ord"))
+
+
+@register("va02_record_duplicates", "ROWS:i DUPLICATE_ROWS:i", None, extra={
+    "records": f"SELECT {', '.join(dict.fromkeys(_RECORD.values()))} FROM raw"}, sql="""
+SELECT count(*) AS ROWS, count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM records)) AS DUPLICATE_ROWS FROM records""")
+def _(c):
+    return reports.exact_duplicates(c.raw_layer.drop("_ord"))
+
+
 @register("va02_exact_duplicates", "ROWS:i DUPLICATE_ROWS:i", None, extra={"short": """
 SELECT STATE_NAME, SOURCE_KEY, SANCTION_AMOUNT, EXPENDITURE_DATE FROM raw"""}, sql="""
 SELECT count(*) AS ROWS, count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM short)) AS DUPLICATE_ROWS FROM short""")

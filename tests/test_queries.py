@@ -4,7 +4,9 @@ import pytest
 
 import __spark_entry__ as entry_module
 from checks import compare
-from checks.queries import REGISTRY
+from checks.context import shared_context
+from checks.queries import _RECORD, REGISTRY
+from civitally.operators import cleaning
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -25,3 +27,14 @@ def test_contract(spark):
     assert set(twins) <= set(queries) and len(twins) > 100
     result = entry_module.entry(spark)
     assert result.count() == 100 and result.first()["RULE_SCORE"] >= 60
+
+
+def test_collection_audits_take_every_column(spark):
+    queries, records = entry_module.queries(), shared_context(spark, SMALL).raw.drop("_ord")
+    assert set(_RECORD) == set(records.columns)
+    profile = {r["COLUMN"] for r in queries["va02_collection_missing_profile"](spark, SMALL).collect()}
+    one = cleaning.most_complete(shared_context(spark, SMALL).raw).toPandas().drop(columns="_ord")
+    assert profile == {c for c in one.columns if one[c].isna().any()}
+    rows = records.toPandas()
+    got = queries["va02_record_duplicates"](spark, SMALL).first()
+    assert (got["ROWS"], got["DUPLICATE_ROWS"]) == (len(rows), int(rows.duplicated().sum()))

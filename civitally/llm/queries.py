@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import attention, bpe, jaccard, licenses, line_dedup, packing, quality_rules, toxicity, training_order, vafile
+from . import (
+    attention, bpe, collocations, jaccard, licenses, line_dedup, packing, quality_rules, runs, toxicity,
+    training_order, urlrules, vafile,
+)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +76,18 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_bpe_round_trip")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
+
+
+@query("op11_url_rules", urlrules.SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlrules.judge(table(spark, sf_dir, "pages"), urlrules.rule_table(spark, urlrules.RULES))
+
+
+@query("op12_periodic_runs")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.summary(table(spark, sf_dir, "documents"))
+
+
+@query("op13_phrase_collocations", collocations.SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))

@@ -10,10 +10,11 @@ weight from each, which a last sum joins. Composing candidates with the united
 transducer (``parts``) gives the counts of their first parts and rests.
 
 Windows go no further than their words can belong to a phrase with ``least``
-occurrences: a pair of words with a 64-bit hash that occurs less often ends them.
-Counts of pair hashes are exact sums, and frequent ones are kept in a Bloom filter
-of ``filter_bits`` bits, whatever the input. Both err to one side only: a window
-may be longer than needed, so counts are exact, also where the filter is full.
+occurrences: a word or a pair of words with a 64-bit hash that occurs less often ends
+them, and a window of no words only adds to its language's words. Counts of hashes
+are exact sums, and frequent ones are kept in a Bloom filter of ``filter_bits`` bits,
+whatever the input. Both err to one side only: a window may be longer than needed, so
+counts are exact, also where the filter is full.
 
 Texts are lower-cased in A-Z, split into pieces at ``[.,;:!?\\x0A-\\x0D]`` and into words
 at spaces and tabs; phrases lie within a piece. A null text is empty, a null lang is
@@ -27,9 +28,11 @@ phrases of a language are chosen in salted groups first.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,11 +43,14 @@ from civitally.operators.ranking import attach_group_stats
 from civitally.session import settle
 
 LEAST, LONGEST, SHARE, TOP = 30, 4, 80, 2000
-FILTER_BITS = 1 << 26
-SHARD_WORDS = 6_000_000
+FILTER_BITS = 1 << 25
+BLOCK_BITS = 1 << 19
+SHARD_WORDS = 2_000_000
+SLICE_DOCS = 2000
 BREAK = b"."
 CUTS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", BREAK * 10)
-PATHS = "lang string, words array<string>, weight bigint"
+PATHS = "path string, weight bigint"
+CHUNK_ROWS = 200_000
 
 
 class Shard:
@@ -102,21 +108,53 @@ def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[Shard]:
         yield shard
 
 
-def pair_counts(docs: DataFrame) -> DataFrame:
-    """key, weight: number of occurrences of each word pair's hash."""
+def word_keys(hashes: np.ndarray) -> np.ndarray:
+    """Keys of single words, apart from those of pairs."""
+    return (hashes ^ np.uint64(0xD6E8FEB86659FD93)) * np.uint64(0xA0761D6478BD642F)
+
+
+def frequent_keys(docs: DataFrame, least: int) -> DataFrame:
+    """key: hashes of words and word pairs with ``least`` occurrences.
+
+    Each shard sends its keys and counts as sorted arrays, cut by the key's first bits
+    into slices, at least one for each ``SLICE_DOCS`` documents, which are summed alone.
+    """
+    bits = max(8, (docs.count() // SLICE_DOCS).bit_length())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in shards(batches):
             for lang, ids in shard.streams():
-                keys, there = pair_keys(ids, shard.hashes(lang))
-                keys, weight = np.unique(keys[there], return_counts=True)
-                for at in range(0, len(keys), 100_000):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(keys[at: at + 100_000].view(np.int64)),
-                         pa.array(weight[at: at + 100_000])], names=["key", "weight"])
+                hashes = shard.hashes(lang)
+                pairs, there = pair_keys(ids, hashes)
+                words = np.bincount(ids, minlength=len(hashes))
+                words[0] = 0
+                used = np.flatnonzero(words)
+                pairs, weight = np.unique(pairs[there], return_counts=True)
+                single = word_keys(hashes[used])
+                order = np.argsort(single)
+                for keys, counts in ((pairs, weight), (single[order], words[used][order])):
+                    slices = (keys >> np.uint64(64 - bits)).astype(np.int64)
+                    cut = np.flatnonzero(np.diff(slices, prepend=-1, append=1 << bits))
+                    ends = list(zip(cut[:-1], cut[1:]))
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(slices[cut[:-1]]),
+                        pa.array([keys[i:j].tobytes() for i, j in ends], pa.binary()),
+                        pa.array([counts[i:j].astype(np.int32).tobytes() for i, j in ends], pa.binary()),
+                    ], names=["slice", "keys", "counts"])
+
+    def add(rows: pa.Table) -> pa.Table:
+        def joined(name: str, kind) -> np.ndarray:
+            return np.concatenate([np.frombuffer(x, kind) for x in rows.column(name).to_pylist()])
 
-    return docs.mapInArrow(run, "key bigint, weight bigint").groupBy("key").agg(
-        F.sum("weight").alias("weight"))
+        keys, counts = joined("keys", np.int64), joined("counts", np.int32)
+        order = np.argsort(keys)
+        keys = keys[order]
+        start = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
+        total = np.add.reduceat(counts[order], start, dtype=np.int64)
+        return pa.table({"key": keys[start[total >= least]]})
+
+    return docs.mapInArrow(run, "slice bigint, keys binary, counts binary").groupBy(
+        "slice").applyInArrow(add, "key bigint")
 
 
 def places(keys: np.ndarray, bits: int) -> np.ndarray:
@@ -128,8 +166,9 @@ def places(keys: np.ndarray, bits: int) -> np.ndarray:
 
 
 def bloom(keys: DataFrame, bits: int) -> np.ndarray:
-    """Bloom filter of the keys as bytes. Its 64-bit words are joined by Spark; the
-    driver gets at most ``bits / 64`` of them."""
+    """Bloom filter of the keys as bytes. Spark joins its 64-bit words, then blocks of
+    them; the driver gets ``bits`` bits in blocks, whatever the number of keys."""
+    block_bits = min(bits, BLOCK_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,11 +177,22 @@ def bloom(keys: DataFrame, bits: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(at >> 6), pa.array(value.view(np.int64))], names=["slot", "value"])
 
-    words = keys.mapInArrow(run, "slot bigint, value bigint").groupBy("slot").agg(
-        F.bit_or("value").alias("value")).toPandas()
-    table = np.zeros(max(bits // 64, 1), np.int64)
-    table[words["slot"].to_numpy(np.int64)] = words["value"].to_numpy(np.int64)
-    return table.view(np.uint8)
+    def block(rows: pa.Table) -> pa.Table:
+        slot = rows.column("slot").to_numpy()
+        words = np.zeros(block_bits // 64, np.int64)
+        words[slot % len(words)] = rows.column("value").to_numpy()
+        return pa.table({"block": pa.array([slot[0] // len(words)], pa.int64()),
+                         "data": pa.array([words.tobytes()], pa.binary())})
+
+    slots = keys.mapInArrow(run, "slot bigint, value bigint").groupBy("slot").agg(
+        F.bit_or("value").alias("value"))
+    of_block = F.floor(F.col("slot") * 64 / block_bits)
+    blocks = slots.groupBy(of_block).applyInArrow(block, "block bigint, data binary")
+    table = np.zeros(bits // 8, np.uint8)
+    for row in blocks.collect():
+        at = row["block"] * block_bits // 8
+        table[at: at + block_bits // 8] = np.frombuffer(row["data"], np.uint8)
+    return table
 
 
 def holds(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -150,118 +200,154 @@ def holds(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return ((table[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=0)
 
 
-def grown(windows: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+def grown(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Paths and weights of a shard's transducer: its sorted windows, one row each."""
-    order = np.lexsort(windows.T[::-1])
-    rows = windows[order]
-    first = np.ones(len(rows), bool)
-    first[1:] = (rows[1:] != rows[:-1]).any(axis=1)
+    if not len(windows):
+        return windows, np.zeros(0, np.int64)
+    bits = max(int(windows.max()).bit_length(), 1)
+    per_key = 64 // bits  # so many numbers make one sort key
+    keys = []
+    for at in range(0, windows.shape[1], per_key):
+        key = np.zeros(len(windows), np.uint64)
+        for column in windows.T[at: at + per_key]:
+            key = (key << np.uint64(bits)) | column.astype(np.uint64)
+        keys.append(key)
+    order = np.argsort(keys[0]) if len(keys) == 1 else np.lexsort(keys[::-1])
+    first = np.ones(len(windows), bool)
+    first[1:] = np.any([k[order[1:]] != k[order[:-1]] for k in keys], axis=0)
     start = np.flatnonzero(first)
-    return rows[start], np.diff(np.append(start, len(rows)))
+    return windows[order[start]], np.diff(np.append(start, len(windows)))
 
 
-def windows_of(ids: np.ndarray, go_on: np.ndarray, longest: int) -> np.ndarray:
-    """The window at each word: as many words as pairs go on, 0 beyond its end."""
-    out = np.zeros((len(ids), longest), np.int32)
-    out[:, 0] = ids
-    alive = ids != 0
+def windows_of(ids: np.ndarray, begin: np.ndarray, go_on: np.ndarray, longest: int) -> np.ndarray:
+    """The window at each place that begins one: as many words as pairs go on, then 0."""
+    at = np.flatnonzero(begin)
+    out = np.zeros((len(at), longest), np.int32)
+    out[:, 0] = ids[at]
+    rows = np.arange(len(at))
     for k in range(1, longest):
-        alive = alive[:-1] & go_on[k - 1: k - 1 + len(alive) - 1] if len(alive) else alive
-        out[: len(alive), k][alive] = ids[k: k + len(alive)][alive]
-    return out[ids != 0]
+        rows = rows[at[rows] + k < len(ids)]
+        rows = rows[go_on[at[rows] + k - 1]]
+        out[rows, k] = ids[at[rows] + k]
+    return out
 
 
 def shard_paths(docs: DataFrame, table: np.ndarray, longest: int = LONGEST) -> DataFrame:
-    """lang, words, weight: the paths of each shard's count transducer."""
+    """path, weight: the paths of each shard's count transducer. A path is the language
+    and the words, each with a tab behind it, so that the paths of a prefix are next to
+    each other in byte order."""
     sent = docs.sparkSession.sparkContext.broadcast(table)
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    schema = to_arrow_schema(StructType.fromDDL(PATHS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in shards(batches):
             names = pa.array([w.decode("utf-8", "surrogatepass") for w in shard.known])
             for lang, ids in shard.streams():
-                keys, there = pair_keys(ids, shard.hashes(lang))
-                go_on = there
-                go_on[there] = holds(sent.value, keys[there])
-                rows, weight = grown(windows_of(ids, go_on, longest), longest)
-                for at in range(0, len(rows), 50_000):
-                    part = rows[at: at + 50_000]
-                    sizes = (part != 0).sum(axis=1)
-                    ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array([lang] * len(part)),
-                        pa.ListArray.from_arrays(ends, names.take(pa.array(part[part != 0]))),
-                        pa.array(weight[at: at + 50_000].astype(np.int64)),
-                    ], schema=schema)
+                hashes = shard.hashes(lang)
+                known = holds(sent.value, word_keys(hashes))
+                known[0] = False
+                begin = known[ids]
+                keys, go_on = pair_keys(ids, hashes)
+                go_on &= begin[:-1] & begin[1:]
+                go_on[go_on] = holds(sent.value, keys[go_on])
+                rows, weight = grown(windows_of(ids, begin, go_on, longest))
+                rest = np.count_nonzero(ids) - np.count_nonzero(begin)
+                if rest:
+                    rows = np.concatenate((np.zeros((1, longest), np.int32), rows))
+                    weight = np.concatenate(([rest], weight))
+                head = quote(lang, safe="") + "\t"  # no tab, url_decode reads it
+                for at in range(0, len(rows), CHUNK_ROWS):
+                    part = rows[at: at + CHUNK_ROWS]
+                    ends = np.concatenate(([0], np.cumsum((part != 0).sum(axis=1))))
+                    lists = pa.ListArray.from_arrays(
+                        pa.array(ends, pa.int32()), names.take(pa.array(part[part != 0])))
+                    joined = pc.binary_join(lists, "\t")
+                    tail = np.where(np.diff(ends) > 0, "\t", "")
+                    path = pc.binary_join_element_wise(head, joined, pa.array(tail), "")
+                    yield pa.RecordBatch.from_arrays(
+                        [path, pa.array(weight[at: at + CHUNK_ROWS], pa.int64())],
+                        names=["path", "weight"])
 
     return docs.mapInArrow(run, PATHS)
 
 
+def states_of(path: pa.Array, weight: np.ndarray, least: int) -> tuple[pa.Array, np.ndarray]:
+    """(path to each state, weight) of the automaton of sorted paths: states with
+    ``least`` passes, languages, and all states of the first and the last path."""
+    split = pc.split_pattern(path, "\t")
+    ends = split.offsets.to_numpy()
+    coded = split.flatten().dictionary_encode()
+    sizes = np.diff(ends) - 1  # the last tab is followed by nothing
+    n, depth = len(sizes), int(sizes.max())
+    codes = np.zeros((n, depth), np.int32)
+    for d in range(depth):
+        there = np.flatnonzero(sizes > d)
+        codes[there, d] = coded.indices.to_numpy()[ends[there] + d] + 1
+    changed = np.zeros(n, bool)
+    changed[0] = True
+    found, sums = [], []
+    for d in range(depth):
+        changed[1:] |= codes[1:, d] != codes[:-1, d]
+        start = np.flatnonzero(changed)
+        total = np.add.reduceat(weight, start)
+        keep = total >= least
+        keep[[0, -1]] = True
+        keep &= codes[start, d] > 0
+        if d == 0:
+            keep[:] = True
+        if keep.any():
+            at = start[keep]
+            words = codes[at, : d + 1].ravel() - 1
+            lists = pa.ListArray.from_arrays(
+                pa.array(np.arange(len(at) + 1) * (d + 1), pa.int32()),
+                coded.dictionary.take(pa.array(words)))
+            found.append(pc.binary_join(lists, "\t"))
+            sums.append(total[keep])
+    return pa.concat_arrays(found), np.concatenate(sums)
+
+
 def united(paths: DataFrame, least: int) -> DataFrame:
-    """lang, words, weight: the states of the united transducer with ``least`` passes.
+    """lang, words, weight: the states of the united transducer with ``least`` passes,
+    and of each language (no words) one with all its windows.
 
-    Paths are dealt by ranges of (lang, words) and read in order. A state is complete
-    in its range unless it lies on the first or the last path; those are summed.
+    Paths are dealt by ranges and read in order. A state is complete in a range, or a
+    part of it, unless it lies on the first or the last path there; those are summed.
     """
-    ranged = paths.repartitionByRange("lang", "words").sortWithinPartitions("lang", "words")
+    ranged = paths.repartitionByRange("path").sortWithinPartitions("path")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: tuple[list, list, list] = ([], [], [])
-        stack: list[list] = []  # (word, weight, on the border) of each open state
-        lang, first = None, True
-
-        def close(depth: int, border: bool = False) -> None:
-            while len(stack) > depth:
-                word, weight, on_border = stack[-1]
-                if weight >= least or on_border or border:
-                    out[0].append(lang)
-                    out[1].append([s[0] for s in stack])
-                    out[2].append(weight)
-                stack.pop()
+        def chunk(some: list[pa.RecordBatch]) -> pa.RecordBatch:
+            rows = pa.Table.from_batches(some).combine_chunks()
+            path, weight = states_of(
+                rows.column("path").chunk(0), rows.column("weight").to_numpy(), least)
+            return pa.RecordBatch.from_arrays([path, pa.array(weight)], names=["path", "weight"])
 
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            for now, words, weight in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if now != lang:
-                    close(0)
-                    lang = now
-                same = 0
-                while same < len(stack) and same < len(words) and stack[same][0] == words[same]:
-                    same += 1
-                close(same)
-                for state in stack:
-                    state[1] += weight
-                for word in words[same:]:
-                    stack.append([word, weight, first])
-                first = False
-            if len(out[0]) > 10_000:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, f.type) for x, f in zip(out, schema)], schema=schema)
-                out = ([], [], [])
-        close(0, border=True)
-        if out[0]:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x, f.type) for x, f in zip(out, schema)], schema=schema)
-
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    schema = to_arrow_schema(StructType.fromDDL(PATHS))
-    states = ranged.mapInArrow(run, PATHS)
-    return states.groupBy("lang", "words").agg(F.sum("weight").alias("weight")).filter(
-        F.col("weight") >= least)
+            if batch.num_rows:
+                held.append(batch)
+            if sum(b.num_rows for b in held) >= CHUNK_ROWS:
+                yield chunk(held)
+                held = []
+        if held:
+            yield chunk(held)
+
+    states = ranged.mapInArrow(run, PATHS).groupBy("path").agg(F.sum("weight").alias("weight"))
+    parts_of = F.split("path", "\t")
+    lang = F.url_decode(F.get(parts_of, F.lit(0)))
+    words = F.slice(parts_of, F.lit(2), F.size(parts_of))
+    return states.select(lang.alias("lang"), words.alias("words"), "weight").filter(
+        (F.col("weight") >= least) | (F.size("words") == 0))
 
 
 def transducer(docs: DataFrame, least: int, longest: int, filter_bits: int) -> tuple[DataFrame, DataFrame]:
     """(states with their weights, number of words of each language), both stored."""
     narrow = docs.select(F.col("lang").cast("string").alias("lang"),
                          F.col("text").cast("string").alias("text"))
-    frequent = pair_counts(narrow).filter(F.col("weight") >= least).select("key")
-    paths = settle(shard_paths(narrow, bloom(frequent, filter_bits), longest), "paths")
-    words = paths.groupBy("lang").agg(F.sum("weight").alias("n"))
-    return settle(united(paths, least), "transducer"), settle(words, "lang-words")
+    table = bloom(frequent_keys(narrow, least), filter_bits)
+    paths = settle(shard_paths(narrow, table, longest), "paths")
+    states = settle(united(paths, least), "transducer")
+    empty = F.size("words") == 0
+    return states.filter(~empty), states.filter(empty).select("lang", F.col("weight").alias("n"))
 
 
 def wide(c: str | Column) -> Column:

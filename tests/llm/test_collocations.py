@@ -50,7 +50,7 @@ def mixed(seed, n):
             rng.choice(words) + rng.choice([" ", " ", " ", "\t", "  ", ". ", ",", "\n", "\x0b"])
             for _ in range(rng.randrange(60)))
         docs.append((i, text + rng.choice(["", "new york city hall ", "of the of the of the"]),
-                     rng.choice(["en", "de", None, "und", ""]), "s", 0))
+                     rng.choice(["en", "d\te %+\\", None, "und", ""]), "s", 0))
     return docs
 
 
@@ -101,7 +101,8 @@ def test_filter_has_no_false_negatives(spark):
 
 
 def test_states_of_ranges_are_joined(spark):
-    paths = [("en", ["a"] + [f"w{i:03}"] * 2, 1) for i in range(200)] + [("en", ["a"], 5)]
+    paths = [("en\ta\t" + f"w{i:03}\t" * 2, 1) for i in range(200)] + [("en\ta\t", 5), ("en\t", 9)]
+    paths += [("en\ta\x01\t", 2), ("a%09b\tx\t", 4)]
     table = spark.createDataFrame(paths, collocations.PATHS).repartition(7)
-    got = {tuple(r["words"]): r["weight"] for r in collocations.united(table, 3).collect()}
-    assert got == {("a",): 205}
+    got = {(r["lang"], *r["words"]): r["weight"] for r in collocations.united(table, 3).collect()}
+    assert got == {("en",): 216, ("en", "a"): 205, ("a\tb",): 4, ("a\tb", "x"): 4}

@@ -12,6 +12,7 @@ from ..config import Skew
 from ..functions.scalar import round_even
 from .cleaning import DataGateError, key_profile
 from .columns import column_quantiles
+from .columns import grouped_column_profile
 from .forest import melt
 from .ranking import grouped_quantiles
 from .rules import RuleBook
@@ -256,24 +257,35 @@ DIAGNOSTIC_FEATURES = (
 )
 
 
+def _feature_profile(
+    df: DataFrame, features: Sequence[str], by: Sequence[str], probs: Sequence[float],
+    names: Sequence[str], skew: Skew,
+) -> DataFrame:
+    """``by``, FEATURE, N, MEAN, STD and quantiles, from histograms by group; only with
+    very many groups from one row for each value."""
+    table = grouped_column_profile(df, features, by, probs, names)
+    if table is not None:
+        return table.withColumnRenamed("COLUMN", "FEATURE")
+    return grouped_quantiles(
+        melt(df, features, *by), [*by, "FEATURE"], {"v": ("VALUE", probs, names)},
+        moments={"MEAN": F.avg("VALUE"), "STD": F.stddev_samp("VALUE")}, skew=skew,
+    ).withColumnRenamed("v_N", "N")
+
+
 def _two_groups(
     analysis: DataFrame, features: Sequence[str], probs: Sequence[float], skew: Skew,
     by: Sequence[str] = (),
 ) -> DataFrame:
     """Per feature (and ``by``): count, quantiles, mean and std of both groups."""
     names = [f"Q{int(p * 100)}" for p in probs]
-    long = melt(analysis, features, *by, "ML_ANOMALY")
-    table = grouped_quantiles(
-        long, [*by, "FEATURE", "ML_ANOMALY"], {"v": ("VALUE", probs, names)},
-        moments={"MEAN": F.avg("VALUE"), "STD": F.stddev_samp("VALUE")}, skew=skew,
-    )
+    table = _feature_profile(analysis, features, [*by, "ML_ANOMALY"], probs, names, skew)
 
     def side(flag: int, c: str) -> Column:
         return F.max(F.when(F.col("ML_ANOMALY") == flag, F.col(c)))
 
     columns = []
     for flag, name in ((1, "ANOMALY"), (0, "NORMAL")):
-        columns.append(F.coalesce(side(flag, "v_N"), F.lit(0)).alias(f"{name}_COUNT"))
+        columns.append(F.coalesce(side(flag, "N"), F.lit(0)).alias(f"{name}_COUNT"))
         columns += [side(flag, c).alias(f"{name}_{c}") for c in [*names, "MEAN", "STD"]]
     return table.groupBy(*by, "FEATURE").agg(*columns)
 
@@ -443,14 +455,12 @@ def group_distribution(
     skew: Skew = Skew(),
 ) -> DataFrame:
     """FEATURE, GROUP, N, MEDIAN, MEAN, P95, P99 for normal and anomalous works."""
-    table = grouped_quantiles(
-        melt(analysis, columns, "ML_ANOMALY"), ["FEATURE", "ML_ANOMALY"],
-        {"v": ("VALUE", [0.5, 0.95, 0.99], ["MEDIAN", "P95", "P99"])},
-        moments={"MEAN": F.avg("VALUE")}, skew=skew,
+    table = _feature_profile(
+        analysis, columns, ["ML_ANOMALY"], [0.5, 0.95, 0.99], ["MEDIAN", "P95", "P99"], skew
     )
     name = F.when(F.col("ML_ANOMALY") == 1, "ML_ANOMALY").otherwise("NORMAL")
     return table.select(
-        "FEATURE", name.alias("GROUP"), F.col("v_N").alias("N"), "MEDIAN", "MEAN", "P95", "P99"
+        "FEATURE", name.alias("GROUP"), "N", "MEDIAN", "MEAN", "P95", "P99"
     )
 
 
@@ -494,17 +504,9 @@ def column_profile(
     ).select("_n", F.explode("m").alias("m")).select(
         "m.*", percent(F.col("m.MISSING"), F.col("_n")).alias("MISSING_PERCENT")
     )
-    stats = grouped_quantiles(
-        melt(df, columns), ["FEATURE"], {"v": ("VALUE", [0.5], ["MEDIAN"])},
-        moments={
-            "MEAN": F.avg("VALUE"), "STD": F.stddev_samp("VALUE"), "MIN": F.min("VALUE"),
-            "MAX": F.max("VALUE"),
-        },
-        skew=skew,
-    ).select(
-        F.col("FEATURE").alias("COLUMN"), F.col("v_N").alias("COUNT"), "MEAN", "STD", "MIN",
-        "MEDIAN", "MAX",
-    )
+    stats = _feature_profile(
+        df, columns, [], [0.0, 0.5, 1.0], ["MIN", "MEDIAN", "MAX"], skew
+    ).withColumnsRenamed({"FEATURE": "COLUMN", "N": "COUNT"})
     return missing.join(stats, "COLUMN", "left").withColumn(
         "COUNT", F.coalesce("COUNT", F.lit(0))
     )

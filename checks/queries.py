@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from civitally.config import FusionConfig
+from civitally.config import FusionConfig, Skew
 from civitally.functions import scalar as fn
 from civitally.functions import text as tx
 from civitally.operators import (
@@ -1011,6 +1011,18 @@ def _(c):
     return c.proxy_ml
 
 
+@register("win10_crowded_ranks", "WORK_ID:i CROWDED:m PERCENTILE:d", None, sql="""
+SELECT WORK_ID, V AS CROWDED, (rank() OVER (ORDER BY V) - 1
+  + (count(*) OVER (PARTITION BY V) + 1) / 2e0) / count(*) OVER () * 100 AS PERCENTILE
+FROM (SELECT WORK_ID, 1 + ML_ANOMALY_STRENGTH * 1e-15 AS V FROM ml)""")
+def _(c):
+    crowded = (1 + F.col("ML_ANOMALY_STRENGTH") * F.lit(1e-15)).alias("CROWDED")
+    return ranking.percent_rank_of(
+        c.proxy_ml.select("WORK_ID", crowded), "CROWDED", "PERCENTILE", spread="WORK_ID",
+        skew=Skew(hot_rows=100),
+    )
+
+
 @register("win14_stratified_top", "WORK_ID:i HYBRID_RISK_LEVEL:s SELECTION_SCORE:d", None, extra={
     "picks": """SELECT WORK_ID, HYBRID_RISK_LEVEL, HYBRID_RISK_SCORE * 100 + INDEPENDENT_SIGNAL_COUNT * 20
   + RULE_SCORE + STAT_SCORE + ML_PERCENTILE * 0.5e0 + least(coalesce(PAYMENT_COUNT, 0), 50) * 0.5e0

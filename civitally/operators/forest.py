@@ -410,7 +410,8 @@ def score_forest(
         strengths = store(strengths, "ml_strength")
     cut = strength_cutoff(strengths, forest.config.contamination, skew)
     ranked = percent_rank_of(
-        strengths, "ML_ANOMALY_STRENGTH", "ML_PERCENTILE", spread="WORK_ID", skew=skew
+        strengths, "ML_ANOMALY_STRENGTH", "ML_PERCENTILE", spread="WORK_ID", skew=skew,
+        store=store,
     )
     strength = F.col("ML_ANOMALY_STRENGTH")
     return ranked.select(

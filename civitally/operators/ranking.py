@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..config import Skew
+from ..session import settle
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
@@ -261,26 +262,59 @@ def grouped_quantiles(
     return profile.withColumns(outputs).drop(*wanted)
 
 
-def value_ranks(
-    rows: DataFrame, keys: Sequence[str], value: str, skew: Skew = Skew()
+def value_bins(
+    counts: DataFrame, keys: Sequence[str], value: str, skew: Skew = Skew(), store: Store = settle
 ) -> DataFrame:
-    """Distinct (keys, value) with CNT, BELOW (rows strictly smaller) and N."""
+    """Distinct (keys, value) rows with ``_splits`` (NULL in groups that stay whole) and
+    ``_path``, the value's bin: arrays in the order of the values.
+
+    A bin of a large group that holds more than ``hot_rows`` values is cut into equal
+    widths between its lowest and highest value, again and again, until it is small or
+    holds one value. The crowded bins of a round are at most ``most_hot``, by the same
+    bound as hot keys.
+    """
     keys = list(keys)
-    counts = (
-        rows.filter(F.col(value).isNotNull())
-        .groupBy(*keys, value)
-        .agg(F.count(F.lit(1)).alias("CNT"))
-    )
-    binned_value = value_bin(F.col(value).cast("double"), skew)
+    number = F.col(value).cast("double")
     if keys:
-        binned = null_safe_join(counts, hot_keys(counts, keys, skew), keys, "left").withColumn(
-            "_bin", F.when(F.col("_splits").isNotNull(), binned_value).otherwise(F.lit(0))
-        )
-        large = binned.filter(F.col("_splits").isNotNull())
+        binned = null_safe_join(counts, hot_keys(counts, keys, skew), keys, "left")
     else:
-        binned = counts.withColumns({"_bin": binned_value, "_splits": F.lit(1)})
-        large = binned
-    in_bin = Window.partitionBy(*keys, "_bin")
+        binned = counts.withColumn("_splits", F.lit(1))
+    first = F.when(F.col("_splits").isNotNull(), value_bin(number, skew)).otherwise(F.lit(0))
+    binned = binned.withColumn("_path", F.array(first.cast("bigint")))
+    total = counts.agg(F.count(F.lit(1))).scalar()
+    least = F.greatest(F.lit(skew.hot_rows), F.coalesce(total, F.lit(0)) / skew.most_hot)
+    for _ in range(4):  # 16 more bits each; a double has no more than this
+        crowded = store(
+            binned.filter(F.col("_splits").isNotNull()).groupBy(*keys, "_path").agg(
+                F.count(F.lit(1)).alias("_values"), F.min(number).alias("_low"),
+                F.max(number).alias("_high"),
+            ).filter((F.col("_values") > least) & (F.col("_low") < F.col("_high"))).drop("_values"),
+            "crowded_bins",
+        )
+        if crowded.isEmpty():
+            break
+        part = (number - F.col("_low")) / (F.col("_high") - F.col("_low")) * F.lit(2.0**16)
+        binned = null_safe_join(binned, F.broadcast(crowded), [*keys, "_path"], "left").withColumn(
+            "_path",
+            F.when(F.col("_low").isNull(), F.col("_path")).otherwise(
+                F.concat("_path", F.array(F.floor(part).cast("bigint")))),
+        ).drop("_low", "_high")
+    return binned
+
+
+def value_ranks(
+    rows: DataFrame, keys: Sequence[str], value: str, skew: Skew = Skew(), store: Store | None = None
+) -> DataFrame:
+    """Distinct (keys, value) with CNT, BELOW (rows strictly smaller) and N. The
+    distinct values are stored (``store``: ``settle``), as every step reads them."""
+    keys, store = list(keys), store or settle
+    counts = store(
+        rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("CNT")),
+        "distinct_values",
+    )
+    binned = value_bins(counts, keys, value, skew, store)
+    large = binned.filter(F.col("_splits").isNotNull())
+    in_bin = Window.partitionBy(*keys, "_path")
     earlier = in_bin.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     local = binned.withColumns(
         {
@@ -290,8 +324,8 @@ def value_ranks(
     )
     # Offsets in two levels: powers of two (some two thousand at most), then the
     # bins inside one, so that no task orders all bins.
-    power = F.floor(F.col("_bin") / F.lit(2**skew.bin_bits)).alias("_power")
-    bins = large.groupBy(*keys, "_bin").agg(F.sum("CNT").alias("_c")).select("*", power)
+    power = F.floor(F.get("_path", F.lit(0)) / F.lit(2**skew.bin_bits)).alias("_power")
+    bins = large.groupBy(*keys, "_path").agg(F.sum("CNT").alias("_c")).select("*", power)
     group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     powers = bins.groupBy(*keys, "_power").agg(F.sum("_c").alias("_pc")).select(
         *keys,
@@ -304,14 +338,14 @@ def value_ranks(
         ).alias("_below_power"),
         F.sum("_pc").over(group).alias("_n"),
     )
-    within = Window.partitionBy(*keys, "_power").orderBy("_bin").rowsBetween(
+    within = Window.partitionBy(*keys, "_power").orderBy("_path").rowsBetween(
         Window.unboundedPreceding, -1
     )
     offsets = null_safe_join(
         bins.withColumn("_here", F.coalesce(F.sum("_c").over(within), F.lit(0))),
         powers, [*keys, "_power"], "left",
-    ).select(*keys, "_bin", (F.col("_below_power") + F.col("_here")).alias("_before"), "_n")
-    return null_safe_join(local, offsets, [*keys, "_bin"], "left").select(
+    ).select(*keys, "_path", (F.col("_below_power") + F.col("_here")).alias("_before"), "_n")
+    return null_safe_join(local, offsets, [*keys, "_path"], "left").select(
         *keys,
         value,
         "CNT",
@@ -334,6 +368,7 @@ def percent_rank_of(
     keys: Sequence[str] = (),
     scale: float = 100.0,
     skew: Skew = Skew(),
+    store: Store | None = None,
 ) -> DataFrame:
     """Average-tie percentile rank of ``value`` within ``keys`` (or overall).
 
@@ -342,7 +377,7 @@ def percent_rank_of(
     keys = list(keys)
     known = rows.filter(F.col(value).isNotNull())
     missing = rows.filter(F.col(value).isNull()).withColumn(out, F.lit(None).cast("double"))
-    ranks = value_ranks(known, keys, value, skew).select(
+    ranks = value_ranks(known, keys, value, skew, store).select(
         *keys,
         value,
         F.col("CNT").alias("_ties"),
@@ -371,9 +406,11 @@ def bounded_rank_table(rows: DataFrame, value: str, out: str) -> DataFrame:
     )
 
 
-def running_number(rows: DataFrame, order: str, out: str, skew: Skew = Skew()) -> DataFrame:
+def running_number(
+    rows: DataFrame, order: str, out: str, skew: Skew = Skew(), store: Store | None = None
+) -> DataFrame:
     """Number rows 1..n by a unique numeric column without a global window."""
-    ranks = value_ranks(rows, [], order, skew)
+    ranks = value_ranks(rows, [], order, skew, store)
     return rows.join(
         ranks.select(F.col(order), (F.col("BELOW") + 1).alias(out)), order, "left"
     )

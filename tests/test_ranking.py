@@ -109,3 +109,21 @@ def test_the_list_of_hot_groups_is_bounded(spark):
     assert ranking.hot_keys(rows, ["g"], Skew(hot_rows=1, most_hot=100)).count() == 0
     one = rows.unionByName(spark.range(5_000).selectExpr("7L as g"))
     assert [r["g"] for r in ranking.hot_keys(one, ["g"], Skew(hot_rows=1, most_hot=100)).collect()] == [7]
+
+
+@pytest.mark.parametrize("keys", [[], ["g"]])
+def test_crowded_bins_are_split(spark, keys):
+    rng = np.random.default_rng(4)
+    near = 1.0 + rng.integers(0, 4_000, 3_000) * 2.3e-13  # all within 1e-9
+    far = 5.0 + 10.0 ** -rng.uniform(0, 15, 2_000)  # ever denser towards 5
+    frame = pd.DataFrame({"id": range(5_400), "g": 0, "v": np.concatenate([near, far, np.full(400, 7.0)])})
+    rows, skew = spark.createDataFrame(frame), Skew(hot_rows=50)
+    counts = rows.groupBy("g", "v").agg(F.count("*").alias("CNT"))
+    binned = ranking.value_bins(counts, keys, "v", skew)
+    sizes = binned.groupBy("_path").count().agg(F.max("count")).first()[0]
+    assert sizes <= 50 and binned.count() == counts.count()
+    ends = binned.groupBy("_path").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("_path").collect()
+    assert all(a["hi"] < b["lo"] for a, b in zip(ends, ends[1:]))
+    got = ranking.percent_rank_of(rows, "v", "p", spread="id", keys=keys, skew=skew).toPandas()
+    want = frame.v.rank(pct=True, method="average") * 100
+    assert np.allclose(got.sort_values("id").p, want)

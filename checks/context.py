@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civitally.config import Settings
-from civitally.operators import evidence, forest, fusion
+from civitally.operators import evidence, forest, fusion, index
 from civitally.operators.ranking import percent_rank_of
 from civitally.plans.national import NationalPlan
 from civitally.plans.regional import RegionalPlan
-from civitally.session import settle
+from civitally.session import layer_root, settle
 from civitally.sources import testbed
 
 
@@ -83,6 +84,11 @@ class Context:
         """Features with the stand-in model results."""
         return settle(self.plan.features.join(self.proxy_ml, "WORK_ID"), "analysis")
 
+    @cached_property
+    def index(self) -> index.WorksIndex:
+        path = f"{layer_root(self.spark)}/civitally/index-{uuid.uuid4().hex}"
+        return index.write_index(self.hybrid, path, bucket_rows=2000)
+
     @cached_property
     def queue(self) -> DataFrame:
         return evidence.investigation_queue(self.hybrid, self.plan.features)

@@ -16,8 +16,8 @@ from civitally.config import FusionConfig, Skew
 from civitally.functions import scalar as fn
 from civitally.functions import text as tx
 from civitally.operators import (
-    aggregates, audit, cleaning, evidence, explain, features, forest, fusion, joining, ranking,
-    reports, rules, search, statistics,
+    aggregates, audit, cleaning, evidence, explain, features, forest, fusion, index, joining,
+    ranking, reports, rules, search, statistics,
 )
 from civitally.plans.national import NationalPlan
 from civitally.plans.regional import results_sorted
@@ -1089,6 +1089,75 @@ def _(c):
     ).meta
 
 
+@register("agg26_overview_from_cube", "STATE_NAME:s ANALYZED_WORKS:i CANDIDATES:i CRITICAL:i HIGH:i "
+          "MEDIUM:i LOW:i CANDIDATE_RATE_PERCENT:d", None, sql="""
+SELECT STATE_NAME, count(*) AS ANALYZED_WORKS, sum(INVESTIGATION_CANDIDATE) AS CANDIDATES,
+  count(*) FILTER (WHERE INVESTIGATION_CANDIDATE = 1 AND HYBRID_RISK_LEVEL = 'CRITICAL') AS CRITICAL,
+  count(*) FILTER (WHERE INVESTIGATION_CANDIDATE = 1 AND HYBRID_RISK_LEVEL = 'HIGH') AS HIGH,
+  count(*) FILTER (WHERE INVESTIGATION_CANDIDATE = 1 AND HYBRID_RISK_LEVEL = 'MEDIUM') AS MEDIUM,
+  count(*) FILTER (WHERE INVESTIGATION_CANDIDATE = 1 AND HYBRID_RISK_LEVEL = 'LOW') AS LOW,
+  round_even(sum(INVESTIGATION_CANDIDATE) * 1e0 / count(*) * 100e0 * 100e0, 0) / 100e0 AS CANDIDATE_RATE_PERCENT
+FROM hyb GROUP BY 1""")
+def _(c):
+    return index.cube_state_overview(c.index.cube)
+
+
+@register("agg27_summary_from_cube", "TOTAL:i CRITICAL:i HIGH:i MEDIUM:i LOW:i NONE:i ALL_THREE:i "
+          "TWO_METHODS:i ONE_METHOD:i AVERAGE_HYBRID_RISK_SCORE:d", None, sql="""
+SELECT count(*) AS TOTAL, count(*) FILTER (WHERE HYBRID_RISK_LEVEL = 'CRITICAL') AS CRITICAL,
+  count(*) FILTER (WHERE HYBRID_RISK_LEVEL = 'HIGH') AS HIGH,
+  count(*) FILTER (WHERE HYBRID_RISK_LEVEL = 'MEDIUM') AS MEDIUM,
+  count(*) FILTER (WHERE HYBRID_RISK_LEVEL = 'LOW') AS LOW,
+  count(*) FILTER (WHERE HYBRID_RISK_LEVEL = 'NONE') AS "NONE",
+  count(*) FILTER (WHERE INDEPENDENT_SIGNAL_COUNT = 3) AS ALL_THREE,
+  count(*) FILTER (WHERE INDEPENDENT_SIGNAL_COUNT = 2) AS TWO_METHODS,
+  count(*) FILTER (WHERE INDEPENDENT_SIGNAL_COUNT = 1) AS ONE_METHOD,
+  round_even(CAST(sum(CAST(HYBRID_RISK_SCORE AS DECIMAL(18,1))) AS DOUBLE) / count(*) * 100e0, 0) / 100e0
+    AS AVERAGE_HYBRID_RISK_SCORE
+FROM hyb WHERE INVESTIGATION_CANDIDATE = 1 AND lower(STATE_NAME) = 'nation_3'""")
+def _(c):
+    # A fifth of the works go and come back, as in a reload.
+    some = c.hybrid.filter("WORK_ID % 5 = 0")
+    cube = index.refresh_cube(c.index.cube, some, some.limit(0))
+    return index.cube_summary(index.refresh_cube(cube, some.limit(0), some), state=" Nation_3 ")
+
+
+@register("agg39_values_from_cube", "FACET:s VALUE:s", None, sql=" UNION ALL ".join(
+    f"SELECT DISTINCT '{k}' AS FACET, CAST({v} AS VARCHAR) AS VALUE FROM hyb WHERE INVESTIGATION_CANDIDATE = 1 "
+    f"AND {v} <> ''" for k, v in search.FACETS.items()))
+def _(c):
+    return index.cube_filter_values(c.index.cube)
+
+
+@register("srt06_deep_page", "WORK_ID:i HYBRID_RISK_SCORE:d IS_CANDIDATE:b", None, sql="""
+SELECT *, INVESTIGATION_CANDIDATE = 1 AS IS_CANDIDATE FROM hyb
+ORDER BY HYBRID_RISK_SCORE DESC, CAST(WORK_ID AS VARCHAR) LIMIT 100 OFFSET 1450""")
+def _(c):
+    return c.index.page("all", limit=100, offset=1450).rows
+
+
+@register("srt06_candidate_total", "TOTAL:i LIMIT:i OFFSET:i HAS_MORE:b", None, sql="""
+SELECT count(*) AS TOTAL, 50 AS "LIMIT", 100 AS "OFFSET", 150 < count(*) AS HAS_MORE FROM hyb
+WHERE INVESTIGATION_CANDIDATE = 1""")
+def _(c):
+    return c.index.page(limit=50, offset=100).meta
+
+
+def _found(words: str) -> str:
+    text = "lower(concat_ws(' ', CAST(WORK_ID AS VARCHAR), STATE_NAME, CONSTITUENCY, MP_NAME, WORK_DESCRIPTION, ACTIVITY_NAME))"
+    return f"SELECT WORK_ID, '{words}' AS QUERY FROM hyb WHERE contains({text}, '{words}')"
+
+
+_QUERIES = ("building", "12", "117", "nation_3 ", "no such words", "customer#0000001")
+
+
+@register("flt07_trigram_search", "WORK_ID:i QUERY:s", None, sql=" UNION ALL ".join(
+    _found(q.strip()) for q in _QUERIES))
+def _(c):
+    return reduce(DataFrame.unionByName, [
+        c.index.find(q).select("WORK_ID", F.lit(q.strip()).alias("QUERY")) for q in _QUERIES])
+
+
 @register("srt06_next_page", "WORK_ID:i HYBRID_RISK_SCORE:d", None, sql="""
 SELECT * FROM hyb WHERE HYBRID_RISK_SCORE < 50 OR (HYBRID_RISK_SCORE = 50 AND CAST(WORK_ID AS VARCHAR) > '5')
 ORDER BY HYBRID_RISK_SCORE DESC, CAST(WORK_ID AS VARCHAR) LIMIT 25""")

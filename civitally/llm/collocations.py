@@ -45,7 +45,7 @@ from civitally.session import settle
 LEAST, LONGEST, SHARE, TOP = 30, 4, 80, 2000
 FILTER_BITS = 1 << 25
 BLOCK_BITS = 1 << 19
-SHARD_WORDS = 2_000_000
+SHARD_WORDS = 1_000_000
 SLICE_DOCS = 2000
 BREAK = b"."
 CUTS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", BREAK * 10)

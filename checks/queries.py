@@ -17,7 +17,7 @@ from civitally.functions import scalar as fn
 from civitally.functions import text as tx
 from civitally.operators import (
     aggregates, audit, cleaning, evidence, explain, features, forest, fusion, index, joining,
-    ranking, reports, rules, search, statistics,
+    preprocess, ranking, reports, rules, search, statistics,
 )
 from civitally.plans.national import NationalPlan
 from civitally.plans.regional import results_sorted
@@ -2160,6 +2160,57 @@ def _(c):
     )
 
 
+# Columns of the audited features that the SQL relation has under the same name.
+_AUDITED = (
+    "STATE_NAME", "MP_NAME", "CONSTITUENCY", "WORK_CATEGORY", "ACTIVITY_NAME", "WORK_STAGE", "RECOMMENDED_AMOUNT",
+    "SANCTION_AMOUNT", "ACTUAL_AMOUNT", "RECOMMENDATION_DATE", "SANCTION_DATE", "ACTUAL_END_DATE", "PEER_COUNT",
+    "PEER_MEDIAN_SANCTION", "PEER_MEAN_SANCTION", "PEER_STD_SANCTION", "TOTAL_DISBURSED", "TRANSACTION_COUNT",
+    "VENDOR_COUNT", "RECOMMENDATION_TO_SANCTION_DAYS", "SANCTION_TO_COMPLETION_DAYS", "COST_VS_PEER_MEDIAN",
+    "COST_Z_SCORE", "DISBURSEMENT_TO_SANCTION_RATIO", "UNSPENT_AMOUNT", "LOG_SANCTION_AMOUNT",
+)
+_SQL_RATIOS = ("DISBURSEMENT_TO_SANCTION_RATIO", "COST_VS_PEER_MEDIAN")
+
+
+@register("va05_feature_values", AUDIT, None, sql=" UNION ALL ".join([
+    "SELECT * FROM (" + _section("MISSING", {k: f"count(*) - count({k})" for k in _AUDITED}, "g_feat")
+    + ") WHERE VALUE > 0",
+    "SELECT * FROM (" + _section(
+        "INFINITE", {k: f"count(*) FILTER (WHERE isinf(CAST({k} AS DOUBLE)))" for k in _SQL_RATIOS}, "g_feat")
+    + ") WHERE VALUE > 0",
+    *[_section("RATIO", {
+        f"{k}_AVAILABLE": f"count({k})", f"{k}_BELOW_0": f"count(*) FILTER (WHERE {k} < 0)",
+        f"{k}_EQUAL_0": f"count(*) FILTER (WHERE {k} = 0)", f"{k}_ABOVE_1": f"count(*) FILTER (WHERE {k} > 1)",
+        f"{k}_ABOVE_2": f"count(*) FILTER (WHERE {k} > 2)", f"{k}_ABOVE_5": f"count(*) FILTER (WHERE {k} > 5)",
+        f"{k}_MAXIMUM": f"max({k})"}, "g_feat") for k in _SQL_RATIOS]]))
+def _(c):
+    return reports.audit_feature_values(c.regional.features, _AUDITED, _SQL_RATIOS)
+
+
+_CORE = " UNION ALL ".join(
+    f"SELECT {i} AS POSITION, '{k}' AS FEATURE, WORK_ID, CAST({k} AS DOUBLE) AS V FROM feat"
+    for i, k in enumerate(forest.CORE_FEATURES) if k != "FLAG")
+
+
+@register("ml11_model_inputs", "POSITION:i FEATURE:s PRESENT:b N:i MISSING:i NONFINITE:i MEDIAN:f IQR:f", None,
+          extra={"melted": _CORE}, sql=f"""
+SELECT POSITION, FEATURE, true AS PRESENT, count(V) AS N, count(*) - count(V) AS MISSING, 0 AS NONFINITE,
+  quantile_cont(V, 0.5) AS MEDIAN, quantile_cont(V, 0.75) - quantile_cont(V, 0.25) AS IQR FROM melted GROUP BY 1, 2
+UNION ALL SELECT {forest.CORE_FEATURES.index("FLAG")}, 'FLAG', false, NULL, NULL, NULL, NULL, NULL""")
+def _(c):
+    return c.plan.model_inputs
+
+
+@register("ml05_robust_scaled", "FEATURE:s WORK_ID:i SCALED:f", None, extra={
+    "melted": _CORE, "fitted": """SELECT FEATURE, quantile_cont(V, 0.5) AS M,
+  quantile_cont(V, 0.75) - quantile_cont(V, 0.25) AS R FROM melted GROUP BY 1"""}, sql="""
+SELECT FEATURE, WORK_ID, coalesce((coalesce(V, M) - M) / CASE WHEN R = 0 THEN 1e0 ELSE R END, 0) AS SCALED
+FROM melted JOIN fitted USING (FEATURE) WHERE FEATURE IN ('SANCTION_AMOUNT', 'PAYMENT_COUNT', 'ACTUAL_AMOUNT')""")
+def _(c):
+    table = preprocess.robust_scale(c.plan.features, c.plan.model_inputs)
+    return forest.melt(table, ["SANCTION_AMOUNT", "PAYMENT_COUNT", "ACTUAL_AMOUNT"], "WORK_ID").withColumnRenamed(
+        "VALUE", "SCALED")
+
+
 # --- model: fitted on all works, no SQL twin ----------------------------------------------------------
 
 

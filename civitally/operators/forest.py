@@ -357,6 +357,10 @@ def fit_forest(
     if not features:
         raise DataGateError("every model feature is constant")
     medians = {c: profile[c]["MEDIAN"] for c in features}
+    # Values that are not finite are imputed, so the matrix is finite if the medians are.
+    wrong = [c for c, m in medians.items() if not math.isfinite(m)]
+    if wrong:
+        raise DataGateError(f"non-finite model values: {wrong}")
     rows = df.count()
     ready = impute(df.select("WORK_ID", *features), features, medians)
     sample = min(config.sample, rows)

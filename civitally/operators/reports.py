@@ -862,6 +862,35 @@ def audit_spending_features(features: DataFrame) -> DataFrame:
     })
 
 
+# Ratios that the first-generation feature audit looks at.
+AUDIT_RATIOS = ("RECOMMENDATION_TO_SANCTION_RATIO", "ACTUAL_TO_SANCTION_RATIO",
+                "DISBURSEMENT_TO_SANCTION_RATIO", "COST_VS_PEER_MEDIAN")
+
+
+def audit_feature_values(
+    features: DataFrame, columns: Sequence[str] | None = None, ratios: Sequence[str] = AUDIT_RATIOS
+) -> DataFrame:
+    """SECTION, METRIC, VALUE: missing values of each column that has some, infinite
+    values of each that has some, and the bands of the ratios that are there. Counts of
+    all columns come from one pass."""
+    columns = list(columns or features.columns)
+    floating = [c for c in columns if isinstance(features.schema[c].dataType, (T.DoubleType, T.FloatType))]
+    infinite = {c: F.count_if(F.abs(F.col(c)) == float("inf")) for c in floating}
+    ratios = [c for c in ratios if c in features.columns]
+    bands = ratio_bands(features, ratios)
+    kinds = ("AVAILABLE", "BELOW_0", "EQUAL_0", "ABOVE_1", "ABOVE_2", "ABOVE_5", "MAXIMUM")
+    cells = F.array(*[
+        F.struct(F.concat("COLUMN", F.lit(f"_{k}")).alias("METRIC"), F.col(k).cast("double").alias("VALUE"))
+        for k in kinds
+    ])
+    return stack_reports({
+        "MISSING": metric_rows(
+            features, {c: F.count_if(F.col(c).isNull()) for c in columns}).filter("VALUE > 0"),
+        "INFINITE": metric_rows(features, infinite or {"NONE": F.lit(0)}).filter("VALUE > 0"),
+        "RATIO": bands.select(F.explode(cells).alias("m")).select("m.*"),
+    })
+
+
 ML_OUTPUT_COLUMNS = (
     "IF_RAW_SCORE", "IF_DECISION_SCORE", "ML_ANOMALY_STRENGTH", "ML_PERCENTILE", "ML_ANOMALY",
     "ML_SEVERITY",

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 
 from ..config import Settings
 from ..functions.scalar import clean_id
-from ..operators import aggregates, cleaning, features, forest, fusion, rules, statistics
+from ..operators import aggregates, cleaning, features, forest, fusion, preprocess, rules, statistics
 from ..session import Layers
 from ..sources.schemas import COMPLETED
 
@@ -159,6 +159,12 @@ class NationalPlan:
         """Fuse with ML results (WORK_ID, ML_ANOMALY, ML_PERCENTILE, ML_SEVERITY)."""
         return fusion.fuse(self.detected.join(ml, "WORK_ID", "left"), self.settings.fusion)
 
+    @cached_property
+    def model_inputs(self) -> DataFrame:
+        """Which model features are there and their values, checked to be finite."""
+        table = preprocess.fit_inputs(self.features, forest.CORE_FEATURES)
+        return preprocess.require_inputs(self.store(table, "model_inputs"))
+
     def forest(self) -> forest.IsolationForest:
         return forest.fit_forest(self.features, config=self.settings.forest)
 
@@ -182,5 +188,7 @@ class NationalPlan:
             ),
             "hybrid",
         )
+        # Both are stored, so their counts are read from file footers.
+        cleaning.require_same_rows(self.detected, hybrid, "hybrid risk")
         fusion.require_consensus_first(hybrid)
         return hybrid

@@ -30,6 +30,7 @@ def output_tables(plan: NationalPlan) -> dict[str, DataFrame]:
         "ml_distribution": reports.ml_distribution(
             ml, len(forest.model_features(plan.features)), settings.contamination, settings.trees
         ),
+        "model_inputs": plan.model_inputs,
         "ml_overlap": reports.detector_overlap(hybrid),
         "hybrid_summary": reports.hybrid_kpis(hybrid),
         "score_distribution": reports.hybrid_histogram(hybrid),

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import ForestConfig, Settings
-from ..operators import aggregates, audit, cleaning, evidence, forest, fusion, rules, statistics
+from ..operators import aggregates, audit, cleaning, evidence, forest, fusion, preprocess, rules, statistics
 from ..session import settle
 
 AUDIT_FOREST = ForestConfig(contamination=0.02, max_features=0.8, mask_weak_peers=False)
@@ -62,7 +62,15 @@ class RegionalPlan:
     def statistics(self) -> DataFrame:
         return statistics.score_cost_signals(self.features)
 
+    @cached_property
+    def model_inputs(self) -> DataFrame:
+        """Which listed model features are there, missing ones too, and their values."""
+        return self.store(
+            preprocess.fit_inputs(self.features, forest.AUDIT_FEATURES), "audit_model_inputs"
+        )
+
     def ml(self, config: ForestConfig = AUDIT_FOREST) -> DataFrame:
+        preprocess.require_inputs(self.model_inputs)
         present, _ = forest.audit_features(self.features)
         model = forest.fit_forest(self.features, present, config)
         return forest.score_audit_forest(self.features, model, store=self.store)

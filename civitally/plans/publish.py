@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from ..operators import evidence, forest, fusion, reports, rules, search, statistics
+from ..operators import evidence, forest, fusion, preprocess, reports, rules, search, statistics
 from ..sources import sinks
 from .national import NationalPlan
 
@@ -30,7 +30,6 @@ def output_tables(plan: NationalPlan) -> dict[str, DataFrame]:
         "ml_distribution": reports.ml_distribution(
             ml, len(forest.model_features(plan.features)), settings.contamination, settings.trees
         ),
-        "model_inputs": plan.model_inputs,
         "ml_overlap": reports.detector_overlap(hybrid),
         "hybrid_summary": reports.hybrid_kpis(hybrid),
         "score_distribution": reports.hybrid_histogram(hybrid),
@@ -53,4 +52,5 @@ def publish(plan: NationalPlan, path: str) -> list[str]:
     tables = output_tables(plan)
     for name, table in tables.items():
         sinks.write_parquet(table, f"{path}/{name}")
+    preprocess.save_inputs(plan.model_inputs, f"{path}/model_inputs")  # a version of its own
     return ["hybrid_risk", *tables]

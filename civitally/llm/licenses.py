@@ -143,11 +143,15 @@ def scan(files: DataFrame, templates=TEMPLATES + NOTICES, limit: float = LIMIT,
     of_lines = {w for _, t in templates for w in words_of(t)}
     of_texts = {w for _, t in texts for w in words_of(t)}
     vocabulary = sorted(of_lines | of_texts)
-    held = F.array_intersect(F.split("text", BREAK), constant(vocabulary))
+    # A text is split once: a line break divides words, so its words are those of its lines.
+    files = files.withColumn("units", F.transform(
+        F.split("text", "\n"), lambda x: F.array_remove(F.split(x, BREAK), ""))
+    ).withColumn("words", F.flatten("units")).withColumn(
+        "held", F.array_intersect("words", constant(vocabulary)))
     # One row for each word of the templates: bounded by them.
     found = {
         r["word"]: r["n"] for r in
-        files.select(F.explode(F.array_union(held, F.array(F.lit("")))).alias("word"))
+        files.select(F.explode(F.array_union("held", F.array(F.lit("")))).alias("word"))
         .groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()
     }
     total = found.get("", 0)
@@ -155,25 +159,27 @@ def scan(files: DataFrame, templates=TEMPLATES + NOTICES, limit: float = LIMIT,
     vectors = template_vectors(templates, idf)
     wholes = template_vectors(texts, idf, damped=True)
     heavy = constant(anchors(vectors, limit))
-    lines = F.filter(
-        F.transform(F.split("text", "\n"), lambda x: F.array_remove(F.split(x, BREAK), "")),
-        lambda x: F.arrays_overlap(x, heavy),
-    )
+    lines = F.when(F.arrays_overlap("held", heavy),
+                   F.filter("units", lambda x: F.arrays_overlap(x, heavy)))
+    # Few texts hold enough words of the templates for any whole text, so the number
+    # that they hold at all is compared before the words of each template are.
     least = fewest(wholes, limit)
     near = [
-        F.when(F.size(F.array_intersect("held", constant(set(words_of(t))))) >= least[i],
-               F.lit(len(words_of(t)) + more))
-        for i, (_, t) in enumerate(texts) for more in (0, MORE)
+        F.when((F.size("held") >= least[i])
+               & (F.size(F.array_intersect("held", constant(set(words_of(t))))) >= least[i]),
+               F.lit(len(words_of(t))))
+        for i, (_, t) in enumerate(texts)
     ]
-    heads = F.array_distinct(F.array_compact(F.array(*near))) if near else F.array().cast("array<int>")
-    words = F.array_remove(F.split("text", BREAK), "")
+    heads = F.flatten(F.transform(F.array_distinct(F.array_compact(F.array(*near))),
+                                  lambda n: F.array(n, n + MORE)))
+    heads = F.array_distinct(heads) if near else F.array().cast("array<int>")
     layer = settle(
-        files.withColumn("held", held).select(
+        files.select(
             F.monotonically_increasing_id().alias("row"), "doc_id", "path", "spdx",
             F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", ""))
             .when(F.col("path") != "", "").alias("dir"),
-            F.size(words).alias("n_words"), lines.alias("lines"), heads.alias("heads"), "text",
-        ).withColumn("words", F.when(F.size("heads") > 0, words)).drop("text"), "license-lines")
+            F.size("words").alias("n_words"), lines.alias("lines"), heads.alias("heads"), "words",
+        ).withColumn("words", F.when(F.size("heads") > 0, F.col("words"))), "license-lines")
     shape = "number int, license string, word string, weight double"
     # As large as the templates: lines are compared with the notices, a whole text with
     # all texts, a head with those of its length.

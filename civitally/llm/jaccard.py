@@ -14,7 +14,9 @@ in two steps:
 * **Count trees.** Where members of a centre's cells did not link with it, the
   documents around that centre are packed into a tree of bounding boxes over
   their group counts, and it is searched for partners in other components by
-  summed minima. Large neighbourhoods are split into pairs of blocks.
+  summed minima. Large neighbourhoods are split into pairs of blocks. A block pair
+  verifies what its tree lets through at once and passes on only the links that
+  join components: fewer than it has members, however many pairs it looked at.
 
 Every candidate is verified on the shingles of the whole texts. The result is
 exact but for collisions of 64-bit shingle hashes: components are those of all
@@ -51,6 +53,7 @@ PERCENT = 85
 COORDINATES = 64
 CHUNK = 4000
 BLOCK = 1024
+BLOCK_SHINGLES = 2_000_000  # 16 MB of hashes
 SALTS = 16
 SENT_IDS = 4_000_000
 K1, K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -305,52 +308,114 @@ class CountTree:
         return self.order[at[good]]
 
 
-def tree_pairs(pairs: DataFrame, roots: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components around the same centre that the count trees
-    let through. ``roots`` has id and root of the components found so far."""
-    around = pairs.select(F.col("a").alias("centre"), F.col("b").alias("doc_id")).unionByName(
-        pairs.select(F.col("a").alias("centre"), F.col("a").alias("doc_id")).distinct()
-    )
-    around = around.join(roots.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn(
-        "root", F.coalesce("root", "doc_id")
-    )
+SETS = "doc_id bigint, n_shingles bigint, counts binary, tokens binary"
+
+
+def open_sets(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """Sizes, counts and shingles of the wanted documents, a repeated row of a chunk
+    only once."""
+
+    def rows(batch: pa.RecordBatch) -> dict:
+        out: dict[str, list] = {"doc_id": [], "n_shingles": [], "counts": [], "tokens": []}
+        seen = set()
+        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+            tokens = shingles(text.as_py(), words)
+            packed = tokens.tobytes()
+            key = (doc_id, xxhash.xxh3_128_digest(packed))
+            if not len(tokens) or key in seen:
+                continue
+            seen.add(key)
+            for k, v in zip(out, (doc_id, len(tokens), counts_of(tokens).tobytes(), packed)):
+                out[k].append(v)
+        return out
+
+    # The hashes are as large as the texts, so fewer rows are held at once.
+    return map_rows(texts.join(wanted, "doc_id", "left_semi"), SETS, rows, 500)
+
+
+def overlap(a: np.ndarray, b: np.ndarray) -> int:
+    """The number of common values of two sorted arrays without repetitions."""
+    at = np.minimum(a.searchsorted(b), len(a) - 1)
+    return int((a[at] == b).sum())
+
+
+def spanning_links(rows: pd.DataFrame, percent: int) -> tuple[list[int], list[int]]:
+    """Links of one pair of blocks that join different components, verified. Pairs
+    that the links before them join already are not looked at."""
+    i, j = int(rows["i"].iloc[0]), int(rows["j"].iloc[0])
+    tree_rows, probes = rows[rows["block"] == j], rows[rows["block"] == i]
+    out_a: list[int] = []
+    out_b: list[int] = []
+    if not len(tree_rows) or not len(probes):
+        return out_a, out_b
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while above.get(x, x) != x:
+            above[x] = above.get(above[x], above[x])
+            x = above[x]
+        return x
+
+    ids, root = tree_rows["doc_id"].to_numpy(), tree_rows["root"].to_numpy()
+    held = [np.frombuffer(t, np.uint64) for t in tree_rows["tokens"]]
+    tree = CountTree(np.stack([unpack(c) for c in tree_rows["counts"]]),
+                     tree_rows["n_shingles"].to_numpy())
+    for doc_id, own, size, counts, packed in zip(*(probes[c] for c in (
+            "doc_id", "root", "n_shingles", "counts", "tokens"))):
+        at = tree.search(unpack(counts), size, percent)
+        at = at[root[at] != own]
+        if i == j:
+            at = at[ids[at] > doc_id]
+        tokens = np.frombuffer(packed, np.uint64)
+        for k in at:
+            x, y = top(own), top(int(root[k]))
+            if x == y:
+                continue
+            if overlap(tokens, held[k]) >= needed(size, len(held[k]), percent):
+                above[max(x, y)] = min(x, y)
+                out_a.append(min(doc_id, int(ids[k])))
+                out_b.append(max(doc_id, int(ids[k])))
+    return out_a, out_b
+
+
+def tree_links(
+    pairs: DataFrame, roots: DataFrame, points: DataFrame, texts: DataFrame, percent: int, words: int
+) -> DataFrame:
+    """Links that join different components around the same centre. ``roots`` has id
+    and root of the components found so far. Centres themselves need no search, as
+    all pairs with them are verified."""
+    around = pairs.select(F.col("a").alias("centre"), F.col("b").alias("doc_id")).join(
+        roots.withColumnRenamed("id", "doc_id"), "doc_id", "left"
+    ).withColumn("root", F.coalesce("root", "doc_id"))
+    sizes = points.groupBy("doc_id").agg(F.sum("n_shingles").alias("n"))
+    around = settle(around.join(sizes, "doc_id"), "jaccard-around")
     open_centres = around.groupBy("centre").agg(
-        F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size")
-    ).filter("low < high and size > 2").select(
-        "centre", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"),
+        F.min("root").alias("low"), F.max("root").alias("high"),
+        F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles"),
+    ).filter("low < high").select(
+        "centre", F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)
+                             ).cast("int").alias("blocks"),
         F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"),
     )
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
-    placed = (
+    placed = settle(
         around.withColumn("salt", salt).join(open_centres, ["centre", "salt"])
-        .withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
+        .select("centre", "doc_id", "root", "blocks"), "jaccard-open")
+    sets = open_sets(texts, placed.select("doc_id").distinct(), words)
+    dealt = (
+        placed.withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .join(points, "doc_id")
+        .join(sets, "doc_id")
         .select("centre", F.least("block", "other").alias("i"),
                 F.greatest("block", "other").alias("j"), "block", "doc_id", "root",
-                "n_shingles", "counts")
+                "n_shingles", "counts", "tokens")
     )
 
     def search(rows: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(rows["i"].iloc[0]), int(rows["j"].iloc[0])
-        tree_rows, probes = rows[rows["block"] == j], rows[rows["block"] == i]
-        out_a, out_b = [], []
-        if len(tree_rows) and len(probes):
-            ids, root = tree_rows["doc_id"].to_numpy(), tree_rows["root"].to_numpy()
-            tree = CountTree(np.stack([unpack(c) for c in tree_rows["counts"]]),
-                             tree_rows["n_shingles"].to_numpy())
-            for doc_id, own, size, counts in zip(*(probes[c] for c in (
-                    "doc_id", "root", "n_shingles", "counts"))):
-                at = tree.search(unpack(counts), size, percent)
-                at = at[root[at] != own]
-                if i == j:
-                    at = at[ids[at] > doc_id]
-                out_a.extend(np.minimum(ids[at], doc_id).tolist())
-                out_b.extend(np.maximum(ids[at], doc_id).tolist())
-        return pd.DataFrame({"a": out_a, "b": out_b}, dtype="int64")
-
-    found = placed.groupBy("centre", "i", "j").applyInPandas(search, "a bigint, b bigint")
-    return found.distinct().join(pairs, ["a", "b"], "left_anti")
+        a, b = spanning_links(rows, percent)
+        return pd.DataFrame({"a": a, "b": b}, dtype="int64")
+
+    return dealt.groupBy("centre", "i", "j").applyInPandas(search, "a bigint, b bigint").distinct()
 
 
 def join(
@@ -381,9 +446,8 @@ def join(
     texts = settle(known.join(involved, "doc_id", "left_semi"), "jaccard-texts")
     links = settle(verified(surviving, texts, percent, words), "jaccard-links")
     roots = components(copies.unionByName(links))
-    again = settle(tree_pairs(pairs, roots, points, percent), "jaccard-tree-pairs")
-    found = verified(again, texts, percent, words)
-    if not again.isEmpty():
+    found = settle(tree_links(pairs, roots, points, texts, percent, words), "jaccard-tree-links")
+    if not found.isEmpty():
         joined = roots.select(F.col("id").alias("a"), F.col("root").alias("b"))
         roots = components(joined.unionByName(found))
     return layer.select("doc_id", "n_shingles").join(

@@ -101,6 +101,44 @@ def test_large_neighbourhoods_are_split(spark, monkeypatch):
     assert got(frame(spark, rows)) == brute(rows)
 
 
+def test_families_without_their_original(spark):
+    """Copies of a lost original, four edits each: cells shared by many documents that
+    do not link. The search passes on links that join components and nothing else."""
+    rng = random.Random(8)
+    rows = []
+    for family in range(3):
+        base = prose(800 + family, 200)
+        rows += [(family * 100 + i, edited(base, 4, rng)) for i in range(60)]
+    rows += [(900, edited(rows[5][1], 1, rng)), (901, edited(rows[70][1], 1, rng))]
+    want = brute(rows)
+    docs = frame(spark, rows).select("doc_id", "text").repartition(4)
+    layer = jaccard.describe(docs, jaccard.Bands(), 4)
+    pairs = jaccard.star_pairs(layer)
+    none = spark.createDataFrame([], "id bigint, root bigint")
+    points = layer.select("doc_id", "n_shingles", "counts")
+    links = jaccard.tree_links(pairs, none, points, docs, 85, 4).collect()
+    of = {i: c for i, _, c in want}
+    assert links and all(of[r["a"]] == of[r["b"]] for r in links)
+    assert len(links) < len(rows)
+    assert got(frame(spark, rows)) == want
+
+
+def test_long_sets_make_small_blocks(spark, monkeypatch):
+    rng = random.Random(6)
+    base = prose(9, 300)
+    rows = [(0, base)] + [(i, edited(base, rng.randint(6, 12), rng)) for i in range(1, 40)]
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 900)
+    assert got(frame(spark, rows)) == brute(rows)
+
+
+@pytest.mark.parametrize("sent", [0, 4_000_000])
+def test_many_rows_without_id(spark, monkeypatch, sent):
+    monkeypatch.setattr(jaccard, "SENT_IDS", sent)
+    a = prose(21, 60)
+    rows = [(None, a)] * 30 + [(None, "")] * 5 + [(4, a), (9, a + " end"), (2, prose(22, 60))]
+    assert got(frame(spark, rows).repartition(3)) == brute(rows)
+
+
 def test_sets_with_too_few_cells(spark, copies):
     """With hardly any groups most sets take the exact way by single tokens."""
     bands = jaccard.Bands(spare=0)

@@ -19,8 +19,9 @@ def training_texts(
 ) -> DataFrame:
     """text and label (0 or 1) of at most ``limit`` labelled ids outside the held
     out fold, chosen by the hash of their id. Repeated labels of an id count by
-    their majority; null labels and ids are not used. The list of ids is bounded by
-    ``limit``, so it is broadcast."""
+    their majority; null labels and ids are not used. An id that is on several rows
+    counts with one text, the one with the smallest hash. The list of ids is bounded
+    by ``limit``, so it is broadcast."""
     wanted = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
     wanted = wanted.filter(~held_out(folds, fold)).groupBy(
         F.col("doc_id").cast("bigint").alias("doc_id")
@@ -30,4 +31,7 @@ def training_texts(
         F.col("doc_id").cast("bigint").alias("doc_id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
-    return texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
+    # A minimum is aggregated before the shuffle, so a row repeated very often is sent once a task.
+    one = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(
+        F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("least"))
+    return one.select("doc_id", F.col("least.text").alias("text"), "label")

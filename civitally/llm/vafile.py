@@ -13,8 +13,14 @@ approximation file as one byte per dimension, the number of its cell among
    the best ``2k + 2``, then those whose upper bound still reaches the k-th exact
    score. What is left cannot be among the first k.
 
+Bounds and products are sums of doubles, exact while components are small whole
+numbers. A vector with a component too large for that is wide: all its products
+are computed exactly as whole numbers of any size, in blocks that keep the k + 1
+best classes of each query. A score outside the range of a long counts as the
+nearest long, for its rank too.
+
 Rows without vec_id, null vectors, and vectors with null or non-finite
-components take no part. Shorter vectors count as filled with zeros. Repeated
+components (or whose 64-fold is no finite double) take no part. Shorter vectors count as filled with zeros. Repeated
 rows count once; an id with several vectors is as many rows. Other columns are
 not read. An empty table, or one without queries, gives an empty table.
 """
@@ -33,13 +39,16 @@ DATA_BLOCK, QUERY_BLOCK, SALTS = 16_384, 1024, 16
 
 
 def whole(embedding: Column) -> Column:
-    return F.transform(embedding, lambda x: F.floor(SCALE * x.cast("double")).cast("bigint"))
+    """floor(64 x) as doubles, which are whole from 2^53 on."""
+    return F.transform(embedding, lambda x: F.when(
+        F.abs(SCALE * x.cast("double")) < float(1 << 53), F.floor(SCALE * x.cast("double")).cast("double")
+    ).otherwise(SCALE * x.cast("double")))
 
 
 def usable(embedding: Column) -> Column:
     finite = F.forall(
         embedding,
-        lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")),
+        lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(SCALE * x.cast("double")) < float("inf")),
     )
     return embedding.isNotNull() & finite
 
@@ -87,6 +96,27 @@ def scan(bits: int, lows: list[int], widths: list[int], k: int):
     return run
 
 
+def exact_scan(k: int):
+    """The k + 1 best classes of each query of one block against one block of classes,
+    by products of whole numbers of any size; ties go to the smaller first id."""
+
+    def run(key, data: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple[int, int, int]] = []
+        if len(data) and len(queries):
+            vectors = [[int(x) for x in v] for v in data["v"]]
+            ids, first = data["class"].to_numpy(), np.array([i[0] for i in data["ids"]], np.int64)
+            for number, v in zip(queries["class"], queries["v"]):
+                q = [(i, int(x)) for i, x in enumerate(v) if x]
+                score = np.array([
+                    min(max(sum(x * w[i] for i, x in q), -1 << 63), (1 << 63) - 1) for w in vectors
+                ], np.int64)
+                best = np.lexsort((first, ~score))[: k + 1]
+                out.extend((int(number), int(ids[b]), int(score[b])) for b in best)
+        return pd.DataFrame(out, columns=["query", "class", "score"]).astype("int64")
+
+    return run
+
+
 def top_k(
     table: DataFrame, k: int = K, every: int = EVERY, bits: int = 6,
     data_block: int = DATA_BLOCK, query_block: int = QUERY_BLOCK,
@@ -98,7 +128,9 @@ def top_k(
     rows = rows.filter(F.col("vec_id").isNotNull() & usable(F.col("e")))
     rows = rows.select("vec_id", whole(F.col("e")).alias("v"))
     width = rows.agg(F.max(F.size("v"))).first()[0] or 0
-    filled = F.concat("v", F.array_repeat(F.lit(0).cast("bigint"), width - F.size("v")))
+    filled = F.concat("v", F.array_repeat(F.lit(0.0), width - F.size("v")))
+    # Sums of ``width`` products of two such numbers, and their bounds, are exact.
+    most = float(1 << (50 - int(width).bit_length()) // 2)
     rows = settle(
         rows.select("vec_id", filled.alias("v")).select(
             "vec_id", "v", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2")
@@ -108,11 +140,13 @@ def top_k(
     classes = settle(
         rows.groupBy("h1", "h2").agg(F.first("v").alias("v"))
         .join(smallest_ids(narrow, k), ["h1", "h2"])
+        .withColumn("wide", F.exists("v", lambda x: F.abs(x) > most))
         .withColumn("class", F.monotonically_increasing_id()),
         "vector-classes",
     )
+    every_class, classes = classes, classes.filter(~F.col("wide"))
     ranges = {
-        r["pos"]: (r["low"], r["high"]) for r in classes.select(F.posexplode("v"))
+        r["pos"]: (int(r["low"]), int(r["high"])) for r in classes.select(F.posexplode("v"))
         .groupBy("pos").agg(F.min("col").alias("low"), F.max("col").alias("high")).collect()
     }  # one row for each dimension
     lows = [ranges[i][0] for i in range(len(ranges))]
@@ -128,15 +162,17 @@ def top_k(
     approximations = settle(classes.select("class", cells("v").alias("cells")), "va-file")
     asked = narrow.filter(F.col("vec_id") % every == 0)
     hot = asked.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)).cast("int"))
-    salted = classes.select(
+    salted = every_class.select(
         "h1", "h2", "class", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     )
     queries = settle(
         hot.join(salted, ["h1", "h2", "salt"]).select(F.col("vec_id").alias("query_id"), "class"),
         "vector-queries")
-    asking = settle(
-        classes.select("class", "v").join(queries.select("class").distinct(), "class", "left_semi"),
+    all_asking = settle(
+        every_class.select("class", "v", "wide")
+        .join(queries.select("class").distinct(), "class", "left_semi"),
         "query-classes")
+    asking = all_asking.filter(~F.col("wide")).drop("wide")
     data_blocks = max(1, -(-approximations.count() // data_block))
     query_blocks = max(1, -(-asking.count() // query_block))
 
@@ -166,8 +202,8 @@ def top_k(
         vectors = classes.select("class", "v", "ids")
         asked_for = asking.select(F.col("class").alias("query"), F.col("v").alias("w"))
         product = F.aggregate(
-            F.zip_with("v", "w", lambda a, b: a * b), F.lit(0).cast("bigint"), lambda a, b: a + b
-        )
+            F.zip_with("v", "w", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b
+        ).cast("bigint")
         return pairs.join(vectors, "class").join(asked_for, "query").select(
             "query", "class", "ids", product.alias("score")
         )
@@ -179,9 +215,23 @@ def top_k(
         left.filter(F.col("place") > 2 * k + 2).join(sure, "query")
         .filter("sure is null or high >= sure")
     )
+    scored = first.unionByName(second)
+
+    def compared(probes: DataFrame, data: DataFrame) -> DataFrame:
+        """Blocks of queries against blocks of classes, one side of them wide."""
+        blocks = max(1, -(-data.count() // data_block))
+        others = max(1, -(-probes.count() // query_block))
+        return dealt(data.select("class", "v", "ids"), "d", blocks, "q", others).groupBy("d", "q").cogroup(
+            dealt(probes.select("class", "v"), "q", others, "d", blocks).groupBy("d", "q")
+        ).applyInPandas(exact_scan(k), "query bigint, class bigint, score bigint")
+
+    wide = every_class.filter("wide")
+    if not wide.isEmpty():
+        found = compared(all_asking.filter("wide"), every_class).unionByName(compared(asking, wide))
+        scored = scored.unionByName(found.join(every_class.select("class", "ids"), "class"))
     best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     lists = (
-        first.unionByName(second)
+        scored
         .select("query", "score", F.explode("ids").alias("vec_id"))
         .withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k + 1)
         .groupBy("query").agg(F.sort_array(F.collect_list(F.struct("place", "vec_id", "score")))

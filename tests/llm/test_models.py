@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from civitally.llm import attention, toxicity, vafile
+from civitally.llm.labelled import training_texts
 from civitally.llm.queries import QUERIES
 
 from .conftest import ODD, prose
@@ -141,3 +142,42 @@ def test_short_vectors_and_few_rows(spark):
         (0, 1, 1, 4096), (0, 2, 2, 0)]
     assert found(spark, [(4, [1.0])]) == [] and found(spark, [(1, [1.0]), (2, [1.0])]) == []
     assert found(spark, []) == []
+
+
+def exact_lists(rows, k, every):
+    """Products as whole numbers of any size, cut to the range of a long."""
+    whole = [(i, [math.floor(64 * x) if abs(64 * x) < 2**53 else int(64 * x) for x in v]) for i, v in rows]
+    out = []
+    for q, a in whole:
+        if q % every:
+            continue
+        best = sorted((-min(max(sum(x * y for x, y in zip(a, b)), -2**63), 2**63 - 1), i)
+                      for i, b in whole if i != q)
+        out += [(q, at + 1, i, -s) for at, (s, i) in enumerate(best[:k])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("big", [[], [1e12], [1e300, -1e300, 3e9, 1e12], [4e4] * 30])
+def test_large_components(spark, big):
+    rng = random.Random(3)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(120)]
+    for at, x in enumerate(big):
+        rows[at * 4][1][at % 6] = x
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(3)
+    made = vafile.top_k(df, 5, 4, data_block=32, query_block=8)
+    assert sorted(map(tuple, made.collect())) == exact_lists(rows, 5, 4)
+
+
+def test_components_without_a_finite_multiple_take_no_part(spark):
+    df = spark.createDataFrame([(0, [1.0]), (1, [1e307]), (2, [float("inf")]), (3, [2.0])],
+                               "vec_id bigint, embedding array<double>")
+    assert [tuple(r) for r in vafile.top_k(df, 5, 2).collect()] == [(0, 1, 3, 64 * 128)]
+
+
+def test_one_text_for_an_id_of_the_sample(spark):
+    docs = spark.createDataFrame([(i % 5, f"text {i // 10}") for i in range(50)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(5)], "doc_id bigint, quality int")
+    rows = training_texts(docs, labels, "quality", 4, 9, 100).collect()
+    assert sorted(r["doc_id"] for r in rows) == [0, 1, 2, 3, 4]
+    again = training_texts(docs.repartition(7), labels, "quality", 4, 9, 100).collect()
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, again))

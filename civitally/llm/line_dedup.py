@@ -26,7 +26,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from civitally.session import settle
@@ -168,14 +168,20 @@ def candidates(docs: DataFrame, filters: DataFrame | None, shards: int) -> DataF
     return docs.mapInArrow(run, "id bigint, k1 bigint, k2 bigint")
 
 
+def row_key() -> Column:
+    """What rows are joined on: a hash of doc_id and text, so that neither rows without
+    doc_id nor the texts of a repeated one gather in a group. Rows that share a
+    hash by accident get the common keys of both, which drops no other line: a
+    line goes only if its own key is common."""
+    return F.xxhash64(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+
+
 def dropped_keys(
     docs: DataFrame, min_docs: int = MIN_DOCS, per_shard: int = 50_000,
     filter_bytes: int = 64 << 20,
 ) -> DataFrame:
-    """id, drop (hex keys): the common lines of each document."""
-    narrow = docs.select(
-        F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text")
-    )
+    """id, drop: the common keys of the rows with each ``row_key``."""
+    narrow = docs.select(row_key().alias("id"), F.col("text").cast("string").alias("text"))
     refs = settle(line_refs(narrow), "line-refs")
     common = common_keys(refs, min_docs)
     n = common.count()
@@ -192,8 +198,7 @@ def dropped_keys(
 def _joined(docs: DataFrame, min_docs: int, drop: str) -> DataFrame:
     known = dropped_keys(docs, min_docs).select(F.col("id").alias(drop + "id"),
                                                 F.col("drop").alias(drop))
-    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col(drop + "id"))
-    return docs.join(known, same, "left").drop(drop + "id")
+    return docs.join(known, row_key() == F.col(drop + "id"), "left").drop(drop + "id")
 
 
 def without(text: str | None, drop: list | None) -> tuple[int, int, bytes]:

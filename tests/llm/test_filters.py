@@ -213,3 +213,15 @@ def test_anchors_lose_no_line():
     for number in {v[0] for v in vectors}:
         rest = sum(w * w for n, _, word, w in vectors if n == number and word not in heavy)
         assert rest < 0.75**2
+
+
+def test_rows_without_id_gather_nowhere(spark):
+    """A third of the rows without id: their lines go by the same rule, and no row
+    carries the common lines of the others."""
+    rows = [(None if i % 3 == 0 else i, f"own line {i}\nshared {i % 4}\nrare {i % 12}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    made = line_dedup.drop_lines(docs, 10)
+    want = [(i, t.split("\n")[0] + "\n" + t.split("\n")[2]) for i, t in rows]
+    assert sorted(map(tuple, made.collect()), key=str) == sorted(want, key=str)
+    sizes = line_dedup.dropped_keys(docs, 10).selectExpr("size(drop) as n").collect()
+    assert max(r["n"] for r in sizes) == 1

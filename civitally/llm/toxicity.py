@@ -107,7 +107,12 @@ def fit(bags: list[list[list[int]]], empty: np.ndarray, labels: np.ndarray, widt
     return weights, float(bias)
 
 
-def train(docs: DataFrame, labels: DataFrame, limit: int = 10_000, terms: int = 2000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, limit: int = 10_000, terms: int = 2000,
+          counted: int = 50_000, least_strength: float = 10.0) -> Model:
+    """The model fitted on at most ``limit`` labelled documents. Of the terms that toxic
+    ones hold, the ``counted`` most held are counted in clean ones too; the
+    ``terms`` strongest of them with more than ``least_strength`` (the part of
+    chi-square that lies in toxic documents) get a weight."""
     sample = settle(training_texts(docs, labels, "toxic", FOLDS, FOLD, limit), "toxic-sample")
 
     def holders(batch: pa.RecordBatch) -> dict:
@@ -138,7 +143,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = 10_000, terms: int =
     )
     # The terms most held by toxic documents: bounded, so they can be counted
     # among the clean ones in one pass.
-    often = counts.orderBy(F.desc("toxic"), "term").limit(50_000).toPandas()
+    often = counts.orderBy(F.desc("toxic"), "term").limit(counted).toPandas()
     wanted = set(often["term"])
     in_clean = (
         map_rows(sample, "term string, clean bigint", others(wanted))
@@ -148,7 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = 10_000, terms: int =
     a, b = table["toxic"].to_numpy(float), table["clean"].to_numpy(float)
     expected = toxic * (a + b) / (toxic + clean)
     table["strength"] = np.where(a > expected, (a - expected) ** 2 / expected, 0.0)
-    best = table[table["strength"] > 10].sort_values(["strength", "term"], ascending=[False, True])
+    best = table[table["strength"] > least_strength].sort_values(["strength", "term"], ascending=[False, True])
     names = sorted(best["term"].head(terms))
     index = {t: i for i, t in enumerate(names)}
 

@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import struct
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,14 +35,24 @@ MOST_PARTS = 1_000_000
 HEADER = 4  # bytes of a record's token count
 
 
-def sequences(docs: DataFrame, length: int = 1024, vocab: str | None = None) -> DataFrame:
-    """doc_id, piece, n_tokens, ids (unsigned 16-bit when the vocabulary allows)."""
+def as_width(ids: np.ndarray, id_bytes: int) -> np.ndarray:
+    """``ids`` as little-endian numbers of that many bytes; an id that does not fit is
+    an error."""
+    if len(ids) and int(ids.max()) >> (8 * id_bytes):
+        raise ValueError(f"token id {int(ids.max())} does not fit into {id_bytes} bytes")
+    return ids.astype(f"<u{id_bytes}")
+
+
+def sequences(docs: DataFrame, length: int = 1024, vocab: str | None = None,
+              id_bytes: int = 2) -> DataFrame:
+    """doc_id, piece, n_tokens, ids (unsigned, of ``id_bytes`` bytes: 2, or 4 for a
+    vocabulary above 65,536)."""
 
     def rows(batch: pa.RecordBatch) -> dict:
         codec = rank_codec(vocab)
         out: dict[str, list] = {"doc_id": [], "piece": [], "n_tokens": [], "ids": []}
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-            ids = np.frombuffer(codec.encode(text.as_py()) + bytes(4), "<u4").astype("<u2")
+            ids = as_width(np.frombuffer(codec.encode(text.as_py()) + bytes(4), "<u4"), id_bytes)
             for i, at in enumerate(range(0, len(ids), length)):
                 one = ids[at: at + length]
                 out["doc_id"].append(doc_id)
@@ -107,12 +116,12 @@ def with_slots(layer: DataFrame, total: int, key: int) -> DataFrame:
 
 def shards(
     docs: DataFrame, key: int = 2024, length: int = 1024, per_shard: int = 2048,
-    vocab: str | None = None,
+    vocab: str | None = None, id_bytes: int = 2,
 ) -> DataFrame:
     """shard, payload (fixed-stride records), and the slot's owner for each record:
     doc_ids, pieces. A record is its token count, its ids, and zeros up to the stride."""
-    stride = HEADER + 2 * length
-    made = sequences(docs, length, vocab).withColumn("n", F.monotonically_increasing_id())
+    stride = HEADER + id_bytes * length
+    made = sequences(docs, length, vocab, id_bytes).withColumn("n", F.monotonically_increasing_id())
     layer = settle(
         made.selectExpr("*", "shiftright(n, 33) as part", "n & 8589934591L as place").drop("n"),
         "sequences",
@@ -158,9 +167,10 @@ def shards(
     )
 
 
-def records(made: DataFrame, length: int = 1024, per_shard: int = 2048) -> DataFrame:
+def records(made: DataFrame, length: int = 1024, per_shard: int = 2048,
+            id_bytes: int = 2) -> DataFrame:
     """One row for each record of the shards, read back from the binary values."""
-    stride = HEADER + 2 * length
+    stride = HEADER + id_bytes * length
 
     def rows(batch: pa.RecordBatch) -> dict:
         out: dict[str, list] = {k: [] for k in (
@@ -170,7 +180,7 @@ def records(made: DataFrame, length: int = 1024, per_shard: int = 2048) -> DataF
             for i, (doc_id, piece) in enumerate(zip(owners, pieces)):
                 at = i * stride
                 (n,) = struct.unpack_from("<I", payload, at)
-                ids = np.frombuffer(payload, "<u2", n, at + HEADER).astype("<u4")
+                ids = np.frombuffer(payload, f"<u{id_bytes}", n, at + HEADER).astype("<u4")
                 for k, v in zip(out, (doc_id, piece, shard * per_shard + i, shard, at, n,
                                       zlib.crc32(ids.tobytes()))):
                     out[k].append(v)
@@ -211,10 +221,8 @@ def write_shards(made: DataFrame, folder: str) -> DataFrame:
                     "shard bigint, path string, bytes bigint, written boolean", rows)
 
 
-def read_slot(payload: bytes, place: int, length: int = 1024) -> list[int]:
+def read_slot(payload: bytes, place: int, length: int = 1024, id_bytes: int = 2) -> list[int]:
     """Ids of the record at a place of a shard."""
-    at = place * (HEADER + 2 * length)
+    at = place * (HEADER + id_bytes * length)
     (n,) = struct.unpack_from("<I", payload, at)
-    ids = array("H")
-    ids.frombytes(payload[at + HEADER: at + HEADER + 2 * n])
-    return ids.tolist()
+    return np.frombuffer(payload, f"<u{id_bytes}", n, at + HEADER).tolist()

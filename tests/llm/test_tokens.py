@@ -156,3 +156,24 @@ def test_same_order_from_other_partitions(odd):
         training_order.shards(d.coalesce(1), length=64), 64).collect()}
     ordered = odd.orderBy(F.col("doc_id"), "text").coalesce(1)
     assert rows(ordered) == rows(ordered)
+
+
+def test_width_of_ids(odd):
+    ids = np.array([1, 70_000], "<u4")
+    with pytest.raises(ValueError, match="70000"):
+        training_order.as_width(ids, 2)
+    assert training_order.as_width(ids, 4).tolist() == [1, 70_000]
+    rows = lambda w: {(r["slot"], r["doc_id"], r["ids_crc32"]) for r in training_order.records(
+        training_order.shards(odd.coalesce(1), length=64, id_bytes=w), 64, id_bytes=w).collect()}
+    assert rows(2) == rows(4)
+
+
+def test_packing_of_several_rounds(spark):
+    """Many small tasks leave many underfull bins, which rounds merge nearly as well as one task."""
+    rng = np.random.default_rng(4)
+    sizes = rng.integers(1, 800, 3000)
+    items = spark.range(len(sizes)).selectExpr(
+        "id as item_id", "cast(pmod(xxhash64(id), 799) + 1 as bigint) as length")
+    bins = [packing.pack(items, 2048, per_task=n).select("sequence_id").distinct().count()
+            for n in (100, 100_000)]
+    assert bins[0] <= 1.01 * bins[1] + 1

@@ -10,6 +10,7 @@ from civitally.llm import attention
 from civitally.llm.common import table
 from civitally.session import settle
 
+from .conftest import SCHEMA, prose
 from .test_filters import counts
 from .test_jaccard import brute
 from .test_tokens import packed_well
@@ -101,3 +102,14 @@ def test_odd_rows(spark, odd, none):
     two = odd.filter("doc_id is null").unionByName(odd.filter("doc_id is null"))
     stage = dict(corpus_pipeline.STAGES)["ngram_jaccard"]
     assert stage(spark, two.unionByName(odd), SMALL).filter(F.col("doc_id").isNull()).count() == 3
+
+
+def test_repeated_ids_lose_no_text(spark):
+    """Different texts under one id stay; near copies and equal rows go."""
+    a, b, c = (prose(i, 60) for i in (31, 32, 33))
+    rows = [(1, a), (1, b), (2, a + " end"), (3, c), (3, c), (4, b), (None, a), (None, a), (5, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA).repartition(3)
+    made = corpus_pipeline.near_copies(spark, docs, SMALL)
+    assert made.dtypes == docs.dtypes
+    want = [(1, a), (1, b), (3, c), (None, a), (None, a), (5, "")]
+    assert sorted(((r["doc_id"], r["text"]) for r in made.collect()), key=str) == sorted(want, key=str)

@@ -27,6 +27,7 @@ from civitally.sources.schemas import COMPLETED
 
 from . import sql as S
 from .context import Context, shared_context
+from .forest_sql import FITTED_SQL
 from .spec import spark_select
 
 
@@ -2211,7 +2212,7 @@ def _(c):
         "VALUE", "SCALED")
 
 
-# --- model: fitted on all works, no SQL twin ----------------------------------------------------------
+# --- model: fitted on all works ----------------------------------------------------------
 
 
 @register("ml04_feature_medians", "FEATURE:s MEDIAN:d", None, extra={"melted": " UNION ALL ".join(
@@ -2323,12 +2324,16 @@ def _(c):
     return fusion.hybrid_columns(c.plan.hybrid_with(ml))
 
 
-@register("agg28_fixed_ml_distribution", "METRIC:s VALUE:d", None, extra=FIXED_SQL, sql="""
+def _distribution_sql(features: int, trees: int) -> str:
+    return f"""
 SELECT unnest(['TOTAL_WORKS', 'ML_ANOMALIES', 'ML_ANOMALY_PERCENTAGE', 'HIGH', 'MEDIUM', 'LOW', 'NONE', 'FEATURE_COUNT',
     'CONTAMINATION', 'N_ESTIMATORS', 'MIN_PEER_SIZE']) AS METRIC,
   unnest([count(*), sum(ML_ANOMALY), sum(ML_ANOMALY) * 100e0 / count(*), count(*) FILTER (ML_SEVERITY = 'HIGH'),
     count(*) FILTER (ML_SEVERITY = 'MEDIUM'), count(*) FILTER (ML_SEVERITY = 'LOW'),
-    count(*) FILTER (ML_SEVERITY = 'NONE'), 3, NULL, 10, 10]) AS VALUE FROM ml""")
+    count(*) FILTER (ML_SEVERITY = 'NONE'), {features}, NULL, {trees}, 10]) AS VALUE FROM ml"""
+
+
+@register("agg28_fixed_ml_distribution", "METRIC:s VALUE:d", None, extra=FIXED_SQL, sql=_distribution_sql(3, 10))
 def _(c):
     return reports.ml_distribution(_fixed_ml(c), len(FIXED_FEATURES), "auto", FIXED_TREES)
 
@@ -2352,7 +2357,8 @@ def _(c):
     ).withColumn("WRONG_RANK", ranks.agg(F.count_if(F.col("low") != F.col("high"))).scalar())
 
 
-@rows_only("ml06_forest_scores")
+@register("ml06_forest_scores", "WORK_ID:i IF_RAW_SCORE:d IF_DECISION_SCORE:d ML_ANOMALY_STRENGTH:d ML_PERCENTILE:d "
+          "ML_ANOMALY:i ML_SEVERITY:s", "ml", extra=FITTED_SQL)
 def _(c):
     return c.plan.ml
 
@@ -2362,12 +2368,13 @@ def _(c):
     return c.regional.ml()
 
 
-@rows_only("hy01_hybrid_with_forest")
+@register("hy01_hybrid_with_forest", HYBRID_SPEC, "hyb", extra=FITTED_SQL)
 def _(c):
     return c.plan.hybrid
 
 
-@rows_only("agg28_ml_distribution")
+@register("agg28_ml_distribution", "METRIC:s VALUE:d", None, extra=FITTED_SQL,
+          sql=_distribution_sql(len(forest.CORE_FEATURES) - 1, 300))
 def _(c):
     s = c.plan.settings.forest
     return reports.ml_distribution(

@@ -3,10 +3,15 @@
 Every tree sees a small sample chosen by hashing work ids, trees are grown in
 parallel, and the forest - at most ``trees * (2 * sample - 1)`` nodes whatever
 the data size - is broadcast to score all works in Arrow batches.
+
+Whatever is drawn - a tree's works and features, a split's feature and threshold -
+is a hash of the seed and of what it is drawn for, and leaf lengths are multiples of
+2**-32, so sums do not depend on order. A recursive SQL query can follow all of it.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -73,6 +78,8 @@ AUDIT_FEATURES = (
     "LOG_ACTUAL_AMOUNT", "LOG_TOTAL_DISBURSED", "DATA_COMPLETENESS_SCORE",
 )
 SEED_SPACE = 2**31
+DRAWS = 2**48
+LENGTH_STEPS = 2.0**32
 
 
 def classify_columns(df: DataFrame) -> dict[str, str]:
@@ -187,6 +194,18 @@ def require_finite(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return df
 
 
+def drawn(*parts: object) -> int:
+    """A number below ``DRAWS``, fixed by the parts."""
+    text = ":".join(map(str, parts))
+    return int(hashlib.md5(text.encode(), usedforsecurity=False).hexdigest()[:12], 16)
+
+
+def drawn_column(*parts: Column) -> Column:
+    """``drawn`` of columns."""
+    text = F.concat_ws(":", *[c.cast("string") for c in parts])
+    return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("bigint")
+
+
 def average_path(n: np.ndarray | float) -> np.ndarray:
     """Expected path length of an unsuccessful search among n points."""
     n = np.asarray(n, dtype=float)
@@ -209,33 +228,38 @@ NODE_SCHEMA = T.StructType(
 )
 
 
-def grow_tree(x: np.ndarray, tree: int, seed: int, depth_limit: int, usable: int) -> list[tuple]:
+def grow_tree(
+    x: np.ndarray, tree: int, seed: int, depth_limit: int, usable: int, names: Sequence[str]
+) -> list[tuple]:
     """Nodes of one isolation tree over the sample ``x``.
 
     A split takes a random feature that still varies in the node and a uniform
-    threshold between its extremes; leaves have FEATURE -1.
+    threshold between its extremes; leaves have FEATURE -1. Draws name a node by its
+    path: 1 for the root, twice that for a left child, one more for a right one.
     """
-    rng = np.random.default_rng([seed, tree])
-    allowed = rng.permutation(x.shape[1])[:usable]
+    drawn_first = sorted(range(len(names)), key=lambda j: (drawn(seed, tree, names[j]), names[j]))
+    allowed = np.array(sorted(drawn_first[:usable], key=lambda j: names[j]))
     nodes: list[tuple] = []
-    todo = [(0, np.arange(len(x)), 0)]
+    todo = [(0, 1, np.arange(len(x)), 0)]
     taken = 1
     while todo:
-        node, rows, depth = todo.pop()
+        node, path, rows, depth = todo.pop()
         part = x[np.ix_(rows, allowed)]
         lo, hi = part.min(axis=0), part.max(axis=0)
         varying = np.flatnonzero(hi > lo)
         if depth >= depth_limit or len(rows) <= 1 or not len(varying):
             nodes.append((tree, node, -1, 0.0, -1, -1, depth, len(rows)))
             continue
-        j = rng.choice(varying)
-        cut = rng.uniform(lo[j], hi[j])
+        j = varying[drawn(seed, tree, path, "feature") % len(varying)]
+        cut = lo[j] + drawn(seed, tree, path, "cut") / DRAWS * (hi[j] - lo[j])
+        if not cut < hi[j]:  # rounded up: the largest value would have no side
+            cut = lo[j]
         goes_left = part[:, j] <= cut
         left, right = taken, taken + 1
         taken += 2
         nodes.append((tree, node, int(allowed[j]), float(cut), left, right, depth, len(rows)))
-        todo.append((right, rows[~goes_left], depth + 1))
-        todo.append((left, rows[goes_left], depth + 1))
+        todo.append((right, 2 * path + 1, rows[~goes_left], depth + 1))
+        todo.append((left, 2 * path, rows[goes_left], depth + 1))
     return nodes
 
 
@@ -254,7 +278,7 @@ def tree_samples(
     steps = [s for s in range(1, max(trees, 2)) if math.gcd(s, trees) == 1]
 
     def draw(salt: int, space: int) -> Column:
-        return F.pmod(F.xxhash64("WORK_ID", F.lit(config.seed), F.lit(salt)), F.lit(space))
+        return drawn_column(F.lit(config.seed), F.lit(salt), F.col("WORK_ID")) % F.lit(space)
 
     more = (draw(0, SEED_SPACE) < F.lit(int((trees * share - whole) * SEED_SPACE))).cast("int")
     joined = df.select(
@@ -271,7 +295,9 @@ def tree_samples(
         F.pmod(F.col("_first") + F.col("_i") * F.col("_step"), F.lit(trees)).cast("int")
         .alias("tree"), "WORK_ID", "x",
     )
-    return picked.withColumn("rank", F.xxhash64("WORK_ID", "tree", F.lit(config.seed + 1)))
+    return picked.withColumn(
+        "rank", drawn_column(F.lit(config.seed + 1), F.col("tree"), F.col("WORK_ID"))
+    )
 
 
 @dataclass(frozen=True)
@@ -317,6 +343,7 @@ class IsolationForest:
         left = np.where(leaf, here, base + n.LEFT.to_numpy())
         right = np.where(leaf, here, base + n.RIGHT.to_numpy())
         length = np.where(leaf, n.DEPTH.to_numpy() + average_path(n.SIZE.to_numpy()), 0.0)
+        length = np.rint(length * LENGTH_STEPS) / LENGTH_STEPS
         feature = np.where(leaf, 0, n.FEATURE.to_numpy())
         return roots, feature, n.THRESHOLD.to_numpy(), left, right, length, int(n.DEPTH.max())
 
@@ -371,7 +398,7 @@ def fit_forest(
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         chosen = pdf.sort_values(["rank", "WORK_ID"]).head(sample)
         x = np.vstack(chosen["x"].to_numpy())
-        nodes = grow_tree(x, int(pdf["tree"].iloc[0]), seed, depth_limit, usable)
+        nodes = grow_tree(x, int(pdf["tree"].iloc[0]), seed, depth_limit, usable, features)
         return pd.DataFrame(nodes, columns=[f.name for f in NODE_SCHEMA.fields])
 
     grown = tree_samples(ready, features, rows, config).groupBy("tree").applyInPandas(

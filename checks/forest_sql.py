@@ -11,7 +11,7 @@ import math
 from collections.abc import Sequence
 
 from civitally.config import ForestConfig
-from civitally.operators.forest import AUDIT_FEATURES, CORE_FEATURES, DRAWS, SEED_SPACE
+from civitally.operators.forest import CORE_FEATURES, DRAWS, SEED_SPACE
 from civitally.plans.regional import AUDIT_FOREST
 
 SPACE = f"{float(DRAWS)!r}::DOUBLE"
@@ -88,11 +88,10 @@ FITTED_SQL = {
 }
 
 
-def audit_relations(present: Sequence[str]) -> dict[str, str]:
-    """The first generation's forest over its own features."""
-    features = [k for k in AUDIT_FEATURES if k in present]
+def audit_relations(source: str, features: Sequence[str]) -> dict[str, str]:
+    """The first generation's forest over ``source``; ``gf_scores`` holds its results."""
     return {
-        **forest_relations("gf_", "g_feat", features, AUDIT_FOREST),
+        **forest_relations("gf_", source, features, AUDIT_FOREST),
         "gf_scaled": f"""SELECT WORK_ID, S, quantile_cont(S, {1.0 - AUDIT_FOREST.contamination!r}) OVER () AS CUT,
   (S - min(S) OVER ()) / (max(S) OVER () - min(S) OVER ()) * 100e0 AS R FROM gf_strength""",
         "gf_scores": """SELECT WORK_ID, CASE WHEN S > CUT THEN -1 ELSE 1 END AS ISOLATION_FOREST_PREDICTION,

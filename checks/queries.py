@@ -27,7 +27,7 @@ from civitally.sources.schemas import COMPLETED
 
 from . import sql as S
 from .context import Context, shared_context
-from .forest_sql import FITTED_SQL
+from .forest_sql import FITTED_SQL, audit_relations
 from .spec import spark_select
 
 
@@ -2363,7 +2363,19 @@ def _(c):
     return c.plan.ml
 
 
-@rows_only("ml10_audit_forest_scores")
+_LISTED_MISSING = ("DISBURSEMENT_COUNT", "COST_VS_PEER_MEAN", "COST_VS_PEER_STD", "TRANSACTION_AMOUNT_STD")
+
+
+@register("ml10_audit_forest_scores", "WORK_ID:i ISOLATION_FOREST_PREDICTION:i ISOLATION_FOREST_DECISION_SCORE:d "
+          "ISOLATION_FOREST_SCORE:d ISOLATION_FOREST_ANOMALY_FLAG:b ISOLATION_FOREST_RISK_LEVEL:s", None, extra={
+    "g_model": f"""SELECT g_feat.*, {S.ratio('ACTUAL_AMOUNT', 'SANCTION_AMOUNT')} AS ACTUAL_TO_SANCTION_RATIO,
+  {S.dd('RECOMMENDATION_DATE', 'ACTUAL_END_DATE')} AS RECOMMENDATION_TO_COMPLETION_DAYS,
+  coalesce(CAST(MN AS DOUBLE), 0) AS MIN_TRANSACTION_AMOUNT,
+  CASE WHEN ACTUAL_AMOUNT IS NOT NULL THEN ln(1 + greatest(CAST(ACTUAL_AMOUNT AS DOUBLE), 0)) END AS LOG_ACTUAL_AMOUNT,
+  ln(1 + greatest(TOTAL_DISBURSED, 0)) AS LOG_TOTAL_DISBURSED FROM g_feat LEFT JOIN g_sum USING (WORK_ID)""",
+    **audit_relations("g_model", [k for k in forest.AUDIT_FEATURES if k not in _LISTED_MISSING])}, sql="""
+SELECT *, CASE WHEN ISOLATION_FOREST_SCORE >= 80 THEN 'CRITICAL' WHEN ISOLATION_FOREST_SCORE >= 60 THEN 'HIGH'
+  WHEN ISOLATION_FOREST_SCORE >= 40 THEN 'MEDIUM' ELSE 'LOW' END AS ISOLATION_FOREST_RISK_LEVEL FROM gf_scores""")
 def _(c):
     return c.regional.ml()
 

@@ -22,8 +22,9 @@ from civitally.operators import (
 from civitally.plans.national import NationalPlan
 from civitally.plans.regional import results_sorted
 from civitally.session import layer_root, settle
-from civitally.sources import landed, sinks
+from civitally.sources import landed, sinks, testbed
 from civitally.sources.schemas import COMPLETED
+from civitally.streaming.summary import PaymentSummaryTable
 
 from . import sql as S
 from .context import Context, shared_context
@@ -441,6 +442,30 @@ def _(c):
     return c.plan.payment_agg
 
 
+S.relation("landed_once", """
+SELECT * FROM pays WHERE FUND_DISBURSED_AMT IS NOT NULL QUALIFY row_number() OVER (
+  PARTITION BY WORK_ID, VENDOR_ID, FUND_DISBURSED_AMT, EXPENDITURE_DATE
+  ORDER BY SRC_ITEM % 3, SRC_LINE, SRC_ITEM, VENDOR_ID, FUND_DISBURSED_AMT) = 1
+""")
+
+
+@register("agg01_reloaded_summary", PAY_SPEC, "reloaded_agg", extra={
+    "reloaded_agg": S.RELATIONS["pay_agg"].replace("FROM pays WHERE", "FROM landed_once WHERE")})
+def _(c):
+    # three batches out of order, one of them corrected, one more taken in and withdrawn
+    table = PaymentSummaryTable(c.spark, f"{layer_root(c.spark)}/civitally/reload-{uuid.uuid4().hex}",
+                                testbed.PAYMENT_ORDER, buckets=4)
+    part = lambda i: c.payments.filter(F.col("SRC_ITEM") % 3 == i)
+    table.apply(2, part(1))
+    table.apply(1, part(2))
+    table.apply(9, c.payments.filter(F.col("IA_NAME").isNotNull()))
+    table.apply(0, part(0))
+    table.apply(1, part(1))
+    table.apply(2, part(2))
+    table.withdraw(9)
+    return table.summary()
+
+
 @register("agg05_spending_summary", "WORK_ID:i TOTAL_DISBURSED:m TRANSACTION_COUNT:i "
           "AVERAGE_TRANSACTION_AMOUNT:d MAX_TRANSACTION_AMOUNT:m MIN_TRANSACTION_AMOUNT:m "
           "VENDOR_COUNT:i EXPENDITURE_DATE_COUNT:i", None, sql=f"""

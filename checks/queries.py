@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 import pandas as pd
@@ -152,6 +152,50 @@ def _(c):
         c.spark, path, schema))
 
 
+@register("src10_raw_json_round_trip", "DTL_ID:s ORD:s SOURCE_KEY:s AMOUNT:s", None, sql="""
+SELECT DTL_ID, ORD, SOURCE_KEY, FUND_DISBURSED_AMT AS AMOUNT FROM raw""")
+def _(c):
+    path = f"{layer_root(c.spark)}/civitally/trip-{uuid.uuid4().hex}"
+    sinks.write_json(c.raw, path)
+    rows = landed.read_json_records(c.spark, path, c.raw.schema, multi_line=False)
+    return rows.select(F.col("WORK_RECOMMENDATION_DTL_ID").alias("DTL_ID"), F.col("_ord").alias("ORD"),
+                       F.col("_SOURCE_KEY").alias("SOURCE_KEY"), F.col("FUND_DISBURSED_AMT").alias("AMOUNT"))
+
+
+@register("src11_evidence_json_round_trip", "WORK_ID:i RATIO:d AMOUNT:m VALUES:i HELD:i", None, sql="""
+SELECT WORK_ID, CASE WHEN WORK_ID % 5 > 1 THEN CAST(SANCTION_AMOUNT AS DOUBLE) / 7 END AS RATIO, SANCTION_AMOUNT AS AMOUNT, 2 AS VALUES,
+  CASE WHEN WORK_ID % 5 > 1 AND SANCTION_AMOUNT IS NOT NULL THEN 1 ELSE 0 END AS HELD FROM works""")
+def _(c):
+    # nested numbers, of which some are no JSON numbers
+    path = f"{layer_root(c.spark)}/civitally/trip-{uuid.uuid4().hex}"
+    bad = F.when(F.col("WORK_ID") % 5 == 0, float("nan")).when(F.col("WORK_ID") % 5 == 1, float("-inf"))
+    ratio = F.coalesce(bad, F.col("SANCTION_AMOUNT").cast("double") / 7)
+    nested = c.works.select("WORK_ID", F.struct(ratio.alias("RATIO"), F.col("SANCTION_AMOUNT").alias("AMOUNT"),
+                                                F.array(ratio, F.lit(None)).alias("SERIES")).alias("FACTS"))
+    sinks.write_evidence_json(nested, path)
+    rows = landed.read_json_records(c.spark, path, nested.schema, multi_line=False)
+    return rows.select("WORK_ID", "FACTS.RATIO", "FACTS.AMOUNT", F.size("FACTS.SERIES").alias("VALUES"),
+                       F.size(F.array_compact("FACTS.SERIES")).alias("HELD"))
+
+
+@register("src14_preferred_columns", "FIRST:m SECOND:i THIRD:s", None, sql="""
+SELECT SANCTION_AMOUNT AS FIRST, WORK_ID AS SECOND, STATE_NAME AS THIRD FROM works""")
+def _(c):
+    # read by position, as a spreadsheet shows the columns
+    path = f"{layer_root(c.spark)}/civitally/trip-{uuid.uuid4().hex}"
+    table = c.works.select("WORK_ID", "STATE_NAME", "SANCTION_AMOUNT")
+    sinks.write_csv(sinks.order_columns(table, ["SANCTION_AMOUNT", "ABSENT"]), path)
+    return landed.read_csv_table(c.spark, path).toDF("FIRST", "SECOND", "THIRD")
+
+
+@register("cln17_infinite_is_missing", "WORK_ID:i VALUE:d", None, sql="""
+SELECT WORK_ID, CASE WHEN WORK_ID % 5 > 1 THEN CAST(SANCTION_AMOUNT AS DOUBLE) / 7 END AS VALUE FROM works""")
+def _(c):
+    bad = F.when(F.col("WORK_ID") % 5 == 0, float("inf")).when(F.col("WORK_ID") % 5 == 1, float("-inf"))
+    value = F.coalesce(bad, F.col("SANCTION_AMOUNT").cast("double") / 7)
+    return c.works.withColumn("VALUE", value).select("WORK_ID", fn.finite("VALUE").alias("VALUE"))
+
+
 @register("src04_text_csv_round_trip", "WORK_ID:s STATE_NAME:s AMOUNT:m", None, sql="""
 SELECT CAST(WORK_ID AS VARCHAR) AS WORK_ID, STATE_NAME, SANCTION_AMOUNT AS AMOUNT FROM works""")
 def _(c):
@@ -2331,6 +2375,49 @@ def _(c):
     return _fixed_ml(c)
 
 
+@register("src13_saved_forest_scores", "WORK_ID:i ML_ANOMALY_STRENGTH:d ML_PERCENTILE:d ML_ANOMALY:i", "ml", extra=FIXED_SQL)
+def _(c):
+    path, model = f"{layer_root(c.spark)}/civitally/forest-{uuid.uuid4().hex}", _fixed_forest(c)
+    model.save(c.spark, path)
+    loaded = forest.IsolationForest.load(c.spark, path, model.config)
+    return forest.score_forest(c.plan.features, loaded, c.settings.skew, store=settle)
+
+
+@register("ml08_contamination_share", "WORK_ID:i IF_DECISION_SCORE:d ML_ANOMALY:i", None, extra=FIXED_SQL, sql="""
+SELECT WORK_ID, CUT - S AS IF_DECISION_SCORE, CASE WHEN S > CUT THEN 1 ELSE 0 END AS ML_ANOMALY FROM (
+  SELECT WORK_ID, S, quantile_cont(S, 0.98e0) OVER () AS CUT FROM fxs)""")
+def _(c):
+    model = _fixed_forest(c)
+    model = replace(model, config=replace(model.config, contamination=0.02))
+    return forest.score_forest(c.plan.features, model, c.settings.skew, store=settle)
+
+
+@register("ml03_masked_peers", "WORK_ID:i " + " ".join(f"{k}:f" for k in forest.PEER_RELATIVE), None,
+          sql="SELECT WORK_ID, " + ", ".join(f"CASE WHEN PEER_COUNT >= 10 THEN {k} END AS {k}"
+                                             for k in forest.PEER_RELATIVE) + " FROM feat")
+def _(c):
+    return forest.mask_weak_peers(c.plan.features)
+
+
+_ROLES = {
+    "identifier": forest.IDENTIFIERS, "administrative": forest.ADMINISTRATIVE, "calendar": forest.CALENDAR,
+    "rule_derived": forest.RULE_DERIVED, "selected": [k for k in forest.CORE_FEATURES if k != "FLAG"],
+}
+
+
+@register("ml01_feature_selection", "FEATURE:s ROLE:s N:i", None, sql=" UNION ALL ".join(
+    f"SELECT '{k}' AS FEATURE, '{role}' AS ROLE, count({k}) AS N FROM feat" for role, ks in _ROLES.items() for k in ks))
+def _(c):
+    # every numeric column with a role, and how many works have a value
+    table = c.plan.features
+    roles = {k: r for k, r in forest.classify_columns(table).items()
+             if r in _ROLES and not k.startswith(forest.ADMINISTRATIVE_PREFIXES)}
+    one = table.agg(*[F.count(k).alias(k) for k in roles])
+    rows = F.array(*[F.struct(F.lit(k).alias("FEATURE"), F.lit(r).alias("ROLE"), F.col(k).alias("N"))
+                     for k, r in roles.items()])
+    return one.select(F.inline(rows))
+
+
 @register("ml10_fixed_audit_scores", "WORK_ID:i ISOLATION_FOREST_PREDICTION:i ISOLATION_FOREST_SCORE:d "
           "ISOLATION_FOREST_ANOMALY_FLAG:b ISOLATION_FOREST_RISK_LEVEL:s", None, extra={
     **FIXED_SQL, "fxscaled": """SELECT WORK_ID, S, round_even((S - min(S) OVER ()) / (max(S) OVER () - min(S) OVER ()) * 100e0, 2) AS R

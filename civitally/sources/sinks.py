@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,6 +40,26 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
+def _without_nan(value: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, T.FractionalType) and not isinstance(kind, T.DecimalType):
+        return F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)
+    if isinstance(kind, T.StructType):
+        inner = [_without_nan(value[f.name], f.dataType).alias(f.name) for f in kind.fields]
+        return F.when(value.isNotNull(), F.struct(*inner))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda v: _without_nan(v, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(value, lambda _, v: _without_nan(v, kind.valueType))
+    return value
+
+
+def write_evidence_json(df: DataFrame, path: str) -> None:
+    """Nested records as JSON that any reader takes: at every depth a number that JSON
+    cannot hold (NaN, infinities) is written as null."""
+    write_json(df.select(*[_without_nan(F.col(f"`{f.name}`"), f.dataType).alias(f.name)
+                           for f in df.schema.fields]), path)
+
+
 def flatten_struct(df: DataFrame, fields: dict[str, str]) -> DataFrame:
     """Select nested fields by path; arrays and structs become JSON text."""
     out = []

@@ -147,3 +147,22 @@ def test_small_tables_join_every_tree(spark):
     config = ForestConfig(trees=12, sample=64)
     df = spark.range(50).select(F.col("id").alias("WORK_ID"), F.lit(1.0).alias("x1"))
     assert forest.tree_samples(df, ["x1"], 50, config).select("tree", "WORK_ID").distinct().count() == 600
+
+
+def test_draws_of_columns_equal_draws_in_python(spark):
+    rows = [(1, 7, "feature"), (300, -5, "cut"), (0, 2**40, "ä:b")]
+    df = spark.createDataFrame(rows, "a int, b long, c string")
+    got = [r[0] for r in df.select(forest.drawn_column(F.col("a"), F.col("b"), F.col("c"))).collect()]
+    assert got == [forest.drawn(*r) for r in rows] and all(0 <= g < forest.DRAWS for g in got)
+
+
+def test_a_split_has_two_sides_and_columns_may_come_in_any_order(works, model):
+    near = np.array([[1.0], [np.nextafter(1.0, 2.0)]])
+    for tree in range(50):
+        nodes = forest.grow_tree(near, tree, 3, 8, 1, ["A"])
+        assert sorted(n[7] for n in nodes) == [1, 1, 2]
+    turned = forest.fit_forest(works, FEATURES[::-1], CONFIG)
+    a, b = (m.strength(works).orderBy("WORK_ID").collect() for m in (model, turned))
+    assert a == b
+    fewer = forest.grow_tree(np.random.default_rng(1).random((64, 5)), 1, 3, 8, 2, list("abcde"))
+    assert len({n[2] for n in fewer if n[2] >= 0}) == 2

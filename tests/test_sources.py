@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from civitally.sources import landed, sinks
@@ -87,3 +89,16 @@ def test_spread_of_sources(spark):
         dict(state_id=1, state_name="S", mp_id=2, mp_name="M", constituency_id=3, constituency="C"))
     assert tagged.first()["_CONSTITUENCY_ID"] == "3"
     assert tagged.select(F.col("_SOURCE_KEY")).first()[0] == "Works Completed"
+
+
+def test_evidence_json_holds_no_nan(spark, tmp_path):
+    nan, inf = float("nan"), float("inf")
+    df = spark.createDataFrame(
+        [(1, nan, (2.5, [nan, 1.0, -inf]), {"a": inf, "b": 3.0}), (2, 1.5, None, None)],
+        "`a.b` int, x double, s struct<y: double, z: array<double>>, m map<string, double>")
+    path = str(tmp_path / "e")
+    sinks.write_evidence_json(df, path)
+    lines = [json.loads(r[0], parse_constant=lambda c: pytest.fail(c)) for r in spark.read.text(path).collect()]
+    assert sorted(lines, key=lambda r: r["a.b"]) == [
+        {"a.b": 1, "x": None, "s": {"y": 2.5, "z": [None, 1.0, None]}, "m": {"a": None, "b": 3.0}},
+        {"a.b": 2, "x": 1.5, "s": None, "m": None}]

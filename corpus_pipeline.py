@@ -31,21 +31,26 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return line_dedup.drop_lines(docs)
 
 
-def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest id.
-    Documents without id stay. Where ids are repeated, each row is a document of its
-    own: it goes only if it is a near copy itself, and of equal rows one stays
-    (rows without words are near copies of nothing)."""
+def near_copies(
+    spark: SparkSession, docs: DataFrame, sf_dir: str,
+    words: int = jaccard.WORDS, percent: int = jaccard.PERCENT,
+) -> DataFrame:
+    """One document of each group of near copies, the one with the smallest id: texts
+    whose shingles of ``words`` words are alike by ``percent`` or more. Documents
+    without id stay. Where ids are repeated, each row is a document of its own: it goes
+    only if it is a near copy itself, and of equal rows one stays (rows without words
+    are near copies of nothing)."""
     repeated = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     if repeated.filter("n > 1").isEmpty():
-        found = jaccard.join(docs)
+        found = jaccard.join(docs, percent, words)
         gone = found.filter("component_id <> doc_id").select(F.col("doc_id").alias("gone"))
         return docs.join(gone, F.col("doc_id").cast("bigint") == F.col("gone"), "left_anti")
     row = hidden("row")
     rows = settle(docs.withColumn(row, F.monotonically_increasing_id()), "pipeline-rows")
     ids = rows.filter("doc_id is not null").select(F.col(row).alias("row"), "doc_id", "text")
-    found = settle(jaccard.join(ids.select(F.col("row").alias("doc_id"), "text")).select(
-        F.col("doc_id").alias("row"), F.col("component_id").alias("component")), "pipeline-classes")
+    found = settle(jaccard.join(
+        ids.select(F.col("row").alias("doc_id"), "text"), percent, words
+    ).select(F.col("doc_id").alias("row"), F.col("component_id").alias("component")), "pipeline-classes")
     best = found.join(ids.select("row", "doc_id"), "row").groupBy("component").agg(
         F.min(F.struct(F.col("doc_id").cast("bigint").alias("doc_id"), "row")).alias("best"))
     stays = best.select(F.col("best.row").alias(row))

@@ -11,8 +11,9 @@ from civitally.llm.common import table
 from civitally.session import settle
 
 from .conftest import SCHEMA, prose
+from . import test_jaccard
 from .test_filters import counts
-from .test_jaccard import brute
+from .test_jaccard import brute, word_set
 from .test_tokens import packed_well
 
 SMALL = "/root/testdata/sf0.01"
@@ -77,6 +78,17 @@ def test_near_copies_stage(steps):
     assert sorted(r["doc_id"] for r in steps[4].collect()) == want
 
 
+@pytest.mark.parametrize("repeated", [False, True])
+def test_near_copies_by_other_measures(spark, steps, monkeypatch, repeated):
+    """Five words and 80 %, where ids are unique and where a row is there twice."""
+    monkeypatch.setattr(test_jaccard, "word_set", lambda text: word_set(text, 5))
+    docs = steps[3].unionByName(steps[3].filter("doc_id = 1")) if repeated else steps[3]
+    want = sorted(i for i, _, c in brute([(r["doc_id"], r["text"]) for r in steps[3].collect()], 80) if i == c)
+    made = corpus_pipeline.near_copies(spark, docs, SMALL, words=5, percent=80)
+    kept = sorted(r["doc_id"] for r in made.collect())
+    assert kept == want and len(want) < steps[4].count()
+
+
 def test_packing_stage(steps):
     pieces = steps[5].collect()
     assert {r["doc_id"] for r in pieces} == {r["doc_id"] for r in steps[4].collect()}

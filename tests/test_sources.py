@@ -1,3 +1,4 @@
+import gzip
 import json
 
 import pytest
@@ -102,3 +103,14 @@ def test_evidence_json_holds_no_nan(spark, tmp_path):
     assert sorted(lines, key=lambda r: r["a.b"]) == [
         {"a.b": 1, "x": None, "s": {"y": 2.5, "z": [None, 1.0, None]}, "m": {"a": None, "b": 3.0}},
         {"a.b": 2, "x": 1.5, "s": None, "m": None}]
+
+
+def test_json_parts_are_compressed(spark, tmp_path):
+    df = spark.range(2000).selectExpr("cast(id as string) as A", *[f"cast(null as string) as ABSENT_{i}" for i in range(30)])
+    sinks.write_json(df.coalesce(1), str(tmp_path / "j"))
+    (part,) = (tmp_path / "j").glob("part-*")
+    lines = gzip.decompress(part.read_bytes()).decode().splitlines()
+    assert len(lines) == 2000 and json.loads(lines[7])["ABSENT_29"] is None and "ABSENT_29" in json.loads(lines[7])
+    assert part.stat().st_size * 20 < sum(map(len, lines))
+    back = landed.read_json_records(spark, str(tmp_path / "j"), df.schema, multi_line=False)
+    assert back.exceptAll(df).count() == 0 and back.count() == 2000

@@ -84,10 +84,22 @@ class Context:
         """Features with the stand-in model results."""
         return settle(self.plan.features.join(self.proxy_ml, "WORK_ID"), "analysis")
 
+    @cached_property
+    def index_path(self) -> str:
+        return f"{layer_root(self.spark)}/civitally/index-{uuid.uuid4().hex}"
+
+    @cached_property
+    def cube(self) -> DataFrame:
+        return index.write_cube(self.hybrid, self.index_path).cube
+
+    @cached_property
+    def pages(self) -> index.WorksIndex:
+        """The index without its postings and cube, which pages and totals do not read."""
+        return index.write_rows(self.hybrid, self.index_path, bucket_rows=2000)
+
     @cached_property
     def index(self) -> index.WorksIndex:
-        path = f"{layer_root(self.spark)}/civitally/index-{uuid.uuid4().hex}"
-        return index.write_index(self.hybrid, path, bucket_rows=2000)
+        return index.write_postings(self.pages)
 
     @cached_property
     def queue(self) -> DataFrame:

@@ -1169,7 +1169,7 @@ SELECT STATE_NAME, count(*) AS ANALYZED_WORKS, sum(INVESTIGATION_CANDIDATE) AS C
   round_even(sum(INVESTIGATION_CANDIDATE) * 1e0 / count(*) * 100e0 * 100e0, 0) / 100e0 AS CANDIDATE_RATE_PERCENT
 FROM hyb GROUP BY 1""")
 def _(c):
-    return index.cube_state_overview(c.index.cube)
+    return index.cube_state_overview(c.cube)
 
 
 @register("agg27_summary_from_cube", "TOTAL:i CRITICAL:i HIGH:i MEDIUM:i LOW:i NONE:i ALL_THREE:i "
@@ -1188,7 +1188,7 @@ FROM hyb WHERE INVESTIGATION_CANDIDATE = 1 AND lower(STATE_NAME) = 'nation_3'"""
 def _(c):
     # A fifth of the works go and come back, as in a reload.
     some = c.hybrid.filter("WORK_ID % 5 = 0")
-    cube = index.refresh_cube(c.index.cube, some, some.limit(0))
+    cube = index.refresh_cube(c.cube, some, some.limit(0))
     return index.cube_summary(index.refresh_cube(cube, some.limit(0), some), state=" Nation_3 ")
 
 
@@ -1196,21 +1196,21 @@ def _(c):
     f"SELECT DISTINCT '{k}' AS FACET, CAST({v} AS VARCHAR) AS VALUE FROM hyb WHERE INVESTIGATION_CANDIDATE = 1 "
     f"AND {v} <> ''" for k, v in search.FACETS.items()))
 def _(c):
-    return index.cube_filter_values(c.index.cube)
+    return index.cube_filter_values(c.cube)
 
 
 @register("srt06_deep_page", "WORK_ID:i HYBRID_RISK_SCORE:d IS_CANDIDATE:b", None, sql="""
 SELECT *, INVESTIGATION_CANDIDATE = 1 AS IS_CANDIDATE FROM hyb
 ORDER BY HYBRID_RISK_SCORE DESC, CAST(WORK_ID AS VARCHAR) LIMIT 100 OFFSET 1450""")
 def _(c):
-    return c.index.page("all", limit=100, offset=1450).rows
+    return c.pages.page("all", limit=100, offset=1450).rows
 
 
 @register("srt06_candidate_total", "TOTAL:i LIMIT:i OFFSET:i HAS_MORE:b", None, sql="""
 SELECT count(*) AS TOTAL, 50 AS "LIMIT", 100 AS "OFFSET", 150 < count(*) AS HAS_MORE FROM hyb
 WHERE INVESTIGATION_CANDIDATE = 1""")
 def _(c):
-    return c.index.page(limit=50, offset=100).meta
+    return c.pages.page(limit=50, offset=100).meta
 
 
 def _found(words: str) -> str:

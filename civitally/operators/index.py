@@ -3,13 +3,16 @@
 ``write_index`` lays a finished hybrid table out in four parts under one folder:
 
 * ``rows``: all works in page order (score descending, id as text), dealt by ranges of
-  that order into buckets, a folder each;
+  that order into buckets, a folder each (at most ``MOST_BUCKETS``);
 * ``cuts``: each bucket's works and candidates and how many come before it, so that a
   page opens the one or two buckets that hold it and the total needs no scan;
 * ``postings``, ``trigrams``: which works' joined text fields hold which three
   characters, in ranges of (trigram, work), and how many works hold each;
 * ``cube``: counts and score sums by all facets. Its rows are as many as combinations
   of facet values, whatever the number of works, and sums of it merge.
+
+``write_rows``, ``write_postings`` and ``write_cube`` write one part each, for a reader
+that needs no other.
 """
 
 from __future__ import annotations
@@ -25,6 +28,10 @@ from ..functions.scalar import round_even
 from . import search
 
 BUCKET_ROWS = 50_000
+#: Folders of the rows; more works than fill them make them larger.
+MOST_BUCKETS = 1_000
+#: Works whose postings one task sorts.
+POSTED_ROWS = 50_000
 #: So many of a query's trigrams are intersected, the rarest ones.
 RAREST = 3
 #: Beyond this share of all works, the rarest trigram helps less than reading them.
@@ -41,10 +48,10 @@ def _order() -> list[Column]:
 
 
 def trigrams(text: Column) -> Column:
-    """Distinct runs of three characters."""
-    starts = F.sequence(F.lit(1), F.length(text) - 2)
-    cut = F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(3))))
-    return F.when(F.length(text) >= 3, cut).otherwise(F.array().cast("array<string>"))
+    """Distinct runs of three characters. The look-ahead goes through the text once; a
+    substring for each start would count characters from the front every time."""
+    cut = F.regexp_extract_all(text, F.lit(r"(?s)(?=(...))."), F.lit(1))
+    return F.array_distinct(cut)
 
 
 def searched_text(df: DataFrame) -> Column:
@@ -111,37 +118,56 @@ def cube_filter_values(cube: DataFrame, **facets: str | None) -> DataFrame:
     return search.filter_values(cube_candidates(cube), **facets)
 
 
-def write_index(hybrid: DataFrame, path: str, bucket_rows: int = BUCKET_ROWS) -> WorksIndex:
-    """Write all parts; ``hybrid`` should be a stored layer, it is read three times."""
-    spark = hybrid.sparkSession
-    buckets = max(1, math.ceil(hybrid.count() / bucket_rows))
+def write_cube(hybrid: DataFrame, path: str) -> WorksIndex:
+    facet_cube(hybrid).write.mode("overwrite").parquet(f"{path}/cube")
+    return WorksIndex(hybrid.sparkSession, path)
+
+
+def write_rows(hybrid: DataFrame, path: str, bucket_rows: int = BUCKET_ROWS) -> WorksIndex:
+    """Rows in page order and the cuts; ``hybrid`` should be a stored layer."""
+    buckets = min(max(1, math.ceil(hybrid.count() / bucket_rows)), MOST_BUCKETS)
     ranged = hybrid.repartitionByRange(buckets, *_order()).withColumn("BUCKET", F.spark_partition_id())
     ranged.sortWithinPartitions("BUCKET", *_order()).write.mode("overwrite").partitionBy(
         "BUCKET").parquet(f"{path}/rows")
     # An empty partitioned table keeps no schema.
     ranged.limit(0).write.mode("overwrite").parquet(f"{path}/columns")
-    index = WorksIndex(spark, path)
-    rows = index.part("rows")
-    sizes = rows.groupBy("BUCKET").agg(
+    index = WorksIndex(hybrid.sparkSession, path)
+    sizes = index.part("rows").groupBy("BUCKET").agg(
         F.count(F.lit(1)).alias("WORKS"),
         F.count_if(F.col("INVESTIGATION_CANDIDATE") == 1).alias("CANDIDATES"),
     )
     before = Window.partitionBy(F.lit(0)).orderBy("BUCKET").rowsBetween(Window.unboundedPreceding, -1)
-    # One row for each bucket, so one task orders rows / bucket_rows of them.
+    # One row for each bucket, so one task orders MOST_BUCKETS of them at most.
     sizes.withColumns({
         "WORKS_BEFORE": F.coalesce(F.sum("WORKS").over(before), F.lit(0)),
         "CANDIDATES_BEFORE": F.coalesce(F.sum("CANDIDATES").over(before), F.lit(0)),
     }).coalesce(1).write.mode("overwrite").parquet(f"{path}/cuts")
-    held = rows.select("WORK_ID", "BUCKET", F.explode(trigrams(searched_text(rows))).alias("TRIGRAM"))
-    held.repartitionByRange("TRIGRAM", "WORK_ID").sortWithinPartitions("TRIGRAM", "WORK_ID").write.mode(
-        "overwrite").option("parquet.block.size", str(4 << 20)).parquet(f"{path}/postings")
-    spark.read.parquet(f"{path}/postings").groupBy("TRIGRAM").agg(
+    return index
+
+
+def write_postings(index: WorksIndex) -> WorksIndex:
+    """Postings of the stored rows and how many works hold each trigram. The texts are
+    dealt to tasks before they are cut, so that a work's many postings are not moved:
+    each file is in order of (trigram, work) and a search reads a few blocks of each."""
+    rows = index.part("rows")
+    works = index.part("cuts").agg(F.coalesce(F.sum("WORKS"), F.lit(0))).first()[0]
+    texts = rows.select("WORK_ID", "BUCKET", searched_text(rows).alias("_text"))
+    dealt = texts.repartition(max(1, math.ceil(works / POSTED_ROWS)), "WORK_ID")
+    dealt.select("WORK_ID", "BUCKET", F.explode(trigrams(F.col("_text"))).alias("TRIGRAM")).sortWithinPartitions(
+        "TRIGRAM", "WORK_ID").write.mode("overwrite").option("parquet.block.size", str(4 << 20)).parquet(
+        f"{index.path}/postings")
+    index.part("postings").groupBy("TRIGRAM").agg(
         F.count(F.lit(1)).alias("WORKS")).repartitionByRange("TRIGRAM").sortWithinPartitions(
-        "TRIGRAM").write.mode("overwrite").parquet(f"{path}/trigrams")
-    facet_cube(hybrid).coalesce(1).write.mode("overwrite").parquet(f"{path}/cube")
+        "TRIGRAM").write.mode("overwrite").parquet(f"{index.path}/trigrams")
     return index
 
 
+def write_index(hybrid: DataFrame, path: str, bucket_rows: int = BUCKET_ROWS) -> WorksIndex:
+    """Write all parts; ``hybrid`` should be a stored layer, it is read three times."""
+    write_cube(hybrid, path)
+    return write_postings(write_rows(hybrid, path, bucket_rows))
+
+
 @dataclass(frozen=True)
 class WorksIndex:
     """Reads what ``write_index`` wrote."""

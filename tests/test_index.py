@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from civitally.operators import index, search
 
@@ -117,3 +118,26 @@ def test_empty_index(works, tmp_path):
     stored = index.write_index(works.limit(0), str(tmp_path))
     assert stored.page("all").rows.count() == 0 and stored.page().meta.first()["TOTAL"] == 0
     assert stored.find("road").count() == 0 and index.cube_summary(stored.cube).first()["TOTAL"] == 0
+
+
+def test_each_part_is_written_alone(works, tmp_path):
+    cube = index.write_cube(works, str(tmp_path / "c"))
+    assert [p.name for p in (tmp_path / "c").iterdir()] == ["cube"]
+    assert rows(index.cube_state_overview(cube.cube)) == rows(search.state_overview(works))
+    pages = index.write_rows(works, str(tmp_path / "p"), bucket_rows=60)
+    assert {p.name for p in (tmp_path / "p").iterdir()} == {"rows", "columns", "cuts"}
+    assert rows(pages.page("all", 7, 118).rows) == rows(search.query_works(works, scope="all", limit=7, offset=118).rows)
+
+
+def test_folders_are_bounded(works, tmp_path, monkeypatch):
+    monkeypatch.setattr(index, "MOST_BUCKETS", 4)
+    pages = index.write_rows(works, str(tmp_path), bucket_rows=2)
+    assert pages.part("rows").select("BUCKET").distinct().count() <= 4 and pages.part("rows").count() == 600
+
+
+def test_trigrams_are_whole_characters(spark):
+    texts = ["", "ab", "abc", "aaaa", "a\nbc", "x😀y😀z", "😀😀😀😀", "日本語の道", None]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", index.trigrams(F.col("t")).alias("g"))
+    for r in got.collect():
+        want = {r["t"][i:i + 3] for i in range(len(r["t"]) - 2)} if r["t"] is not None else set()
+        assert set(r["g"] or []) == want and len(r["g"] or []) == len(want), r

@@ -98,6 +98,19 @@ def test_payment_summary_keeps_unreadable_totals_missing(spark):
     assert (got[2]["UNIQUE_VENDOR_COUNT"], got[2]["UNIQUE_VENDOR_NAME_COUNT"]) == (2, 2)
 
 
+def test_payment_summary_counts_vendors_on_short_rows(spark):
+    rows = [(None, 1, "A", 1, "p"), (None, 2, "A", 2, None), (0, 1, "A", 3, None), (0, 1, "B", 4, "q"), (0, None, None, 5, "r")]
+    df = spark.createDataFrame(rows, "WORK_ID long, VENDOR_ID long, VENDOR_NAME string, o int, LETTER_NO string").selectExpr(
+        "*", "cast(1 as decimal(18,2)) as FUND_DISBURSED_AMT", "date'2024-01-01' as EXPENDITURE_DATE", "'x' as WORK_STATUS")
+    summary = aggregates.payment_summary(df, ["o"])
+    names = ["WORK_ID", "PAYMENT_COUNT", "UNIQUE_VENDOR_COUNT", "UNIQUE_VENDOR_NAME_COUNT", "PAYMENT_LETTER_NO"]
+    got = sorted(([r[n] for n in names] for r in summary.collect()), key=str)
+    assert got == [[0, 3, 1, 2, "q"], [None, 2, 2, 1, "p"]]
+    plan = summary._jdf.queryExecution().optimizedPlan().toString()
+    expanded = [line for line in plan.splitlines() if "Expand" in line]
+    assert len(expanded) == 1 and "LETTER_NO" not in expanded[0] and "struct" not in expanded[0]
+
+
 def test_possible_duplicates_flag_every_member(spark):
     df = spark.createDataFrame([(1, "x"), (1, "x"), (1, "y"), (None, "x"), (None, "x")], "k int, t string").withColumn(
         "id", F.monotonically_increasing_id()

@@ -603,7 +603,7 @@ SELECT CASE WHEN PEER_COUNT >= 30 THEN '30+' WHEN PEER_COUNT >= 10 THEN '10-29'
   {S.median('DATA_COMPLETENESS_RATIO')} AS MEDIAN_COMPLETENESS,
   sum(ML_ANOMALY) * 1e0 / count(*) * 100 AS ML_ANOMALY_RATE_PERCENT FROM analysis GROUP BY 1""")
 def _(c):
-    return reports.peer_band_diagnostic(c.analysis)
+    return reports.peer_band_diagnostic(c.analysis_of(*reports.PEER_BAND_FEATURES))
 
 
 def _melt_sql(columns, source: str = "analysis", *carry: str) -> str:
@@ -628,7 +628,7 @@ SELECT *, CASE WHEN NORMAL_MEDIAN <> 0 THEN ANOMALY_MEDIAN / NORMAL_MEDIAN END A
   abs(CASE WHEN NORMAL_MEDIAN <> 0 THEN ANOMALY_MEDIAN / NORMAL_MEDIAN END - 1) AS ABS_MEDIAN_RATIO_DISTANCE
 FROM sides WHERE ANOMALY_COUNT > 0 AND NORMAL_COUNT > 0""")
 def _(c):
-    return reports.anomaly_comparison(c.analysis)
+    return reports.anomaly_comparison(c.analysis_of(*reports.DIAGNOSTIC_FEATURES))
 
 
 # Every numeric feature by name, for the SQL twins; the plans find them by their type.

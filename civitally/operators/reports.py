@@ -230,6 +230,12 @@ def peer_band(count: Column) -> Column:
     return F.when(count >= 30, "30+").when(count >= 10, "10-29").otherwise("0-9")
 
 
+# Features that the table of peer bands reads.
+PEER_BAND_FEATURES = (
+    "PEER_COUNT", "SANCTION_AMOUNT", "PAYMENT_COUNT", "UNIQUE_VENDOR_COUNT", "DATA_COMPLETENESS_RATIO",
+)
+
+
 def peer_band_diagnostic(analysis: DataFrame, skew: Skew = Skew()) -> DataFrame:
     medians = {
         "s": ("SANCTION_AMOUNT", [0.5], ["MEDIAN_SANCTION"]),

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from checks.context import Context
 from civitally.config import ForestConfig, Settings
-from civitally.operators import aggregates, cleaning, features, forest, fusion, search
+from civitally.operators import aggregates, cleaning, features, forest, fusion, reports, search
 from civitally.plans.national import NationalPlan
 from civitally.plans.publish import publish
 from civitally.sources import landed, schemas, testbed
@@ -165,3 +165,10 @@ def test_stored_values_and_levels(spark):
     df = spark.createDataFrame([("", 70.0), ("LOW", 70.0), (None, None)], "HYBRID_RISK_LEVEL string, HYBRID_RISK_SCORE double")
     got = df.select(search.stored_level(df).alias("l"), cleaning.api_value("HYBRID_RISK_LEVEL").alias("v")).collect()
     assert [(r["l"], r["v"]) for r in got] == [("CRITICAL", None), ("LOW", "LOW"), (None, None)]
+
+
+def test_narrow_analysis_holds_only_what_a_report_reads(context):
+    narrow = context.analysis_of(*reports.PEER_BAND_FEATURES)
+    assert set(narrow.columns) == {"WORK_ID", "ML_ANOMALY", *reports.PEER_BAND_FEATURES}
+    wide = context.analysis.select(narrow.columns)
+    assert narrow.count() == wide.count() and narrow.exceptAll(wide).count() == 0

@@ -78,11 +78,13 @@ def attach_group_stats(
     source: DataFrame | None = None,
     skew: Skew = Skew(),
     small: bool = False,
+    hashed: bool = False,
 ) -> DataFrame:
     """Left join per-group statistics onto rows.
 
     ``small`` statistics (see ``kept_stats``) are broadcast, so that the rows stay
-    where they are. Else hot groups are salted: ``size`` is the statistics column with the group's row count and ``spread``
+    where they are. Else ``hashed`` asks for a hash table of each partition's
+    statistics, so that wide rows need no sort; and hot groups are salted: ``size`` is the statistics column with the group's row count and ``spread``
     a row column whose hash distributes a hot group over its salts. ``source``
     is a cheap table with the same groups (default: the rows), from which hot
     groups are counted; a large group of NULL keys is salted as well.
@@ -97,6 +99,8 @@ def attach_group_stats(
     )
     copies = F.greatest(F.ceil(F.col(size) / skew.hot_rows), F.lit(1)).cast("int")
     salted_stats = stats.withColumn("_salt", F.explode(F.sequence(F.lit(0), copies - 1)))
+    if hashed:
+        salted_stats = salted_stats.hint("shuffle_hash")
     return null_safe_join(
         salted_rows.drop("_splits"), salted_stats, [*keys, "_salt"], "left"
     ).drop("_salt")

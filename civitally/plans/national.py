@@ -40,8 +40,8 @@ RULE_TABLE_COLUMNS = (
 class NationalPlan:
     """Lazily built layers over works, payments and completions.
 
-    ``financial``, ``features``, ``detected`` and ``ml`` are settled as Parquet
-    because several aggregations read them; the rest stays lazy. ``rejected``
+    ``financial``, ``features``, ``model_table``, ``detected`` and ``ml`` are settled
+    as Parquet because several aggregations read them; the rest stays lazy. ``rejected``
     holds what was set aside on the way in, by name. Works and completions must
     be unique on WORK_ID; tables given by hand are checked once (``verified``
     says that they were built unique).
@@ -108,22 +108,53 @@ class NationalPlan:
         return self.store(self.financial_plan, "financial")
 
     @cached_property
-    def features_plan(self) -> DataFrame:
+    def peers(self) -> tuple[DataFrame, bool]:
+        """Stored peer statistics, and whether they may be broadcast."""
+        return features.stored_peers(
+            self.financial, self.settings.peer_keys, self.settings.normalize_activity,
+            self.settings.skew, self.store,
+        )
+
+    def _features(self, groups: bool) -> DataFrame:
         return features.build_features(
             self.financial,
             peer_keys=self.settings.peer_keys,
             normalize_activity=self.settings.normalize_activity,
             skew=self.settings.skew,
             store=self.store,
+            peers=self.peers,
+            groups=groups,
         )
 
+    @cached_property
+    def features_plan(self) -> DataFrame:
+        return self._features(groups=True)
+
     @cached_property
     def features(self) -> DataFrame:
         return self.store(self.features_plan, "features")
 
+    @property
+    def measured(self) -> DataFrame:
+        """Own and peer features, which are all that detectors and models read.
+
+        These are the stored features if they are there. Else they are derived from
+        the financial rows as they are read, and nothing wide is written for them.
+        """
+        return self.features if "features" in self.__dict__ else self._features(groups=False)
+
+    @cached_property
+    def model_table(self) -> DataFrame:
+        """WORK_ID and the model's features, stored as every step of the fit reads them."""
+        if "features" in self.__dict__:
+            return self.features
+        rows = self.measured
+        kept = [c for c in rows.columns if c == "WORK_ID" or c in forest.CORE_FEATURES]
+        return self.store(rows.select(*kept), "model_table")
+
     @cached_property
     def rules(self) -> DataFrame:
-        return rules.score_rules(self.features, self.settings.rules)
+        return rules.score_rules(self.measured, self.settings.rules)
 
     @cached_property
     def rule_table(self) -> DataFrame:
@@ -132,15 +163,15 @@ class NationalPlan:
 
     @cached_property
     def statistics(self) -> DataFrame:
-        return self._statistics(self.features)
+        return self._statistics(self.measured)
 
     def _statistics(self, df: DataFrame) -> DataFrame:
+        stored = "features" in self.__dict__
+        rows = self.features if stored else features.row_features(self.financial)
         return statistics.score_statistics(
             df,
             self.settings.stats,
-            thresholds=statistics.tail_thresholds(
-                self.features, self.settings.stats, self.settings.skew
-            ),
+            thresholds=statistics.tail_thresholds(rows, self.settings.stats, self.settings.skew),
             peer_keys=self.settings.peer_keys,
             skew=self.settings.skew,
         )
@@ -166,13 +197,13 @@ class NationalPlan:
         return preprocess.require_inputs(self.store(table, "model_inputs"))
 
     def forest(self) -> forest.IsolationForest:
-        return forest.fit_forest(self.features, config=self.settings.forest)
+        return forest.fit_forest(self.model_table, config=self.settings.forest)
 
     @cached_property
     def ml(self) -> DataFrame:
         return self.store(
             forest.score_forest(
-                self.features, self.forest(), self.settings.skew, store=self.store
+                self.model_table, self.forest(), self.settings.skew, store=self.store
             ),
             "ml",
         )

@@ -1,13 +1,16 @@
 """Whole-plan properties on the smallest data set."""
 
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
 from checks.context import Context
-from civitally.config import ForestConfig, Settings
+from civitally.config import ForestConfig, Settings, Skew
 from civitally.operators import aggregates, cleaning, features, forest, fusion, reports, search
 from civitally.plans.national import NationalPlan
 from civitally.plans.publish import publish
+from civitally.session import settle
 from civitally.sources import landed, schemas, testbed
 
 FAST = Settings(forest=ForestConfig(trees=40, sample=64))
@@ -172,3 +175,41 @@ def test_narrow_analysis_holds_only_what_a_report_reads(context):
     assert set(narrow.columns) == {"WORK_ID", "ML_ANOMALY", *reports.PEER_BAND_FEATURES}
     wide = context.analysis.select(narrow.columns)
     assert narrow.count() == wide.count() and narrow.exceptAll(wide).count() == 0
+
+
+def recorded(context, skew=None):
+    """A plan over the same tables and the labels of the layers that it stores."""
+    labels = []
+
+    def store(df, label):
+        labels.append(label)
+        return settle(df, label)
+
+    settings = FAST if skew is None else replace(FAST, skew=skew)
+    plan = NationalPlan(context.works, context.payments, context.completions, testbed.PAYMENT_ORDER,
+                        settings, store=store)
+    return plan, labels
+
+
+def test_detectors_and_model_store_no_wide_features(context):
+    plan, labels = recorded(context)
+    detected = plan.detected
+    plan.forest()
+    assert not {"features", "group_profile"} & set(labels) and labels.count("peer_stats") == 1
+    full, _ = recorded(context)
+    assert full.features.count() == context.works.count()
+    assert detected.exceptAll(full.detected).count() == 0 == full.detected.exceptAll(detected).count()
+    kept = plan.model_table.columns
+    assert forest.model_features(plan.model_table) == forest.model_features(full.features)
+    money = [c for c in kept if plan.model_table.schema[c].dataType.typeName() != "double"]
+    assert plan.model_table.select(money).exceptAll(full.features.select(money)).count() == 0
+
+
+def test_wide_rows_are_not_sorted_for_their_groups(context):
+    # no group is small enough to be sent, and none is hot
+    plan, _ = recorded(context, Skew(sent_rows=0))
+    text = plan.features_plan._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in text and "SortMergeJoin" not in text
+    columns = [f.name for f in plan.features.schema.fields if f.dataType.typeName() not in ("double", "array")]
+    assert plan.features.columns == context.plan.features.columns
+    assert plan.features.select(columns).exceptAll(context.plan.features.select(columns)).count() == 0

@@ -16,7 +16,7 @@ from civitally.config import FusionConfig, Skew
 from civitally.functions import scalar as fn
 from civitally.functions import text as tx
 from civitally.operators import (
-    aggregates, audit, cleaning, evidence, explain, features, forest, fusion, index, joining,
+    aggregates, audit, cleaning, columns, evidence, explain, features, forest, fusion, index, joining,
     preprocess, ranking, reports, rules, search, statistics,
 )
 from civitally.plans.national import NationalPlan
@@ -2317,12 +2317,12 @@ def _cut(q: Column) -> Column:
 
 
 def _fixed_forest(c) -> forest.IsolationForest:
-    df = c.plan.features
+    # all three are columns of the financial rows; their quantiles come from histograms
     probs = sorted({p for t in range(FIXED_TREES) for p in _fixed_shape(t)[1::2]} | {0.5})
-    row = df.agg(*[F.percentile(F.col(f).cast("double"), F.array(*map(F.lit, probs))).alias(f)
-                   for f in FIXED_FEATURES])
-    row = row.select(*[F.transform(f, _cut).alias(f) for f in FIXED_FEATURES]).first()
-    at = lambda f, p: row[FIXED_FEATURES[f]][probs.index(p)]
+    marks = [f"_q{i}" for i in range(len(probs))]
+    found = columns.column_quantiles(c.plan.financial, FIXED_FEATURES, probs, marks)
+    row = {r["COLUMN"]: r for r in found.select("COLUMN", *[_cut(F.col(m)).alias(m) for m in marks]).collect()}
+    at = lambda f, p: row[FIXED_FEATURES[f]][marks[probs.index(p)]]
     nodes = []
     for t in range(FIXED_TREES):
         f, p, g, q, sizes = _fixed_shape(t)
@@ -2365,7 +2365,7 @@ FIXED_SQL = _fixed_sql()
 
 
 def _fixed_ml(c) -> DataFrame:
-    return forest.score_forest(c.plan.features, _fixed_forest(c), c.settings.skew, store=settle)
+    return forest.score_forest(c.plan.financial, _fixed_forest(c), c.settings.skew, store=settle)
 
 
 @register("ml06_fixed_forest_scores", "WORK_ID:i ML_ANOMALY_STRENGTH:d IF_DECISION_SCORE:d ML_PERCENTILE:d "
@@ -2380,7 +2380,7 @@ def _(c):
     path, model = f"{layer_root(c.spark)}/civitally/forest-{uuid.uuid4().hex}", _fixed_forest(c)
     model.save(c.spark, path)
     loaded = forest.IsolationForest.load(c.spark, path, model.config)
-    return forest.score_forest(c.plan.features, loaded, c.settings.skew, store=settle)
+    return forest.score_forest(c.plan.financial, loaded, c.settings.skew, store=settle)
 
 
 @register("ml08_contamination_share", "WORK_ID:i IF_DECISION_SCORE:d ML_ANOMALY:i", None, extra=FIXED_SQL, sql="""
@@ -2389,7 +2389,7 @@ SELECT WORK_ID, CUT - S AS IF_DECISION_SCORE, CASE WHEN S > CUT THEN 1 ELSE 0 EN
 def _(c):
     model = _fixed_forest(c)
     model = replace(model, config=replace(model.config, contamination=0.02))
-    return forest.score_forest(c.plan.features, model, c.settings.skew, store=settle)
+    return forest.score_forest(c.plan.financial, model, c.settings.skew, store=settle)
 
 
 @register("ml03_masked_peers", "WORK_ID:i " + " ".join(f"{k}:f" for k in forest.PEER_RELATIVE), None,
@@ -2426,7 +2426,7 @@ SELECT WORK_ID, CASE WHEN S > 0.5e0 THEN -1 ELSE 1 END AS ISOLATION_FOREST_PREDI
   S > 0.5e0 AS ISOLATION_FOREST_ANOMALY_FLAG, CASE WHEN R >= 80 THEN 'CRITICAL' WHEN R >= 60 THEN 'HIGH'
   WHEN R >= 40 THEN 'MEDIUM' ELSE 'LOW' END AS ISOLATION_FOREST_RISK_LEVEL FROM fxscaled""")
 def _(c):
-    return forest.score_audit_forest(c.plan.features, _fixed_forest(c), store=settle)
+    return forest.score_audit_forest(c.plan.financial, _fixed_forest(c), store=settle)
 
 
 @register("hy01_hybrid_with_fixed_forest", "WORK_ID:i HYBRID_RISK_SCORE:d HYBRID_RISK_LEVEL:s "
@@ -2502,7 +2502,7 @@ def _(c):
 def _(c):
     s = c.plan.settings.forest
     return reports.ml_distribution(
-        c.plan.ml, len(forest.model_features(c.plan.features)), s.contamination, s.trees
+        c.plan.ml, len(forest.model_features(c.plan.model_table)), s.contamination, s.trees
     )
 
 

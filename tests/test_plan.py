@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from checks.context import Context
+from checks.queries import REGISTRY
 from civitally.config import ForestConfig, Settings, Skew
 from civitally.operators import aggregates, cleaning, features, forest, fusion, reports, search
 from civitally.plans.national import NationalPlan
@@ -213,3 +214,13 @@ def test_wide_rows_are_not_sorted_for_their_groups(context):
     columns = [f.name for f in plan.features.schema.fields if f.dataType.typeName() not in ("double", "array")]
     assert plan.features.columns == context.plan.features.columns
     assert plan.features.select(columns).exceptAll(context.plan.features.select(columns)).count() == 0
+
+
+def test_fixed_forest_takes_its_cuts_from_histograms(context, monkeypatch):
+    def refused(*_):
+        raise AssertionError("all values of a column in one aggregate")
+
+    monkeypatch.setattr(F, "percentile", refused)
+    fresh = Context(context.spark, context.dir, FAST)
+    got = REGISTRY["ml06_fixed_forest_scores"].build(fresh)
+    assert got.count() == context.works.count() and "features" not in fresh.plan.__dict__

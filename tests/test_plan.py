@@ -224,3 +224,27 @@ def test_fixed_forest_takes_its_cuts_from_histograms(context, monkeypatch):
     fresh = Context(context.spark, context.dir, FAST)
     got = REGISTRY["ml06_fixed_forest_scores"].build(fresh)
     assert got.count() == context.works.count() and "features" not in fresh.plan.__dict__
+
+
+def test_first_generation_payments_and_scores_need_no_extra_pass(spark, small_dir):
+    regional = Context(spark, small_dir, FAST).regional
+    spending = regional.spending
+    assert "min_by" not in spending._jdf.queryExecution().optimizedPlan().toString()
+    twice = regional.transactions.unionByName(regional.transactions.withColumn("_ord", F.concat("_ord", F.lit("b"))))
+    want = aggregates.spending_summary(cleaning.dedup_payments(
+        twice.select("WORK_ID", "VENDOR_ID", "FUND_DISBURSED_AMT", "EXPENDITURE_DATE", "_ord"), ["_ord"]))
+    regional.__dict__["transactions"] = twice
+    regional.__dict__.pop("spending")
+    assert regional.spending.exceptAll(want).count() == 0 == want.exceptAll(regional.spending).count()
+    ml = regional.features.select("WORK_ID").withColumns({
+        "ISOLATION_FOREST_SCORE": F.lit(50.0), "ISOLATION_FOREST_RISK_LEVEL": F.lit("MEDIUM"),
+        "ISOLATION_FOREST_ANOMALY_FLAG": F.lit(False), "ISOLATION_FOREST_REASON": F.lit("x"),
+    })
+    hybrid = regional.hybrid_with(ml)
+    assert hybrid._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    rules_only = ["WORK_ID", *[c for c in regional.rules.columns if c.startswith("RULE_")], "DATA_QUALITY_SCORE"]
+    stats_only = ["WORK_ID", *[c for c in regional.statistics.columns if c.startswith("STATISTICAL_")]]
+    joined = fusion.fuse_audit(regional.rules.select(rules_only), regional.statistics.select(stats_only), ml, "WORK_ID")
+    columns = [c for c in hybrid.columns if c in joined.columns]
+    assert len(columns) == len(hybrid.columns)
+    assert hybrid.exceptAll(joined.select(hybrid.columns)).count() == 0 and hybrid.count() == joined.count()

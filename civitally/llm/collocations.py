@@ -45,6 +45,7 @@ from civitally.session import settle
 LEAST, LONGEST, SHARE, TOP = 30, 4, 80, 2000
 FILTER_BITS = 1 << 25
 BLOCK_BITS = 1 << 19
+TRIES = 3
 SHARD_WORDS = 1_000_000
 SLICE_DOCS = 2000
 BREAK = b"."
@@ -157,12 +158,17 @@ def frequent_keys(docs: DataFrame, least: int) -> DataFrame:
         "slice").applyInArrow(add, "key bigint")
 
 
-def places(keys: np.ndarray, bits: int) -> np.ndarray:
-    """Three places of each key in a filter of ``bits`` (a power of two) bits."""
-    keys = keys.view(np.uint64)
-    step = (keys >> np.uint64(33)) | np.uint64(1)
-    tries = np.arange(3, dtype=np.uint64)[:, None]
-    return ((keys + tries * step) & np.uint64(bits - 1)).astype(np.int64)
+def filter_words(keys: DataFrame, bits: int) -> DataFrame:
+    """slot, value: the 64-bit words of a filter of ``bits`` (a power of two) bits, with
+    ``TRIES`` bits for each key. Spark's own columns, as a second Python function behind
+    the one that counts would be a second Python worker for each task."""
+    last = F.lit(bits - 1).cast("bigint")
+    key = F.col("key").bitwiseAND(last)
+    step = F.shiftrightunsigned("key", 33).bitwiseOR(F.lit(1).cast("bigint"))
+    at = F.explode(F.array(*[(key + step * t).bitwiseAND(last) for t in range(TRIES)]))
+    value = F.expr("shiftleft(1L, cast(at & 63 as int))")
+    return keys.select(at.alias("at")).select(F.shiftright("at", 6).alias("slot"), value.alias("value")
+                                              ).groupBy("slot").agg(F.bit_or("value").alias("value"))
 
 
 def bloom(keys: DataFrame, bits: int) -> np.ndarray:
@@ -170,13 +176,6 @@ def bloom(keys: DataFrame, bits: int) -> np.ndarray:
     them; the driver gets ``bits`` bits in blocks, whatever the number of keys."""
     block_bits = min(bits, BLOCK_BITS)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = np.unique(places(batch.column("key").to_numpy(), bits))
-            value = np.uint64(1) << (at & 63).astype(np.uint64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(at >> 6), pa.array(value.view(np.int64))], names=["slot", "value"])
-
     def block(rows: pa.Table) -> pa.Table:
         slot = rows.column("slot").to_numpy()
         words = np.zeros(block_bits // 64, np.int64)
@@ -184,10 +183,8 @@ def bloom(keys: DataFrame, bits: int) -> np.ndarray:
         return pa.table({"block": pa.array([slot[0] // len(words)], pa.int64()),
                          "data": pa.array([words.tobytes()], pa.binary())})
 
-    slots = keys.mapInArrow(run, "slot bigint, value bigint").groupBy("slot").agg(
-        F.bit_or("value").alias("value"))
     of_block = F.floor(F.col("slot") * 64 / block_bits)
-    blocks = slots.groupBy(of_block).applyInArrow(block, "block bigint, data binary")
+    blocks = filter_words(keys, bits).groupBy(of_block).applyInArrow(block, "block bigint, data binary")
     table = np.zeros(bits // 8, np.uint8)
     for row in blocks.collect():
         at = row["block"] * block_bits // 8
@@ -196,8 +193,16 @@ def bloom(keys: DataFrame, bits: int) -> np.ndarray:
 
 
 def holds(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = places(keys, len(table) * 8)
-    return ((table[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=0)
+    """Whether the filter holds each key; one try after another, in few arrays."""
+    keys = keys.view(np.uint64)
+    last, step = np.uint64(len(table) * 8 - 1), (keys >> np.uint64(33)) | np.uint64(1)
+    found, reached = np.ones(len(keys), bool), keys.copy()
+    for _ in range(TRIES):
+        at = reached & last
+        bit = table[(at >> np.uint64(3)).view(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)
+        found &= (bit & 1).view(bool)
+        reached += step
+    return found
 
 
 def grown(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

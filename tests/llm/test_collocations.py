@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -100,6 +101,31 @@ def test_filter_has_no_false_negatives(spark):
     assert collocations.holds(table, others).mean() < 0.01
 
 
+def test_filter_needs_no_second_python_worker(spark):
+    """The filter's bits are made by Spark, behind the Python function that counts."""
+    rng = np.random.default_rng(2)
+    keys = rng.integers(-(2**63), 2**63 - 1, 300)
+    keys[:3] = [-1, 0, -(2**63)]
+    docs = spark.createDataFrame([(1, "a b " * 40, "en", "s", 0)], SCHEMA)
+    counted = collocations.filter_words(collocations.frequent_keys(docs, 2), 1 << 16)
+    plan = counted._jdf.queryExecution().toString().partition("Physical Plan")[2]
+    assert plan.count("FlatMapGroupsInArrow") == 1 and plan.count("MapInArrow") == 1
+    words = collocations.filter_words(
+        spark.createDataFrame([(int(k),) for k in keys], "key bigint"), 1 << 16)
+    bits = {r["slot"] * 64 + i for r in words.collect() for i in range(64) if r["value"] >> i & 1}
+    assert bits == {((k % 2**64) + t * ((k % 2**64) >> 33 | 1)) % (1 << 16)
+                    for k in map(int, keys) for t in range(3)}
+
+
+def test_filter_is_read_in_few_arrays():
+    keys = np.arange(200_000)
+    tracemalloc.start()
+    collocations.holds(np.zeros(1 << 13, np.uint8), keys)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 45 * len(keys)
+
+
 def test_states_of_ranges_are_joined(spark):
     paths = [("en\ta\t" + f"w{i:03}\t" * 2, 1) for i in range(200)] + [("en\ta\t", 5), ("en\t", 9)]
     paths += [("en\ta\x01\t", 2), ("a%09b\tx\t", 4)]

@@ -10,7 +10,9 @@ in two steps:
   groups. The content of a group is the key of a cell. Each cell has its
   smallest document as centre; centre and members are candidates, so a cell of
   any size gives as many pairs as it has members, and a chunk of documents sends
-  a cell one row only.
+  a cell one row only. Linked sets agree in a number of groups, not in one only, so
+  a document leaves as many of its most crowded cells but one (those of a passage
+  that many texts quote), and all of them if it has no more.
 * **Count trees.** Where members of a centre's cells did not link with it, the
   documents around that centre are packed into a tree of bounding boxes over
   their group counts, and it is searched for partners in other components by
@@ -117,12 +119,13 @@ class Bands:
         return [k, k - 1] if below else [k]
 
 
-def cells(tokens: np.ndarray, bands: Bands) -> tuple[np.ndarray, bool]:
-    """The keys of a set's cells, and whether they are too few for its size."""
+def cells(tokens: np.ndarray, bands: Bands) -> tuple[np.ndarray, bool, int]:
+    """The keys of a set's cells, whether they are too few for its size, and how many of
+    them a linked set shares at least: each token that differs spoils one cell."""
     n = len(tokens)
     if not n:
-        return np.zeros(0, np.int64), False
-    out, weak = [], False
+        return np.zeros(0, np.int64), False, 1
+    out, weak, common = [], False, []
     inner = mix(tokens + K2)
     for turn, k in enumerate(bands.of(n)):
         group = ((tokens >> np.uint64(32)) * np.uint64(bands.groups[k])) >> np.uint64(32)
@@ -132,9 +135,11 @@ def cells(tokens: np.ndarray, bands: Bands) -> tuple[np.ndarray, bool]:
         with np.errstate(over="ignore"):
             content = np.add.reduceat(inner, starts) + group[starts] * K1 + np.uint64(k) * K2
         out.append(mix(content)[keep])
+        # The smaller set of a linked pair is in this band, if the pair meets here.
+        common.append(int(keep.sum()) - bands.differ(min(n, bands.lows[k + 1] - 1)))
         if turn == 0:
-            weak = int(keep.sum()) <= bands.differ(n)
-    return np.concatenate(out).view(np.int64), weak
+            weak = common[0] <= 0
+    return np.concatenate(out).view(np.int64), weak, max(1, min(common))
 
 
 def counts_of(tokens: np.ndarray) -> np.ndarray:
@@ -147,20 +152,22 @@ def unpack(counts: bytes) -> np.ndarray:
     return np.frombuffer(counts, kind).astype(np.int32)
 
 
-LAYER = ("doc_id bigint, n_shingles bigint, copy_of bigint, weak boolean, counts binary, "
-         "cells array<bigint>, met array<bigint>, met_by array<bigint>")
+LAYER = ("doc_id bigint, n_shingles bigint, copy_of bigint, weak boolean, common int, lent int, "
+         "counts binary, cells array<bigint>, met array<bigint>, met_by array<bigint>")
 
 
 def describe(docs: DataFrame, bands: Bands, words: int) -> DataFrame:
     """One row for each document: set size, counts, and cells. Within a chunk the
     first document of a cell keeps it; the others note that document. A copy of an
-    earlier set of the chunk notes only whose copy it is."""
+    earlier set of the chunk notes only whose copy it is. ``common``: the least cells
+    it shares with a linked set; ``lent``: its kept cells that others noted."""
 
     def rows(batch: pa.RecordBatch) -> dict:
         ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
         n = len(ids)
         size, weak, counts = [0] * n, [False] * n, [b""] * n
         copy_of: list = [None] * n
+        common = [1] * n
         keys, first = [np.zeros(0, np.int64)] * n, {}
         for i, text in enumerate(texts):
             tokens = shingles(text.as_py(), words)
@@ -171,19 +178,22 @@ def describe(docs: DataFrame, bands: Bands, words: int) -> DataFrame:
             if at != i:
                 copy_of[i] = ids[at]
                 continue
-            keys[i], weak[i] = cells(tokens, bands)
+            keys[i], weak[i], common[i] = cells(tokens, bands)
             counts[i] = counts_of(tokens).tobytes()
         lengths = [len(k) for k in keys]
         owner = np.repeat(np.arange(n), lengths)
         joined = np.concatenate(keys)
-        _, earliest, inverse = np.unique(joined, return_index=True, return_inverse=True)
+        _, earliest, inverse, held_by = np.unique(
+            joined, return_index=True, return_inverse=True, return_counts=True)
         keeper = owner[earliest][inverse]
         own = keeper == owner
+        lent = np.bincount(owner[own & (held_by[inverse] > 1)], minlength=n)
         borders = np.cumsum(lengths)[:-1]
         met_by = np.array([-1 if i is None else i for i in ids], np.int64)[keeper]
         split = lambda x: np.split(x, borders)
         return {
             "doc_id": ids, "n_shingles": size, "copy_of": copy_of, "weak": weak, "counts": counts,
+            "common": common, "lent": lent,
             "cells": [k[o] for k, o in zip(keys, split(own))],
             "met": [k[~o] for k, o in zip(keys, split(own))],
             "met_by": [m[~o] for m, o in zip(split(met_by), split(own))],
@@ -192,19 +202,52 @@ def describe(docs: DataFrame, bands: Bands, words: int) -> DataFrame:
     return map_rows(docs, LAYER, rows, CHUNK)
 
 
-def star_pairs(layer: DataFrame) -> DataFrame:
-    """a (the centre, smallest in a cell) and b for all members of cells."""
-    kept = layer.select(F.explode("cells").alias("cell"), F.col("doc_id").alias("b"))
-    centre = kept.withColumn("a", F.min("b").over(Window.partitionBy("cell")))
-    far = centre.filter("a <> b")
+def met_pairs(layer: DataFrame) -> DataFrame:
+    """a (the smallest that keeps a cell), b for all members of cells, a itself too if
+    another chunk has one; n: in how many cells."""
+    # The filter is that of the join below, so that both read the same exchange.
+    kept = layer.select(F.explode("cells").alias("cell"), F.col("doc_id").alias("b")).filter(
+        "cell is not null")
+    cell = Window.partitionBy("cell")
+    shared = kept.withColumns(
+        {"a": F.min("b").over(cell), "held_by": F.count("b").over(cell)}).filter("held_by > 1")
     noted = layer.filter(F.size("met") > 0).select(
         F.explode(F.arrays_zip("met", "met_by")).alias("m"), F.col("doc_id").alias("b")
     ).select(F.col("m.met").alias("cell"), F.col("m.met_by").alias("by"), "b")
-    centres = far.select("cell", F.col("b").alias("by"), "a")
+    centres = shared.filter("a <> b").select("cell", F.col("b").alias("by"), "a")
     near = noted.join(centres, ["cell", "by"], "left").select(
         F.coalesce("a", "by").alias("a"), "b"
     )
-    return far.select("a", "b").unionByName(near).filter("a <> b").distinct()
+    return shared.select("a", "b").unionByName(near).groupBy("a", "b").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+def star_pairs(layer: DataFrame) -> DataFrame:
+    """a (the centre of a cell) and b for members of cells; ``both``: a can link too.
+
+    A document that shares ``common`` cells with a linked one stays around that one's
+    centres if it leaves the ``common - 1`` cells of the most crowded centres: the least
+    crowded cell of a linked pair is in none of both. Some cells are counted twice here,
+    which leaves fewer; a document with fewer cells than ``common`` is left out.
+    """
+    met = settle(met_pairs(layer), "jaccard-met")
+    shared = met.groupBy("b").agg(
+        F.sum("n").alias("n"), F.sum(F.when(F.col("a") == F.col("b"), F.col("n"))).alias("own"))
+    able = settle(
+        layer.filter("copy_of is null and n_shingles > 0 and doc_id is not null")
+        .groupBy(F.col("doc_id").alias("b"))
+        .agg(F.min("common").alias("common"), F.sum("lent").alias("lent"))
+        .join(shared, "b", "left").filter("coalesce(n, 0) + lent >= common")
+        .selectExpr("b", "common - lent - coalesce(own, 0) as need"), "jaccard-able")
+    stars = met.filter("a <> b")
+    crowds = stars.groupBy("a").agg(F.count(F.lit(1)).alias("crowd"))
+    crowded_first = Window.partitionBy("b").orderBy(F.desc("crowd"), F.desc("a")).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    left = stars.join(crowds, "a").join(able, "b").withColumn(
+        "cells", F.sum("n").over(crowded_first)).filter("cells >= need").select("a", "b")
+    centre = able.select(F.col("b").alias("a"), F.lit(True).alias("both"))
+    return left.join(centre, "a", "left").select(
+        "a", "b", F.coalesce("both", F.lit(False)).alias("both"))
 
 
 def weak_pairs(docs: DataFrame, layer: DataFrame, words: int) -> DataFrame | None:
@@ -401,7 +444,10 @@ def tree_links(
     placed = settle(
         around.withColumn("salt", salt).join(open_centres, ["centre", "salt"])
         .select("centre", "doc_id", "root", "blocks"), "jaccard-open")
-    sets = open_sets(texts, placed.select("doc_id").distinct(), words)
+    wanted = settle(placed.select("doc_id").distinct(), "jaccard-wanted")
+    if wanted.count() <= SENT_IDS:
+        wanted = F.broadcast(wanted)
+    sets = open_sets(texts, wanted, words)
     dealt = (
         placed.withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -433,13 +479,15 @@ def join(
     pairs = star_pairs(layer)
     more = weak_pairs(known, layer, words)
     if more is not None:
-        pairs = pairs.unionByName(more).distinct()
+        pairs = pairs.unionByName(more.withColumn("both", F.lit(True))).groupBy("a", "b").agg(
+            F.bool_or("both").alias("both"))
     pairs = settle(pairs, "jaccard-pairs")
+    direct = pairs.filter("both").select("a", "b")
     copies = layer.filter("copy_of is not null and doc_id is not null").select(
         F.col("copy_of").alias("a"), F.col("doc_id").alias("b")
     )
-    surviving = settle(bounded(pairs, points, percent), "jaccard-bounded")
-    involved = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    surviving = settle(bounded(direct, points, percent), "jaccard-bounded")
+    involved = direct.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     involved = settle(involved, "jaccard-involved")
     if involved.count() <= SENT_IDS:
         involved = F.broadcast(involved)

@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from civitally.llm import jaccard
@@ -123,6 +124,55 @@ def test_families_without_their_original(spark):
     assert got(frame(spark, rows)) == want
 
 
+def test_a_quoted_passage_makes_no_neighbours(spark):
+    """Texts that share a passage and nothing else meet in a few cells, too few to link."""
+    rng = random.Random(12)
+    passage = prose(600, 45)
+    rows = [(i, f"{prose(3000 + i, 50)} {passage} {prose(4000 + i, 50)}") for i in range(150)]
+    rows += [(500 + i, edited(rows[i][1], 1, rng)) for i in range(5)]
+    docs = frame(spark, rows).select("doc_id", "text").repartition(4)
+    layer = jaccard.describe(docs, jaccard.Bands(), 4)
+    met = {c for r in layer.collect() for c in r["met"]}
+    assert len(met) > 3  # cells of the passage
+    pairs = {(r["a"], r["b"]) for r in jaccard.star_pairs(layer).collect()}
+    assert {(i, 500 + i) for i in range(5)} <= pairs <= {
+        (a, b) for a in range(150) for i in range(5) for b in (i, 500 + i)}
+    assert len(pairs) < 30
+    for parts in (1, 4):
+        assert got(frame(spark, rows).coalesce(parts)) == brute(rows)
+
+
+@pytest.mark.parametrize("percent", [60, 80, 85, 95])
+def test_linked_sets_share_the_cells_they_must(percent):
+    """The least number of common cells holds for pairs at the limit, in all bands."""
+    rng = np.random.default_rng(percent)
+    bands = jaccard.Bands(percent)
+    seen = 0
+    for a in [*range(2, 60), *range(60, 700, 17), 1500, 4000]:
+        for b in {a, a + 1, a * 100 // percent, (a + a * 100 // percent) // 2}:
+            least = jaccard.needed(a, b, percent)
+            if least > a:
+                continue
+            tokens = rng.integers(0, 2**64 - 1, a + b - least, np.uint64)
+            x, y = np.sort(tokens[:a]), np.sort(tokens[a - least:])
+            (kx, weak, tx), (ky, _, ty) = jaccard.cells(x, bands), jaccard.cells(y, bands)
+            if not weak:
+                seen += 1
+                assert len(np.intersect1d(kx, ky)) >= max(tx, ty)
+    assert seen > 50
+
+
+def test_cells_are_dealt_once(spark):
+    rows = [(i, prose(i % 30, 40)) for i in range(60)]
+    layer = jaccard.settle(jaccard.describe(
+        frame(spark, rows).select("doc_id", "text"), jaccard.Bands(), 4), "cells")
+    met = jaccard.met_pairs(layer)
+    assert met.filter("n > 9").count()
+    met.collect()
+    plan = met._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+    assert plan.count("Generate explode(cells") == 1 and "ReusedExchange" in plan
+
+
 def test_long_sets_make_small_blocks(spark, monkeypatch):
     rng = random.Random(6)
     base = prose(9, 300)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import cut, map_rows
 from .labelled import held_out, training_texts
 
 FOLDS, FOLD, THRESHOLD = 4, 2, 0.7
@@ -210,7 +210,7 @@ def keep(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` that are predicted to be good, with their own columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in cut(batches, 500):
             found = scores_of(model, batch.column("text").to_pylist())
             yield batch.filter(pa.array([s >= THRESHOLD for s in found], pa.bool_()))
 

@@ -152,6 +152,29 @@ def unpack(counts: bytes) -> np.ndarray:
     return np.frombuffer(counts, kind).astype(np.int32)
 
 
+def keepers(keys: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each key the first owner of that key, and whether it is there again. A chunk
+    has a few hundred keys for each document, so few arrays of their length are made."""
+    if not len(keys):
+        return owner, np.zeros(0, bool)
+    order = np.argsort(keys, kind="stable")
+    starts = np.append(0, np.flatnonzero(np.diff(keys[order])) + 1)
+    held_by = np.diff(np.append(starts, len(keys)))
+    keeper, shared = np.empty_like(owner), np.empty(len(keys), bool)
+    keeper[order] = np.repeat(owner[order[starts]], held_by)
+    shared[order] = np.repeat(held_by > 1, held_by)
+    return keeper, shared
+
+
+LISTS = pa.list_(pa.field("element", pa.int64()))
+
+
+def lists(values: np.ndarray, owner: np.ndarray, n: int) -> pa.ListArray:
+    """The values of each of ``n`` owners, in whose order they are, as a list column."""
+    ends = np.searchsorted(owner, np.arange(n + 1, dtype=np.int32)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values), type=LISTS)
+
+
 LAYER = ("doc_id bigint, n_shingles bigint, copy_of bigint, weak boolean, common int, lent int, "
          "counts binary, cells array<bigint>, met array<bigint>, met_by array<bigint>")
 
@@ -180,23 +203,18 @@ def describe(docs: DataFrame, bands: Bands, words: int) -> DataFrame:
                 continue
             keys[i], weak[i], common[i] = cells(tokens, bands)
             counts[i] = counts_of(tokens).tobytes()
-        lengths = [len(k) for k in keys]
-        owner = np.repeat(np.arange(n), lengths)
+        owner = np.repeat(np.arange(n, dtype=np.int32), [len(k) for k in keys])
         joined = np.concatenate(keys)
-        _, earliest, inverse, held_by = np.unique(
-            joined, return_index=True, return_inverse=True, return_counts=True)
-        keeper = owner[earliest][inverse]
+        del keys
+        keeper, shared = keepers(joined, owner)
         own = keeper == owner
-        lent = np.bincount(owner[own & (held_by[inverse] > 1)], minlength=n)
-        borders = np.cumsum(lengths)[:-1]
-        met_by = np.array([-1 if i is None else i for i in ids], np.int64)[keeper]
-        split = lambda x: np.split(x, borders)
+        lent = np.bincount(owner[own & shared], minlength=n)
+        of_own, of_met = owner[own], owner[~own]
+        met_by = np.array([-1 if i is None else i for i in ids], np.int64)[keeper[~own]]
         return {
             "doc_id": ids, "n_shingles": size, "copy_of": copy_of, "weak": weak, "counts": counts,
-            "common": common, "lent": lent,
-            "cells": [k[o] for k, o in zip(keys, split(own))],
-            "met": [k[~o] for k, o in zip(keys, split(own))],
-            "met_by": [m[~o] for m, o in zip(split(met_by), split(own))],
+            "common": common, "lent": lent, "cells": lists(joined[own], of_own, n),
+            "met": lists(joined[~own], of_met, n), "met_by": lists(met_by, of_met, n),
         }
 
     return map_rows(docs, LAYER, rows, CHUNK)

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from civitally.session import settle
 
-from .common import hidden, map_rows
+from .common import cut, hidden, map_rows
 from .cuckoo import CuckooFilter, Full, built
 
 WHITE = b" \t\n\x0b\x0c\r"
@@ -148,22 +148,19 @@ def candidates(docs: DataFrame, filters: DataFrame | None, shards: int) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Filters(*sent.value) if sent is not None else None
-        for batch in batches:
-            # A few thousand documents at a time keep the lists small.
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                owners, digests = [], []
-                for owner, text in zip(part.column("id").to_pylist(), part.column("text")):
-                    keys = {k for k in keys_of(text.as_py())[1] if k}
-                    digests.extend(keys)
-                    owners.extend([owner] * len(keys))
-                pairs = halves(digests)
-                keep = known.may_be_common(pairs) if known else np.ones(len(pairs), bool)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(owners, pa.int64()).filter(pa.array(keep)),
-                     pa.array(pairs[keep, 0]), pa.array(pairs[keep, 1])],
-                    names=["id", "k1", "k2"],
-                )
+        for part in cut(batches):
+            owners, digests = [], []
+            for owner, text in zip(part.column("id").to_pylist(), part.column("text")):
+                keys = {k for k in keys_of(text.as_py())[1] if k}
+                digests.extend(keys)
+                owners.extend([owner] * len(keys))
+            pairs = halves(digests)
+            keep = known.may_be_common(pairs) if known else np.ones(len(pairs), bool)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(owners, pa.int64()).filter(pa.array(keep)),
+                 pa.array(pairs[keep, 0]), pa.array(pairs[keep, 1])],
+                names=["id", "k1", "k2"],
+            )
 
     return docs.mapInArrow(run, "id bigint, k1 bigint, k2 bigint")
 
@@ -233,7 +230,7 @@ def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     schema, drop = docs.schema, hidden("drop")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in cut(batches, 500):
             kept = [
                 None if t.as_py() is None else without(t.as_py(), d.as_py())[2].decode()
                 for t, d in zip(batch.column("text"), batch.column(drop))

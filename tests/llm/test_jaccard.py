@@ -2,8 +2,10 @@
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from civitally.llm import jaccard
@@ -173,6 +175,63 @@ def test_cells_are_dealt_once(spark):
     assert plan.count("Generate explode(cells") == 1 and "ReusedExchange" in plan
 
 
+def chunk_rows(monkeypatch):
+    """What ``describe`` makes of a chunk."""
+    monkeypatch.setattr(jaccard, "map_rows", lambda df, schema, rows, *a: rows)
+    return jaccard.describe(None, jaccard.Bands(), 4)
+
+
+def lists_of(column):
+    return [np.asarray(x).tolist() for x in (
+        column.to_pylist() if isinstance(column, pa.Array) else column)]
+
+
+def test_cells_of_a_chunk_take_little_memory(monkeypatch):
+    """A task's Python memory grows by little more than what it hands on."""
+    rows = chunk_rows(monkeypatch)
+    texts = [prose(i % 900, 250) + f" end {i}" for i in range(1000)]
+    batch = pa.record_batch({"doc_id": pa.array(range(1000), pa.int64()), "text": pa.array(texts)})
+    rows(batch.slice(0, 10))
+    tracemalloc.start()
+    try:
+        made = rows(batch)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    cells, met = lists_of(made["cells"]), lists_of(made["met"])
+    keys = sum(map(len, cells)) + sum(map(len, met))
+    assert keys > 50_000 and any(met)
+    assert peak < 70 * keys
+
+
+def test_cells_of_a_chunk_are_kept_by_their_first_document(monkeypatch):
+    rows = chunk_rows(monkeypatch)
+    rng = random.Random(13)
+    base = prose(50, 120)
+    texts = [base, None, edited(base, 2, rng), prose(51, 70), "", base, edited(base, 3, rng)]
+    ids = [9, 8, None, 4, 3, 2, 1]
+    made = rows(pa.record_batch({"doc_id": pa.array(ids, pa.int64()), "text": pa.array(texts)}))
+    bands, first, held = jaccard.Bands(), {}, {}
+    want = []
+    for at, (i, text) in enumerate(zip(ids, texts)):
+        tokens = jaccard.shingles(text)
+        copy = at == 5  # of row 0
+        keys = [] if i is None or copy else jaccard.cells(tokens, bands)[0].tolist()
+        for k in keys:
+            first.setdefault(k, at)
+            held[k] = held.get(k, 0) + 1
+        want.append(keys)
+    for at, keys in enumerate(want):
+        own = [k for k in keys if first[k] == at]
+        met = [k for k in keys if first[k] != at]
+        assert lists_of(made["cells"])[at] == own and lists_of(made["met"])[at] == met
+        assert lists_of(made["met_by"])[at] == [ids[first[k]] for k in met]
+        assert list(made["lent"])[at] == sum(held[k] > 1 for k in own)
+    assert made["copy_of"] == [None] * 5 + [9, None] and any(lists_of(made["met"]))
+    empty = rows(pa.record_batch({"doc_id": pa.array([1], pa.int64()), "text": pa.array([""])}))
+    assert lists_of(empty["cells"]) == lists_of(empty["met_by"]) == [[]] and list(empty["lent"]) == [0]
+
+
 def test_long_sets_make_small_blocks(spark, monkeypatch):
     rng = random.Random(6)
     base = prose(9, 300)

@@ -3,10 +3,12 @@
 from collections import Counter
 
 import corpus_pipeline
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from civitally.llm import attention
+from civitally.llm import attention, line_dedup
 from civitally.llm.common import table
 from civitally.session import settle
 
@@ -72,6 +74,29 @@ def test_lines_stage(steps):
     assert rows(steps[3]) == sorted(want, key=str) != rows(steps[2])
 
 
+@pytest.mark.parametrize("stage", ["classifier", "lines"])
+def test_stages_hand_on_few_texts_at_once(monkeypatch, stage):
+    """Whole Arrow batches of texts are neither held as Python objects nor handed on."""
+    texts = [f"{prose(i, 5)}\nline" if i % 7 else None for i in range(3000)]
+    columns = {"doc_id": pa.array(range(3000), pa.int64()), "text": pa.array(texts),
+               "drop": pa.array([None] * 3000, pa.null())}
+
+    class Docs:
+        schema = StructType().add("doc_id", "long").add("text", "string")
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    monkeypatch.setattr(line_dedup, "hidden", lambda name: name)
+    monkeypatch.setattr(line_dedup, "_joined", lambda docs, *a: docs)
+    run = (line_dedup.drop_lines(Docs()) if stage == "lines"
+           else attention.keep(Docs(), attention.Model(None, 0.9)))
+    made = list(run(iter([pa.record_batch(columns)])))
+    assert [x for b in made for x in b.column("doc_id").to_pylist()] == list(range(3000))
+    assert [x for b in made for x in b.column("text").to_pylist()] == texts
+    assert max(b.num_rows for b in made) <= 500
+
+
 def test_near_copies_stage(steps):
     docs = [(r["doc_id"], r["text"]) for r in steps[3].collect()]
     want = sorted(i for i, _, c in brute(docs) if i == c)
